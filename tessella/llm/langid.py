@@ -1,17 +1,18 @@
 """Language identification by compression: each language has a zstandard raw-content dictionary, and a text is of the language whose
-dictionary makes it smallest; the answer is rejected where the second language comes too close.
+dictionary makes it smallest; the answer is rejected where the second language comes too close. Sizes are description lengths in bits: of
+the compressed text and of the language itself, from its share of the labelled rows, so that a text too short to compress is of the commonest.
 
 Dictionaries hold snippets of labelled rows, taken in the order of a seeded hash up to `snippets` x `snippet_chars` characters for each
 language (the documented bound on what is gathered; languages are limited by what labels there are). Texts are compressed whole, in blocks
 small enough that the dictionary and not the text's own beginning decides.
 
-Null text or one without a letter: `und`, score 0, rejected. Without any labelled row everything is `und`. Equal sizes: the first language
+Null text or one without a letter: `und`, score 0, rejected. Without any labelled row everything is `und`. Equal lengths: the first language
 by name. Null labels teach nothing. Repeated rows stay; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,55 +20,59 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import crc_bucket, map_rows, read
 
-SNIPPETS, SNIPPET_CHARS, BLOCK_BYTES, LEVEL = 160, 600, 4096, 3
-MARGIN = 0.01
-_OTHER = re.compile(r"[\W\d_]+")
+SNIPPETS, SNIPPET_CHARS, BLOCK_BYTES, LEVEL = 300, 300, 8192, 5
+MARGIN_BITS = 1.0
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def letters(text: str) -> bytes:
-    """Lower-cased runs of letters with one blank between them."""
-    return _OTHER.sub(" ", text).lower().strip().encode("utf-8", "replace")
+    """Lower-cased runs of letters and of what is beyond ASCII, with one blank between them."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
 
 
-def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", seed: int = 11, snippets: int = SNIPPETS, chars: int = SNIPPET_CHARS) -> dict[str, bytes]:
-    """Raw dictionary contents by language, from at most `snippets` rows each, cut in their middle to `chars` characters."""
+def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", seed: int = 11, snippets: int = SNIPPETS, chars: int = SNIPPET_CHARS) -> dict[str, tuple[bytes, float]]:
+    """By language: raw dictionary content, from at most `snippets` rows each, cut in their middle to `chars` characters; and the
+    language's share of all labelled rows."""
     t, n = F.col(text), F.length(text)
-    cut = labelled.where(t.isNotNull() & F.col(lang).isNotNull() & (n > 0)).select(
+    labelled = labelled.where(F.col(lang).isNotNull())
+    cut = labelled.where(n > 0).select(
         F.col(lang).alias("l"), F.xxhash64(F.lit(seed), t).alias("h"), F.when(n > chars, t.substr(((n - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(t).alias("s")
     )
     first = cut.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= snippets)
     out: dict[str, list[tuple[int, str]]] = {}
     for l, i, s in first.select("l", "i", "s").collect():
         out.setdefault(l, []).append((i, s))
-    return {l: b" ".join(letters(s) for _, s in sorted(rows)) for l, rows in sorted(out.items())}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()} if out else {}
+    return {l: (b" ".join(letters(s) for _, s in sorted(rows)), counts[l] / sum(counts.values())) for l, rows in sorted(out.items())}
 
 
 class CompressionClassifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK_BYTES) -> None:
+    def __init__(self, dictionaries: dict[str, tuple[bytes, float]], level: int = LEVEL, block: int = BLOCK_BYTES) -> None:
         import zstandard
 
         self.block, self.langs, self.compress = block, sorted(dictionaries), []
+        self.own_bits = [-math.log2(dictionaries[x][1]) for x in self.langs]
         for lang in self.langs:
-            content = zstandard.ZstdCompressionDict(dictionaries[lang] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content = zstandard.ZstdCompressionDict(dictionaries[lang][0] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
             self.compress.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def sizes(self, text: str) -> list[int]:
+    def bits(self, text: str) -> list[float]:
         data = letters(text)
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return [sum(len(c(b)) for b in blocks) for c in self.compress]
+        return [8 * sum(len(c(b)) for b in blocks) + own for c, own in zip(self.compress, self.own_bits, strict=True)]
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1 and whether the margin is too narrow. The score is 0.5 at equal sizes and grows with the relative gap."""
+        """Language, score from 0 to 1 and whether the margin is too narrow. The score is 0.5 at equal lengths and grows with the gap."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        sizes = self.sizes(text)
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-        gap = (sizes[order[1]] - sizes[order[0]]) / max(1, sizes[order[1]]) if len(order) > 1 else 1.0
-        return self.langs[order[0]], 1 - 0.5 * 2 ** (-gap / 0.02), gap < margin
+        bits = self.bits(text)
+        order = sorted(range(len(bits)), key=lambda i: (bits[i], i))
+        gap = bits[order[1]] - bits[order[0]] if len(order) > 1 else math.inf
+        return self.langs[order[0]], 1 - 0.5 * 2 ** (-gap / 8), gap < margin
 
 
-def identify(df: DataFrame, dictionaries: dict[str, bytes], keep: list[str], text: str = "text", margin: float = MARGIN) -> DataFrame:
+def identify(df: DataFrame, dictionaries: dict[str, tuple[bytes, float]], keep: list[str], text: str = "text", margin: float = MARGIN_BITS) -> DataFrame:
     """`keep` columns, then lang_pred, score, rejected."""
     held: list[CompressionClassifier] = []
 
