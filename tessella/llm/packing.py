@@ -126,17 +126,21 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
     def work(batches: Iterator[list[list]]):
         enc, end = encoder(vocabulary), np.uint32(end_id)
         for keys, texts in batches:
-            out: list[list] = [[] for _ in range(8 if with_ids else 7)]
+            out: list[list] = [[] for _ in range(7)]
             pool, bounds = enc.encode(texts)
+            whole: list[np.ndarray] = []
             for k, a, b in zip(keys.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 ids = np.append(pool[a:b], end).astype("<u4")
+                whole.append(ids)
                 at = 0
                 for length in binary_pieces(len(ids), most):
-                    piece = ids[at : at + length]
-                    row = [k, at, length, zlib.crc32(piece.tobytes()), len(ids), 0, length.bit_length() - 1]
-                    for c, v in zip(out, [*row, piece.tolist()] if with_ids else row, strict=True):
+                    row = (k, at, length, zlib.crc32(ids[at : at + length].tobytes()), len(ids), 0, length.bit_length() - 1)
+                    for c, v in zip(out, row, strict=True):
                         c.append(v)
                     at += length
+            if with_ids:  # pieces lie in the order of the ids
+                starts = np.concatenate([[0], np.cumsum(out[2])]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(whole).astype(np.int32))))
             yield out
 
     ids = ", ids array<int>" if with_ids else ""
