@@ -67,7 +67,7 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[bytes, int]], tail_sums: dict[int, tuple[int, int]], total: int, distinct: int) -> None:
         self.total, self.distinct = total, distinct
-        ordered = sorted(head, key=lambda x: x[0][::-1])
+        ordered = sorted(head, key=lambda x: x[0][::-1])  # by their ends
         mass, self.classes = sum(c for _, c in ordered), HEAD_CLASSES + TAIL_CLASSES
         self.index = {w: i for i, (w, _) in enumerate(ordered)}
         counts = np.array([c for _, c in ordered], np.float64)
@@ -190,8 +190,17 @@ def fit(docs: DataFrame, text: str = "text", head: int = HEAD, rounds: int = ROU
     """Counts (a table), the broadcast vocabulary and the weights, learned from `docs`."""
     counts = table(count_tokens(docs, text), "token-counts")
     total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = [(bytes(r.w), r.c) for r in counts.orderBy(F.desc("c"), "w").limit(head).collect()]
-    rest = counts.where((F.col("c") < top[-1][1]) | ((F.col("c") == top[-1][1]) & (F.col("w") > F.lit(bytearray(top[-1][0]))))) if top else counts
+    # Word counts by sixteenths of a power of two: the lowest step down to which the head holds at most `head` words.
+    step_of = F.floor(F.log2("c") * 16).cast("int")
+    lowest, held = None, 0
+    for r in sorted(counts.groupBy(step_of.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > head:
+            break
+        lowest = r["s"]
+    in_head = step_of >= lowest if lowest is not None else F.lit(False)
+    top = [(bytes(r.w), r.c) for r in counts.where(in_head).collect()]
+    rest = counts.where(~in_head)
     tail_of = F.crc32(F.substring("w", -1, 1)) % TAIL_CLASSES
     tail = {int(r.k): (int(r.n), int(r.v)) for r in rest.groupBy(tail_of.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     v = Vocabulary(top, tail, int(total or 0), int(distinct or 0))
