@@ -38,7 +38,9 @@ def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang"
     cut = labelled.where(n > 0).select(
         F.col(lang).alias("l"), F.xxhash64(F.lit(seed), t).alias("h"), F.when(n > chars, t.substr(((n - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(t).alias("s")
     )
-    first = cut.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= snippets)
+    order = [F.col("h"), F.col("s")]
+    part = cut.withColumn("i", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(256))).orderBy(*order))).where(F.col("i") <= snippets)  # so that no task gets a whole language
+    first = part.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("i") <= snippets)
     out: dict[str, list[tuple[int, str]]] = {}
     for l, i, s in first.select("l", "i", "s").collect():
         out.setdefault(l, []).append((i, s))
