@@ -45,4 +45,4 @@ def budget_prefix(df: DataFrame, by: list[str], order: list[Column], tokens: str
 
 def within_seconds(df: DataFrame, by: str, at: str, seconds: int) -> Column:
     """Rows of the group in the last `seconds` up to each row, itself included."""
-    return F.count(F.lit(1)).over(Window.partitionBy(by).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0))
+    return F.count(F.lit(1)).over(Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0))
