@@ -35,16 +35,18 @@ def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang"
     language's share of all labelled rows."""
     t, n = F.col(text), F.length(text)
     labelled = labelled.where(F.col(lang).isNotNull())
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    if not counts:
+        return {}
+    # Hashes below a bound that about four times as many rows of the language pass as are wanted, so that no task gets a whole language.
+    bound = F.create_map(*(F.lit(x) for l, c in counts.items() for x in (l, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * snippets // c))))
     cut = labelled.where(n > 0).select(
         F.col(lang).alias("l"), F.xxhash64(F.lit(seed), t).alias("h"), F.when(n > chars, t.substr(((n - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(t).alias("s")
     )
-    order = [F.col("h"), F.col("s")]
-    part = cut.withColumn("i", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(256))).orderBy(*order))).where(F.col("i") <= snippets)  # so that no task gets a whole language
-    first = part.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("i") <= snippets)
+    first = cut.where(F.col("h") <= bound[F.col("l")]).withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= snippets)
     out: dict[str, list[tuple[int, str]]] = {}
     for l, i, s in first.select("l", "i", "s").collect():
         out.setdefault(l, []).append((i, s))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()} if out else {}
     return {l: (b" ".join(letters(s) for _, s in sorted(rows)), counts[l] / sum(counts.values())) for l, rows in sorted(out.items())}
 
 

@@ -1,0 +1,386 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessella.llm import chat, decontaminate, htmltext, langid, maxent, media, packing, sharding, simhash, suffixdedup
+from tessella.llm.components import component_roots
+from tessella.llm.queries import QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def split(text):
+    return (text or "").encode().split()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("aeiouxyzrst") for _ in range(rnd.randint(1, 9))) for _ in range(60)] + ["é", "Ünd", "THE", "a\x0bb"]
+    out = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    passage = " ".join(vocab[:25])
+    out += [out[3], out[3], out[4] + " " + passage, passage + out[5], "x" + passage, None, "", " \t\n", "ab " * 400, "ab " * 300, "z" * 49, "z" * 50, "z" * 51, out[7][:-3] + "qqq"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3 - 20, t, ["en", "de", None][i % 3], "src0" if i % 3 else f"s{i % 7}", len(t or "")) for i, t in enumerate(texts)] + [(None, "null id " * 9, None, None, None), (1, texts[1], "en", "src0", 1), (1, texts[1], "en", "src0", 1)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def clashing(df):
+    """Extra columns whose names the operators use inside."""
+    for name in ("id", "fp", "b", "blob", "h", "w", "starts", "size", "_id", "digest", "kind", "rank"):
+        df = df.withColumn(name, F.lit("extra"))
+    return df
+
+
+def test_queries_name_all_ten():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+def test_media(spark, docs):
+    items = media.parse_sequences(media.illustrated(clashing(docs)), "doc_id", "html")
+    out = media.resolve(items, media.media_features(media.store_media(docs))).where("kind = 'media'").collect()
+    want = Counter()
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        p = data + bytes(-len(data) % 64 if data else 64)
+        want[(r.doc_id, len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), 1)] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.position) for r in out) == want
+    assert media.decode_png(media.encode_png(bytes(range(256)))) == bytes(range(256))
+    with pytest.raises(ValueError):
+        media.decode_png(media.encode_png(bytes(64))[:-20] + bytes(20))
+
+
+def test_media_sequence_order():
+    items = media.sequence('<p>one<img src="sha256:aa" alt="A">two</p><figure><img src="bb" data-bytes="7"><figcaption>cap <b>x</b></figcaption></figure>tail<script>no</script>')
+    assert [(i[0], i[1], i[2], i[3]) for i in items] == [("text", "one", None, None), ("media", None, "aa", "A"), ("text", "two", None, None), ("media", None, "bb", "cap x"), ("text", "tail", None, None)]
+    assert media.sequence(None) == [] and items[3][4] == 7
+
+
+def brute_repeats(rows, window=50):
+    first = {}
+    for d, t in rows:
+        for i in range(len(t) - window + 1):
+            w = t[i : i + window]
+            first[w] = min(first.get(w, d), d)
+    out = []
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - window + 1):
+            if first[t[i : i + window]] < d:
+                gone[i : i + window] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        out.append((d, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("rows_per_batch", ["2000", "3"])
+def test_suffix_dedup(spark, docs, rows_per_batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    rows = [(suffixdedup.FIRST_ID if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    got = [(suffixdedup.FIRST_ID if r[0] is None else r[0], *r[1:]) for r in suffixdedup.dedup_digests(clashing(docs)).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert Counter(got) == Counter(brute_repeats(rows))
+
+
+def test_suffix_dedup_text(docs):
+    out = suffixdedup.without_repeats(clashing(docs))
+    assert out.columns == clashing(docs).columns and out.count() == docs.count()
+    assert out.where("doc_id = 160").select("text").first()[0] == ""  # a later copy of text 3
+
+
+def test_loser_tree_merges_like_sort():
+    rnd = random.Random(1)
+    for n in (0, 1, 2, 5, 9):
+        runs, every = [], []
+        for i in range(n):
+            keys = sorted(bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(0, 30)))
+            every += keys
+            runs.append(suffixdedup.Run(*suffixdedup.front_code(keys), [i] * len(keys)))
+        merged = list(suffixdedup.merge_runs(runs))
+        assert [k for k, _, _ in merged] == sorted(every)
+        for (a, _, _), (b, shared, _) in zip(merged, merged[1:]):
+            assert shared == suffixdedup.common_prefix(a, b, 0)
+
+
+def test_anchors_by_segments(monkeypatch):
+    data = np.frombuffer(random.Random(2).randbytes(3000), np.uint8) % 5
+    monkeypatch.setattr(suffixdedup, "SEGMENT", 400)
+    h, x, first, last = suffixdedup.anchors(data)
+    grams = suffixdedup.gram_hashes(data, 20)
+    assert np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)]).tolist() == list(range(2951))
+    for k, a, z in zip(x, first, last):
+        for p in (a, z):
+            assert k == p + int(np.argmin(grams[p : p + 31]))
+
+
+def test_sharding(docs):
+    out = sharding.interleaved_shards(clashing(docs).drop("size"), ranges=16).collect()
+    counts = Counter(r.shard for r in out)
+    assert len(out) == docs.count() and max(counts.values()) - min(counts.values()) <= 1 and set(counts) <= set(range(8))
+    for s in counts:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(counts[s]))
+        hot = sum(r.source == "src0" for r in out if r.shard == s)
+        assert abs(hot - counts[s] * sum(r.source == "src0" for r in out) / len(out)) <= 2
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want
+    again = sharding.interleaved_shards(docs.repartition(5), ranges=16).collect()
+    assert Counter((r.doc_id, r.shard) for r in again if r.doc_id not in (1,)) == Counter((r.doc_id, r.shard) for r in out if r.doc_id not in (1,))
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    out = packing.pack(clashing(docs), path).collect()
+    got = Counter()
+    by = {}
+    for r in out:
+        assert r.length & (r.length - 1) == 0 and r.length <= 2048 and len(r.ids) == r.length and r.offset == 0
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        by.setdefault(r.doc_id, []).append(r)
+    for r in docs.where("doc_id != 1").collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [1]
+        pieces = sorted(by[r.doc_id], key=lambda p: p.start)
+        assert sum((p.ids for p in pieces), []) == ids and pieces[0].doc_tokens == len(ids)
+        got[r.doc_id] += 1
+    assert len({r.sequence_id for r in out}) == len(out)
+    assert packing.binary_pieces(4097 + 6) == [2048, 2048, 4, 2, 1]
+
+
+def brute_fingerprint(text, k=3):
+    w = [x.decode() for x in split(low(text))]
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, fps):
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return [least[find(i)] for i in range(len(ids))]
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_simhash(docs, limit):
+    rows = [(simhash.FIRST_ID if r.doc_id is None else r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()]
+    got = simhash.near_duplicate_components(clashing(docs.limit(12) if limit == 1 else docs), cell_limit=limit).collect()
+    if limit == 1:
+        rows = [(simhash.FIRST_ID if r.doc_id is None else r.doc_id, brute_fingerprint(r.text)) for r in docs.limit(12).collect()]
+    want = brute_components([d for d, _ in rows], [f for _, f in rows])
+    assert Counter((r.id, r.fp & (1 << 64) - 1, r.component) for r in got) == Counter((d, f, c) for (d, f), c in zip(rows, want))
+
+
+def test_forest_and_grid_lose_no_link():
+    rnd = random.Random(3)
+    base = rnd.getrandbits(64)
+    fps = list({base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for _ in range(80)})
+    for some in (fps, fps[:20]):
+        edges = simhash.forest(some)
+        assert len(edges) < len(some) and all((a ^ b).bit_count() <= 3 for a, b in edges)
+        want = brute_components(list(range(len(some))), some)
+        label = {f: i for i, f in enumerate(some)}
+        for _ in some:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        assert [label[f] for f in some] == want
+    masks = simhash.block_masks()
+    for _ in range(200):
+        x = rnd.getrandbits(64)
+        y = x ^ sum(1 << b for b in rnd.sample(range(64), 3))
+        p, q = simhash._points(x), simhash._points(y)
+        assert (p ^ q).bit_count() <= (x ^ y).bit_count() and any(p & m == q & m for m in masks)
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 60), (60, 80), (7, 7)]
+    out = {r.node: r.root for r in component_roots(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {i: 0 for i in range(1, 41)} | {100: 60, 80: 60}
+    assert component_roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 300])
+def test_decontamination(spark, docs, texts, block_bytes):
+    items = [(1, " ".join(texts[0].split()[:14])), (2, "the"), (10, "AB, ab!"), (3, ""), (4, None), (5, texts[8]), (6, "é Ünd"), (7, " ".join(texts[0].split()[2:14]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def words(t):
+        return "".join(c if c.isdigit() and c.isascii() or "a" <= c <= "z" or ord(c) >= 128 else " " for c in low(t)).split(" ") if t else []
+
+    pats = []
+    for i, t in items:
+        w = [x for x in words(t) if x]
+        m = min(10, len(w))
+        pats += [(str(i), w[k : k + m]) for k in range(len(w) - m + 1 if m else 0)]
+    want = Counter()
+    for r in docs.collect():
+        w = [x for x in words(r.text) if x]
+        hit, found = set(), set()
+        for i, p in pats:
+            for k in range(len(w) - len(p) + 1):
+                if w[k : k + len(p)] == p:
+                    hit.update(range(k, k + len(p)))
+                    found.add(i)
+        want[(r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
+    got = decontaminate.find_contamination(clashing(docs), bench, ["doc_id"], block_bytes=block_bytes)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    none = decontaminate.find_contamination(docs, bench.limit(0), ["doc_id"])
+    assert none.where("contaminated").count() == 0 and none.count() == docs.count()
+
+
+def test_lm_scores(spark, docs):
+    import math
+
+    train = docs.where("doc_id % 2 = 0")
+    model = maxent.fit(train, head=20)
+    got = maxent.score(clashing(docs), model, ["doc_id"]).collect()
+    c = Counter()
+    for r in train.collect():
+        c.update([*split(low(r.text)), b"\n"])
+    n, v = sum(c.values()), len(c)
+    want = Counter()
+    for r in docs.collect():
+        t = [*split(low(r.text)), b"\n"]
+        want[(r.doc_id, len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 5))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+    assert all(r.score < 0 for r in got)
+    empty = maxent.fit(docs.limit(0))
+    assert maxent.score(docs, empty, ["doc_id"]).count() == docs.count()
+
+
+def test_lm_is_better_than_counts_on_held_out_text(spark):
+    out = QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.95 * out[1]
+
+
+def test_lm_classes_sum_to_one():
+    head = [(w, n) for w, n in ((b"the", 50), (b"of", 30), (b"\n", 10), (b"und", 5))]
+    v = maxent.Vocabulary(head, {0: (3, 2)}, 98, 6)
+    for k in set(v.cls.tolist()):
+        assert abs(sum(10 ** v.inner[v.cls == k]) - 1) < 1e-9
+    w = np.random.default_rng(0).normal(size=(3 * maxent.FEATURE_ROWS + 1, v.classes)).astype(np.float32)
+    _, _, h, _ = v.encode([b"the", b"zzz", b"\n"])
+    assert np.allclose(np.exp(maxent.log_probabilities(w, list(maxent.features(h)))).sum(1), 1, atol=1e-4)
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_id_edges(spark, docs):
+    d = {"en": (b"the of and with that this from have", 0.6), "de": (b"der die und nicht ein auf dem ist", 0.4)}
+    out = {r.doc_id: r for r in langid.identify(clashing(docs), d, ["doc_id"]).collect()}
+    odd = [r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")]
+    assert all(out[i].lang_pred == "und" and out[i].rejected for i in odd)
+    assert langid.identify(docs, langid.fit_dictionaries(docs.limit(0)), ["doc_id"]).where("lang_pred != 'und'").count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "a</turn>\n### b: \\# \\\\< \\"), (1, 1, "assistant", None), (1, 2, None, "x"), (2, 0, "as: s\\", "### user: </turn>"), (2, 0, "assistant", "é\n"), (2, None, "assistant", "first"), (None, 1, "assistant", "n")] + [(3, i, "assistant", "\\" * (i % 5) + "#" * (i % 4) + "</turn>") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.conversation_digests(clashing(df)).collect()}
+    for conv in (1, 2, 3, None):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or ""))
+        loss = "".join(t or "" for _, _, r, t in mine if r == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.loss_chars) == (len(mine), len(loss)) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x or ''}\n{t or ''}\n" for _, _, x, t in mine).encode()).hexdigest()
+        whole = "".join(chat.format_turn(x, t)[0] for _, _, x, t in mine)
+        assert [p[:2] for p in chat.parse(whole)] == [(x or "", t or "") for _, _, x, t in mine] and len(whole) == r.formatted_chars
+    assert chat.parse("### user hello</turn>\n") is None and chat.parse("### user: x</turn>") is None
+    assert chat.conversation_digests(df.limit(0)).count() == 0 and chat.format_turns(df).count() == len(rows)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
+<nav><ul><li><a href="/a">Menu</a></ul></nav><div class="cookie-notice">We use cookies</div><main><article class="post"><h1>Head &amp; line</h1><p>First   para <b>bold<br>
+more</b> text that is long enough to count as content of the page, surely it is.<p>Ok.</p><blockquote>Quoted words that are long too, long enough for content.</blockquote><form><p>Sign up</p></form>
+<div class="ad">Buy now</div><ul><li>item one<li>item two</ul><p>Last paragraph that goes on for a while so that it is content again.</p></article>
+<section id="comments"><p>Reader comment that is long enough to look like content, but it is a comment all the same.</p></section></main>
+<aside class="sidebar"><p>Related</p></aside><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_text():
+    assert htmltext.main_lines(PAGE) == [
+        "Head & line", "First para bold more text that is long enough to count as content of the page, surely it is.", "Ok.", "Quoted words that are long too, long enough for content.", "item one", "item two", "Last paragraph that goes on for a while so that it is content again."
+    ]
+    assert htmltext.main_text(None) == "" and htmltext.main_text("<p>") == "" and htmltext.main_text("plain &lt; text") == "plain < text"
+    assert htmltext.main_text("<article><p>a<p>b</article><footer>f") == "a\nb"
+
+
+def test_html_of_given_pages(spark):
+    import re
+
+    for r in QUERIES["op10_html_extraction"](spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
+        import html as H
+
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want = [" ".join(H.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?p>|</?h1>", body)]
+        assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_on_empty_tables(spark, tmp_path, name):
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == (name == "op9_chat_formatting")
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+    from tessella.llm.common import read, table
+
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, sf, "documents")
+    for name, stage in P.STAGES:
+        out = table(stage(spark, docs, sf), name)
+        before = {r.doc_id: r for r in docs.collect()}
+        if name != "packing":
+            assert out.columns == docs.columns
+            after = {r.doc_id: r for r in out.collect()}
+        if name == "language_id":
+            assert all(before[i] == after[i] for i in after) and len(after) >= 0.97 * len(before)
+        elif name == "near_dedup":
+            ids = sorted(before)
+            want = brute_components(ids, [brute_fingerprint(before[i].text, 5) for i in ids])
+            assert set(after) == set(want) and all(before[i] == after[i] for i in after)
+        elif name == "suffix_dedup":
+            want = {r[0]: r for r in brute_repeats([(i, (before[i].text or "").encode()) for i in sorted(before)])}
+            assert set(after) == set(before) and all((after[i].text == before[i].text) == (want[i][2] == 0) and after[i].n_chars == len(after[i].text) for i in after)
+        elif name == "decontamination":
+            bad = {r.doc_id for r in decontaminate.find_contamination(docs, read(spark, sf, "benchmark"), ["doc_id"]).where("contaminated").collect()}
+            assert set(after) == set(before) - bad
+        else:
+            assert {r.doc_id for r in out.select("doc_id").collect()} == set(before)
+        docs = out
