@@ -273,19 +273,19 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[bytes, int, object]]:
             node //= 2
 
 
-def repeated_windows(group: list[tuple[bytes, int, int]], k: int, window: int) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end) of what is repeated among suffixes with the same first k bytes; each is (key, id, position)."""
+def repeated_windows(group: list[tuple[bytes, int, int, int]], k: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(id, row, start, end) of what is repeated among suffixes with the same first k bytes; each is (key, id, row, position)."""
     least: dict[bytes, int] = {}
-    for key, d, _ in group:
+    for key, d, _, _ in group:
         if key not in least or d < least[key]:
             least[key] = d
     if len(least) == 1:
         ((key, smallest),) = least.items()
         size = len(key) - 2
-        for _, d, x in group:
+        for _, d, row, x in group:
             if d > smallest:
                 start = x - key[k + 1]
-                yield d, start, start + size
+                yield d, row, start, start + size
         return
     first: dict[bytes, int] = {}
     strings = {}
@@ -298,7 +298,7 @@ def repeated_windows(group: list[tuple[bytes, int, int]], k: int, window: int) -
             w = s[i : i + window]
             if d < first.get(w, d + 1):
                 first[w] = d
-    for key, d, x in group:
+    for key, d, row, x in group:
         s, start, open_at = strings[key], x - key[k + 1], None
         n = len(s) - window + 1
         for i in range(n + 1):
@@ -306,7 +306,7 @@ def repeated_windows(group: list[tuple[bytes, int, int]], k: int, window: int) -
             if hit and open_at is None:
                 open_at = i
             elif not hit and open_at is not None:
-                yield d, start + open_at, start + i - 1 + window
+                yield d, row, start + open_at, start + i - 1 + window
                 open_at = None
 
 
@@ -317,31 +317,32 @@ def _key(data: bytes, x: int, first: int, last: int, k: int, window: int) -> byt
 
 
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(id, start, end): byte ranges that repeat what a document with a smaller id has."""
+    """(id, row, start, end): byte ranges that repeat what a document with a smaller id has. `row` is the hash of the text, which tells
+    rows with one id apart."""
     bits = 64 - (buckets.bit_length() - 1)
 
     def runs(batches: Iterator[list]):
-        for ids, texts, hashes in batches:
-            entries: list[tuple[int, bytes, int, int]] = []
-            for d, t, hs in zip(ids.to_pylist(), texts.cast("binary").to_pylist(), hashes, strict=True):
+        for ids, row_ids, texts, hashes in batches:
+            entries: list[tuple[int, bytes, int, int, int]] = []
+            for d, row, t, hs in zip(ids.to_pylist(), row_ids.to_pylist(), texts.cast("binary").to_pylist(), hashes, strict=True):
                 if not t or len(t) < WINDOW:
                     continue
                 h, x, first, last = anchors(np.frombuffer(t, np.uint8))
                 pick = np.flatnonzero(np.isin(h, hs.values.to_numpy().view(np.uint64)))
                 b = (h[pick] >> np.uint64(bits)).astype(np.int64).tolist()
-                entries += [(i, _key(t, a, f, z, ANCHOR, WINDOW), d, a) for i, a, f, z in zip(b, x[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True)]
+                entries += [(i, _key(t, a, f, z, ANCHOR, WINDOW), d, row, a) for i, a, f, z in zip(b, x[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True)]
             entries.sort()
             out: list[list] = [[], []]
-            done: list[tuple[int, int, int]] = []
+            done: list[tuple[int, int, int, int]] = []
             keys, values, bucket, before, smallest = [], [], None, None, 0
 
             def close(bucket: int) -> None:
                 lcps, lens, rest = front_code(keys)
                 out[0].append(bucket)
-                out[1].append(_pack(np.array(lcps, "u1"), np.array(lens, "u1"), np.frombuffer(rest, "u1"), np.array([v[0] for v in values], "<i8"), np.array([v[1] for v in values], "<i8"), *_marks(done)))
+                out[1].append(_pack(np.array(lcps, "u1"), np.array(lens, "u1"), np.frombuffer(rest, "u1"), *(np.array([v[i] for v in values], "<i8") for i in range(3)), *_marks(done)))
                 done.clear(), keys.clear(), values.clear()
 
-            for b, key, d, x in entries:
+            for b, key, d, row, x in entries:
                 if b != bucket:
                     if keys:
                         close(bucket)
@@ -350,10 +351,10 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
                     before, smallest = key, d
                 if d > smallest:  # a repeat within this batch
                     start = x - key[ANCHOR + 1]
-                    done.append((d, start, start + len(key) - 2))
+                    done.append((d, row, start, start + len(key) - 2))
                 else:
                     keys.append(key)
-                    values.append((d, x))
+                    values.append((d, row, x))
             if keys:
                 close(bucket)
             if out[0]:
@@ -363,31 +364,31 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
         for _, rows in _by_bucket(batches):
             read_runs, found = [], []
             for _, blob in rows:
-                lcps, lens, rest, d, x, md, ms, me = _unpack(blob, "u1", "u1", "u1", "<i8", "<i8", "<i8", "<i8", "<i8")
-                read_runs.append(Run(lcps.tolist(), lens.tolist(), rest.tobytes(), zip(d.tolist(), x.tolist(), strict=True)))
-                if len(md):
-                    found.append((md, ms, me))
-            group: list[tuple[bytes, int, int]] = []
-            out: list[tuple[int, int, int]] = []
-            for key, agree, (d, x) in merge_runs(read_runs):
+                lcps, lens, rest, d, r, x, *marks = _unpack(blob, "u1", "u1", "u1", *["<i8"] * 7)
+                read_runs.append(Run(lcps.tolist(), lens.tolist(), rest.tobytes(), zip(d.tolist(), r.tolist(), x.tolist(), strict=True)))
+                if len(marks[0]):
+                    found.append(marks)
+            group: list[tuple[bytes, int, int, int]] = []
+            out: list[tuple[int, int, int, int]] = []
+            for key, agree, value in merge_runs(read_runs):
                 if agree < ANCHOR and group:
                     if len(group) > 1:
                         out += repeated_windows(group, ANCHOR, WINDOW)
                     group = []
-                group.append((key, d, x))
+                group.append((key, *value))
             if len(group) > 1:
                 out += repeated_windows(group, ANCHOR, WINDOW)
             for cols in [*found, *([_marks(out)] if out else [])]:
                 yield list(cols)
 
     with_hashes = docs.join(shared.groupBy("id").agg(F.collect_list("h").alias("hs")).hint("shuffle_hash"), "id")
-    sent = map_rows(with_hashes, ["id", "text", "hs"], runs, "b int, blob binary", arrow=True)
-    return map_rows(_dealt(sent, buckets), ["b", "blob"], merge, "id long, start long, end long")
+    sent = map_rows(with_hashes, ["id", "row", "text", "hs"], runs, "b int, blob binary", arrow=True)
+    return map_rows(_dealt(sent, buckets), ["b", "blob"], merge, "id long, row long, start long, end long")
 
 
-def _marks(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a = np.array(rows, "<i8").reshape(-1, 3)
-    return a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy()
+def _marks(rows: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+    a = np.array(rows, "<i8").reshape(-1, 4)
+    return [a[:, i].copy() for i in range(4)]
 
 
 def united(starts: Iterable[int], ends: Iterable[int]) -> list[tuple[int, int]]:
@@ -401,21 +402,29 @@ def united(starts: Iterable[int], ends: Iterable[int]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
+def _spans(own, rows, starts, ends) -> Iterator[list[tuple[int, int]]]:
+    """Each row's maximal ranges: of those of its id, the ones that are for its text."""
+    for me, r, a, z in zip(own.to_pylist(), rows.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+        mine = [(s, e) for x, s, e in zip(r, a, z, strict=True) if x == me] if r else []
+        yield united([s for s, _ in mine], [e for _, e in mine])
+
+
 def removal_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (id, text) and, per id with any, its ranges as arrays (id, starts, ends)."""
-    docs = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.col(text).alias("text"))
+    """The documents as (id, row, text) and, for ids with any, the ranges as arrays (id, rows, starts, ends). Both joins with the
+    documents are by id alone, so that one exchange of the texts serves both."""
+    docs = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     shared = table(shared_anchors(docs), "suffix-anchors")
     marks = repeats(docs, shared)
-    return docs, marks.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    return docs, marks.groupBy("id").agg(F.collect_list("row").alias("rows"), F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
 def dedup_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def work(batches: Iterator[list]):
-        for ids, texts, starts, ends in batches:
+        for ids, own, texts, rows, starts, ends in batches:
             out: list[list] = [[], [], [], [], []]
-            for d, t, a, z in zip(ids.to_pylist(), texts.cast("binary").to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+            for d, t, spans in zip(ids.to_pylist(), texts.cast("binary").to_pylist(), _spans(own, rows, starts, ends), strict=True):
                 data = t or b""
-                spans, kept, at = united(a or (), z or ()), hashlib.sha256(), 0
+                kept, at = hashlib.sha256(), 0
                 for s, e in spans:
                     kept.update(data[at:s])
                     at = e
@@ -426,7 +435,7 @@ def dedup_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     docs, spans = removal_spans(df, key, text)
     joined = docs.join(spans.hint("shuffle_hash"), "id", "left")
-    return map_rows(joined, ["id", "text", "starts", "ends"], work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", arrow=True)
+    return map_rows(joined, ["id", "row", "text", "rows", "starts", "ends"], work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", arrow=True)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,20 +443,20 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     keep = [c for c in df.columns if c != text]
 
     def work(batches: Iterator[list]):
-        for *kept, texts, starts, ends in batches:
+        for *kept, texts, own, rows, starts, ends in batches:
             out = []
-            for t, a, z in zip(texts.cast("binary").to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+            for t, spans in zip(texts.cast("binary").to_pylist(), _spans(own, rows, starts, ends), strict=True):
                 parts, at = [], 0
-                for s, e in united(a or (), z or ()):
+                for s, e in spans:
                     parts.append(t[at:s])
                     at = e
                 out.append(None if t is None else "".join(p.decode("utf-8", "ignore") for p in [*parts, t[at:]]))
             yield [*kept, out]
 
     _, spans = removal_spans(df, key, text)
-    joined = df.withColumn("_id", F.coalesce(F.col(key), F.lit(FIRST_ID))).join(spans.select(F.col("id").alias("_id"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")).hint("shuffle_hash"), "_id", "left")
+    joined = df.withColumn("_id", F.coalesce(F.col(key), F.lit(FIRST_ID))).withColumn("_hash", F.xxhash64(text)).join(spans.select(F.col("id").alias("_id"), F.col("rows").alias("_rows"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")).hint("shuffle_hash"), "_id", "left")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
-    return map_rows(joined, [*keep, text, "_starts", "_ends"], work, f"{schema}`{text}` string", arrow=True).select(*df.columns)
+    return map_rows(joined, [*keep, text, "_hash", "_rows", "_starts", "_ends"], work, f"{schema}`{text}` string", arrow=True).select(*df.columns)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
