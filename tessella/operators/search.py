@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +28,14 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int | None = None, key:
 
 def keyword_matches(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that hold all terms: (key, score), the score being the terms' frequency among all words. No terms, no rows."""
-    terms = [t for t in dict.fromkeys(t.lower() for t in terms) if t]
+    terms = list(dict.fromkeys(t for term in terms for t in re.findall("[a-z0-9]+", term.lower())))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    d = docs.select(key, C.words(F.col(text)).alias("w"))
-    hits = F.size(F.filter("w", lambda x: x.isin(terms)))
-    held = d.where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(F.col("w"), t)))
-    return held.select(key, F.round(hits / F.size("w"), 6).alias("score"))
+    # One blank between words and around all: a term is a plain substring then, and nothing leaves generated code.
+    d = docs.select(key, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")), F.lit(" ")).alias("w"))
+    held = d.where(reduce(and_, (F.contains("w", F.lit(f" {t} ")) for t in terms)))
+    hits = F.regexp_count("w", F.lit(f"(?<= )({'|'.join(terms)})(?= )"))
+    return held.select(key, F.round(hits / (F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1), 6).alias("score"))
 
 
 def ranked(hits: DataFrame, score: str, key: str, name: str) -> DataFrame:
