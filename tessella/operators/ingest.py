@@ -40,5 +40,5 @@ def emails(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n", least: int = 1) -> DataFrame:
     """Non-blank paragraphs in order."""
-    parts = F.filter(F.transform(F.split(F.col(text), separator), F.trim), lambda p: F.length(p) >= least)
+    parts = F.filter(F.transform(F.split(F.col(text), separator), lambda x: F.trim(x)), lambda p: F.length(p) >= least)
     return df.select(key, F.posexplode(parts).alias("chunk_index", "chunk"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
 from tessella.operators import analytics as A
+from tessella.operators import chunking as K
 from tessella.operators import graph as G
 from tessella.operators import ingest as I
 from tessella.operators import search as S
@@ -362,3 +363,53 @@ def count_per_owner(spark, d):
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def tombstones(spark, d):
     return I.tombstones(load(spark, d, "documents"), load(spark, d, "labels"), "doc_id")
+
+
+@query("WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, greatest(ceil((len(t) - 128) / 112.0)::BIGINT + 1, 1))) AS i FROM t) SELECT doc_id, i::INT AS chunk_index, len(t[i * 112 + 1 : i * 112 + 128])::INT AS n_tokens, md5(array_to_string(t[i * 112 + 1 : i * 112 + 128], ' ')) AS chunk_md5 FROM c")
+def fixed_token_windows(spark, d):
+    out = K.fixed_windows(load(spark, d, "documents"), "doc_id", "text", 128, 16)
+    return out.select("doc_id", "chunk_index", "n_tokens", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@query("SELECT conv_id, turn, (i - 1)::INT AS position, s[i] AS sentence FROM (SELECT conv_id, turn, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]'), lambda x: trim(x)), lambda x: length(x) >= 10) AS s FROM conversations))")
+def sentence_split(spark, d):
+    c = load(spark, d, "conversations").withColumn("k", F.struct("conv_id", "turn"))
+    return K.sentences(c, "k", "text").select("k.conv_id", "k.turn", "position", "sentence")
+
+
+@query("""WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), s AS (SELECT label, vec_id, round(list_cosine_similarity(e, b), 6) AS similarity FROM v WHERE b IS NOT NULL),
+ m AS (SELECT *, lag(similarity) OVER w AS l, lead(similarity) OVER w AS r, avg(similarity) OVER (PARTITION BY label) - coalesce(stddev_samp(similarity) OVER (PARTITION BY label), 0) AS t FROM s WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT label, vec_id, similarity FROM m WHERE similarity < l AND similarity < r AND similarity < t""")
+def coherence_breaks(spark, d):
+    return K.coherence_breaks(load(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+@query("SELECT *, CASE WHEN previous = 0 THEN 'new' WHEN current = 0 THEN 'gone' WHEN current > previous THEN 'up' WHEN current < previous THEN 'down' ELSE 'steady' END AS direction FROM (SELECT user_id, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS previous, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS current FROM events GROUP BY 1)")
+def theme_shifts(spark, d):
+    return K.theme_shifts(load(spark, d, "events"), "user_id", "ts", F.lit("2024-01-15").cast("timestamp"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def pending_decisions(spark, d):
+    """Open orders without a returned line: decisions that nothing supersedes."""
+    done = load(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return load(spark, d, "orders").where("o_orderstatus = 'O'").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events GROUP BY 1")
+def latency_quantiles(spark, d):
+    return load(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.percentile("value", 0.99), 6).alias("p99"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type, arg_max(value, event_id) AS last_value, max(ts) AS last_ts FROM events GROUP BY 1")
+def gauge_last_value(spark, d):
+    return load(spark, d, "events").groupBy("event_type").agg(F.max_by("value", "event_id").alias("last_value"), F.max("ts").alias("last_ts"))
+
+
+@query("SELECT split_part(regexp_replace(url, '^https?://[^/]*/?', ''), '/', 1) AS endpoint_group, count(*) AS n FROM pages GROUP BY 1")
+def endpoint_groups(spark, d):
+    return load(spark, d, "pages").groupBy(F.split_part(F.regexp_replace("url", "^https?://[^/]*/?", ""), F.lit("/"), F.lit(1)).alias("endpoint_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM orders GROUP BY 1")
+def next_version(spark, d):
+    return load(spark, d, "orders").groupBy("o_custkey").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_version"))

@@ -23,7 +23,7 @@ def read_vault(spark: SparkSession, path: str, modified_after: str | None = None
 
 def wikilinks(text: Column) -> Column:
     """Targets of [[target|alias]] links, sorted, each once."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.trim(x))))
 
 
 def hashtags(text: Column) -> Column:
@@ -38,7 +38,7 @@ def transcript_format(name: Column, content: Column) -> Column:
 
 def transcript_text(content: Column) -> Column:
     """Spoken lines of a VTT or SRT transcript: cue numbers, times, headers and notes go."""
-    lines = F.transform(F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x))
     said = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(WEBVTT|NOTE)") & ~x.rlike(r"^\d+$") & ~x.contains("-->"))
     return F.array_join(F.transform(said, lambda x: F.regexp_replace(x, r"</?v[^>]*>", "")), "\n")
 
