@@ -1,11 +1,13 @@
 """Every registered query of the library against its SQL on DuckDB."""
 
+import os
+
 import duckdb
 import pytest
 
 from tessella.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
