@@ -9,6 +9,13 @@ Only distinct fingerprints take part, copies being classes of one. A cell gives
 cell beyond `cell_limit` points goes another way, exact and linear in its size: x and y differ by at most 3 bits if x with at most one bit and y with
 at most two bits turned over become equal, so all that meet at a value are linked through the least of each kind.
 
+With a `similarity`, texts whose sets of shingles have that Jaccard similarity are linked too, at up to WIDE differing bits, where blocks of
+bits are too short to search by. The set is dealt into about as many segments as it may differ in, so some segments of similar sets are equal;
+SIGNATURES of them are the cells (a pair at exactly the similarity has an equal one with probability 0.9998). Every row of a cell is
+compared with the WINDOW rows before it, in order of the next segment's contents; so cells of more than WINDOW rows are split by a second
+segment, and only in parts still larger than that can a link be missed, unless other rows or cells join the two. The embedding's lower bound and the
+fingerprint drop the rest of the pairs; then the sets themselves are compared.
+
 Null or empty text: fingerprint zero, linked like any other. A null id is the smallest. Repeated rows stay. Extra columns are
 ignored; an empty table gives no rows.
 """
@@ -27,6 +34,7 @@ from tessella.llm.common import ASCII_LOWER, map_rows, read, table
 from tessella.llm.components import component_roots
 
 DISTANCE, SHINGLE, CELL_LIMIT = 3, 3, 4096
+SIGNATURES, WINDOW, WIDE, BROADCAST_IDS = 20, 16, 24, 1_000_000
 FIRST_ID = -(1 << 63)
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
 
@@ -35,22 +43,61 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, repeats included, in parts of 65 536."""
     words = (text or b"").translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return
     k, data = min(shingle, len(words)), b" ".join(words)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    n, ones = len(words) - k + 1, np.zeros(64, np.int64)
-    spans = list(zip(starts[:n], ends[k - 1 :], strict=True))
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(data[a:z], 42) for a, z in spans[at : at + (1 << 16)]], "<u8")
+    spans = list(zip(starts[: len(words) - k + 1], ends[k - 1 :], strict=True))
+    for at in range(0, len(spans), 1 << 16):
+        yield np.array([digest(data[a:z], 42) for a, z in spans[at : at + (1 << 16)]], "<u8")
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in parts:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return _majority(shingle_hashes(text, shingle))
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = h + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def segment_signatures(distinct: np.ndarray, similarity: float) -> list[int]:
+    """Signatures of segments of a set of hashes. Sizes are classed in steps of 1 / similarity squared; a set also takes part in the next
+    class if a similar set can be in it. Sets that meet in a class differ in at most d hashes, and its segments are d + 1; where these are fewer than
+    SIGNATURES, they are dealt again with other salts."""
+    n, step, out = len(distinct), 1 / similarity, []
+    if not n:
+        return out
+    low = 0
+    while step ** (2 * (low + 1)) <= n:
+        low += 1
+    for c in (low, low + 1) if n * step >= step ** (2 * (low + 1)) else (low,):
+        segments = int(2 * step ** (2 * (c + 1)) * (1 - similarity) / (1 + similarity)) + 1
+        for salt in range(-(-SIGNATURES // segments) if segments > 1 else 1):
+            at = _mixed(distinct, 2 * salt + 1) % np.uint64(segments)
+            chosen = at < SIGNATURES
+            sums = np.zeros(min(segments, SIGNATURES), np.uint64)
+            np.add.at(sums, at[chosen].astype(np.int64), _mixed(distinct[chosen], 2 * salt + 2))
+            used = np.unique(at[chosen]).astype(np.int64)
+            out += [(int(x) ^ xxhash.xxh64_intdigest(f"{c} {salt} {i}")) for i, x in zip(used, sums[used], strict=True)]
+    return out
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp) of every row, fp as a signed long."""
 
@@ -62,6 +109,22 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return map_rows(rows, ["id", "text"], work, "id long, fp long", arrow=True)
 
 
+def signed_fingerprints(df: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, fp, n, set_hash, signatures) of every row, in one pass over its text."""
+
+    def one(t: bytes | None) -> tuple:
+        parts = list(shingle_hashes(t, shingle))
+        distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        return _signed(_majority(parts)), len(distinct), _signed(int(_mixed(distinct, 0).sum(dtype=np.uint64))), [_signed(x) for x in segment_signatures(distinct, similarity)]
+
+    def work(batches: Iterator[list]):
+        for ids, texts in batches:
+            yield [ids, *map(list, zip(*map(one, texts.cast("binary").to_pylist()), strict=True))]
+
+    rows = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.col(text).alias("text"))
+    return map_rows(rows, ["id", "text"], work, "id long, fp long, n int, set_hash long, signatures array<long>", arrow=True)
+
+
 def block_masks() -> list[int]:
     """One mask of bits for each choice of all but DISTANCE blocks of segments."""
     ends = list(accumulate(2 * n for n in BLOCKS))
@@ -166,9 +229,69 @@ def meeting_links(fps: DataFrame) -> DataFrame:
     return a.join(least_b, "value").select(F.col("fp").alias("u"), F.col("m").alias("v")).unionByName(b.join(least_a, "value").select(F.col("fp").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def near_duplicate_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """(id, fp, component): one row per input row; the component is the smallest id reachable, FIRST_ID standing for null."""
-    rows = table(fingerprints(df, key, text, shingle), "fingerprints")
+def _wide_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): ids of different sets that share a cell and whose sizes and fingerprints allow the similarity, beyond DISTANCE bits."""
+    sets = rows.where("n > 0").groupBy("set_hash", "fp", "n").agg(F.min("id").alias("id"), F.first("signatures").alias("s"))
+    spread = sets.select("id", "fp", "n", F.explode(F.arrays_zip(F.col("s").alias("cell"), F.concat(F.slice("s", 2, F.size("s")), F.slice("s", 1, 1)).alias("next"))).alias("c"))
+
+    def work(batches: Iterator[list[list]]):
+        cell, before = None, []
+        for cells, ids, fps, sizes in batches:
+            out: list[list] = [[], []]
+            for c, i, fp, n in zip(cells, ids, fps, sizes, strict=True):
+                if c != cell:
+                    cell, before = c, []
+                u = fp & 0xFFFFFFFFFFFFFFFF
+                p = _points(u)
+                for j, v, q, m in before:
+                    if min(n, m) >= similarity * max(n, m) and (p ^ q).bit_count() <= WIDE and DISTANCE < (u ^ v).bit_count() <= WIDE and i != j:
+                        out[0].append(min(i, j)), out[1].append(max(i, j))
+                before = [*before[-(WINDOW - 1) :], (i, u, p, n)]
+            if out[0]:
+                yield out
+
+    ordered = spread.select("c.cell", "c.next", "id", "fp", "n").repartition("cell").sortWithinPartitions("cell", "next", "n", "id")
+    return map_rows(ordered, ["cell", "id", "fp", "n"], work, "a long, b long").distinct()
+
+
+def similar_links(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets have the similarity, by their whole sets."""
+    pairs = table(_wide_pairs(rows, similarity), "wide-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def work(batches: Iterator[list]):
+        for found, texts in batches:
+            hashes = [np.unique(np.concatenate(list(shingle_hashes(t, shingle)) or [np.zeros(0, "<u8")])).view(np.int64).tolist() for t in texts.cast("binary").to_pylist()]
+            yield [found, hashes]
+
+    named = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    sets = table(map_rows(named, ["id", "text"], work, "id long, h array<long>", arrow=True), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+
+
+def near_duplicate_components(
+    df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, cell_limit: int = CELL_LIMIT, similarity: float | None = None
+) -> DataFrame:
+    """(id, fp, component): one row per input row; the component is the smallest id reachable, FIRST_ID standing for null. With a
+    `similarity`, sets of shingles that have it are linked as well."""
+    rows = table(fingerprints(df, key, text, shingle) if similarity is None else signed_fingerprints(df, key, text, shingle, similarity), "fingerprints")
+    near = _by_fingerprint(rows.select("id", "fp"), cell_limit)
+    if similarity is None:
+        return near
+    near = table(near, "near")
+    least = near.select("id", "component").distinct()
+    ends = [least.select(F.col("id").alias(e), F.col("component").alias(c)) for e, c in (("a", "u"), ("b", "v"))]
+    links = similar_links(df, rows, key, text, shingle, similarity).join(ends[0], "a").join(ends[1], "b").where("u != v").select("u", "v").distinct()
+    roots = component_roots(links)
+    return near.join(roots, near.component == roots.node, "left").select("id", "fp", F.coalesce("root", "component").alias("component"))
+
+
+def _by_fingerprint(rows: DataFrame, cell_limit: int) -> DataFrame:
+    """The components by fingerprints alone."""
     classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
     found = table(_cell_links(classes.select("fp"), cell_limit), "links")
     links = found.where(F.col("v").isNotNull())

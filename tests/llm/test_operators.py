@@ -173,7 +173,12 @@ def brute_fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(ids, fps):
+def brute_shingles(text, k=5):
+    w = [x.decode() for x in split(low(text))]
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute_components(ids, fps, sets=None):
     parent = list(range(len(ids)))
 
     def find(i):
@@ -183,7 +188,8 @@ def brute_components(ids, fps):
 
     for i in range(len(ids)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            alike = sets and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or alike:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     least = {}
     for i, d in enumerate(ids):
@@ -222,6 +228,29 @@ def test_forest_and_grid_lose_no_link():
         assert (p ^ q).bit_count() <= (x ^ y).bit_count() and any(p & m == q & m for m in masks)
 
 
+def test_similar_texts_are_linked(spark):
+    """Near copies of all sizes, some just at the similarity, beside texts that share a long passage; with nulls, empty texts and repeated rows."""
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    shared, texts = [rnd.choice(vocab) for _ in range(60)], [None, "", "one", "one", "two words"]
+    for n in (4, 5, 8, 9, 14, 30, 60, 61, 120, 300, 700, 2000) * 3:
+        words = [rnd.choice(vocab) for _ in range(n)]
+        texts.append(" ".join(words))
+        for edits in {1, max(1, n // 60), max(1, n // 45)}:
+            copy = list(words)
+            for at in rnd.sample(range(n), edits):
+                copy[at] = rnd.choice(vocab)
+            texts.append(" ".join(copy))
+        texts += [" ".join(words[: -(n // 6) or None]), " ".join(shared + words[:40]), "Extra " + " ".join(words).upper()]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[9]), (7, texts[7])]
+    got = simhash.near_duplicate_components(clashing(spark.createDataFrame(rows, "doc_id long, text string")), shingle=5, similarity=0.8).collect()
+    ids = [simhash.FIRST_ID if i is None else i for i, _ in rows]
+    want = brute_components(ids, [brute_fingerprint(t, 5) for _, t in rows], [brute_shingles(t) for _, t in rows])
+    alone = brute_components(ids, [brute_fingerprint(t, 5) for _, t in rows])
+    assert Counter((r.id, r.component) for r in got) == Counter(zip(ids, want)) and len(set(want)) < len(set(alone)) - 20
+    assert simhash.near_duplicate_components(spark.createDataFrame([], "doc_id long, text string"), similarity=0.8).count() == 0
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 60), (60, 80), (7, 7)]
     out = {r.node: r.root for r in component_roots(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -373,7 +402,7 @@ def test_pipeline(spark):
             assert all(before[i] == after[i] for i in after) and len(after) >= 0.97 * len(before)
         elif name == "near_dedup":
             ids = sorted(before)
-            want = brute_components(ids, [brute_fingerprint(before[i].text, 5) for i in ids])
+            want = brute_components(ids, [brute_fingerprint(before[i].text, 5) for i in ids], [brute_shingles(before[i].text) for i in ids])
             assert set(after) == set(want) and all(before[i] == after[i] for i in after)
         elif name == "suffix_dedup":
             want = {r[0]: r for r in brute_repeats([(i, (before[i].text or "").encode()) for i in sorted(before)])}
