@@ -50,3 +50,15 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
     o, n = old.select(key, F.col(value).alias("old")), new.select(key, F.col(value).alias("new"))
     out = o.join(n, key, "full").withColumn("state", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed"))
     return out.where(F.col("state").isNotNull()).withColumn("delta", F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0)))
+
+
+def merged_entities(stored: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Upsert of entities (key, mentions, first_seen, last_seen): counts add up, times widen; is_new marks those not stored before."""
+    both = stored.withColumn("is_new", F.lit(False)).unionByName(found.withColumn("is_new", F.lit(True)))
+    return both.groupBy(key).agg(F.sum("mentions").alias("mentions"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.every("is_new").alias("is_new"))
+
+
+def merged_edges(edges: DataFrame, src: DataFrame, dst: DataFrame, a: str, b: str, at: str) -> DataFrame:
+    """Edges counted by their ends, with the last time; an edge is skipped if an end is no node. Counting comes before the joins."""
+    counted = edges.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last"))
+    return counted.join(src, a, "left_semi").join(dst, b, "left_semi")

@@ -413,3 +413,25 @@ def endpoint_groups(spark, d):
 @query("SELECT o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM orders GROUP BY 1")
 def next_version(spark, d):
     return load(spark, d, "orders").groupBy("o_custkey").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_version"))
+
+
+@query("SELECT l_partkey, count(*) AS mentions, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1998-01-01') = 0 AS is_new FROM lineitem GROUP BY 1")
+def entity_upsert(spark, d):
+    """Mentions before 1998 are taken to be stored, later ones to be found now."""
+    m, cut = load(spark, d, "lineitem").select("l_partkey", "l_shipdate"), F.lit("1998-01-01").cast("timestamp")
+    entities = lambda df: df.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("mentions"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
+    return G.merged_entities(entities(m.where(F.col("l_shipdate") < cut)), entities(m.where(F.col("l_shipdate") >= cut)), "l_partkey")
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n, max(l_shipdate) AS last FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2")
+def edge_merge(spark, d):
+    parts = load(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
+    suppliers = load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return G.merged_edges(load(spark, d, "lineitem"), parts, suppliers, "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@query("SELECT event_type, round(count(*) / (30 / 7.0::DOUBLE), 1) AS per_week FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 30 DAY AND ts < TIMESTAMP '2024-02-01' GROUP BY 1")
+def weekly_load(spark, d):
+    until = F.lit(AS_OF).cast("timestamp")
+    seen = load(spark, d, "events").where((F.col("ts") >= until - F.expr("INTERVAL 30 DAYS")) & (F.col("ts") < until))
+    return seen.groupBy("event_type").agg(F.round(F.count(F.lit(1)) / (30 / 7.0), 1).alias("per_week"))
