@@ -9,12 +9,12 @@ Only distinct fingerprints take part, copies being classes of one. A cell gives
 cell beyond `cell_limit` points goes another way, exact and linear in its size: x and y differ by at most 3 bits if x with at most one bit and y with
 at most two bits turned over become equal, so all that meet at a value are linked through the least of each kind.
 
-With a `similarity`, texts whose sets of shingles have that Jaccard similarity are linked too, at up to WIDE differing bits, where blocks of
-bits are too short to search by. The set is dealt into about as many segments as it may differ in, so some segments of similar sets are equal;
-SIGNATURES of them are the cells (a pair at exactly the similarity has an equal one with probability 0.9998). Every row of a cell is
-compared with the WINDOW rows before it, in order of the next segment's contents; so cells of more than WINDOW rows are split by a second
-segment, and only in parts still larger than that can a link be missed, unless other rows or cells join the two. The embedding's lower bound and the
-fingerprint drop the rest of the pairs; then the sets themselves are compared.
+With a `similarity`, texts whose sets of shingles have that Jaccard similarity are linked too, however many bits their fingerprints differ in.
+The search is exact: sets are put in one order of all shingles (those that are common in a sample last), and similar sets share a shingle of their
+prefixes, which leave out so many that the rest alone is too few. A shingle is a cell; a pair is taken from it only if sizes and places
+allow the similarity (no more than what follows a first common shingle can be common). A cell of more than CROWD sets first gives pairs of neighbours; what
+these join counts as one, and then all pairs of the cell that are still apart are taken. The sample and the neighbours only save work.
+Every pair is decided by its whole sets.
 
 Null or empty text: fingerprint zero, linked like any other. A null id is the smallest. Repeated rows stay. Extra columns are
 ignored; an empty table gives no rows.
@@ -22,6 +22,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -34,7 +35,7 @@ from tessella.llm.common import ASCII_LOWER, map_rows, read, table
 from tessella.llm.components import component_roots
 
 DISTANCE, SHINGLE, CELL_LIMIT = 3, 3, 4096
-SIGNATURES, WINDOW, WIDE, BROADCAST_IDS = 20, 16, 24, 1_000_000
+CROWD, NEIGHBOURS, SAMPLE, COMMON, BROADCAST_IDS = 16, 2, 10_000, 65_536, 1_000_000
 FIRST_ID = -(1 << 63)
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
 
@@ -69,33 +70,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return _majority(shingle_hashes(text, shingle))
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    h = h + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(text, shingle)]))
 
 
-def segment_signatures(distinct: np.ndarray, similarity: float) -> list[int]:
-    """Signatures of segments of a set of hashes. Sizes are classed in steps of 1 / similarity squared; a set also takes part in the next
-    class if a similar set can be in it. Sets that meet in a class differ in at most d hashes, and its segments are d + 1; where these are fewer than
-    SIGNATURES, they are dealt again with other salts."""
-    n, step, out = len(distinct), 1 / similarity, []
-    if not n:
-        return out
-    low = 0
-    while step ** (2 * (low + 1)) <= n:
-        low += 1
-    for c in (low, low + 1) if n * step >= step ** (2 * (low + 1)) else (low,):
-        segments = int(2 * step ** (2 * (c + 1)) * (1 - similarity) / (1 + similarity)) + 1
-        for salt in range(-(-SIGNATURES // segments) if segments > 1 else 1):
-            at = _mixed(distinct, 2 * salt + 1) % np.uint64(segments)
-            chosen = at < SIGNATURES
-            sums = np.zeros(min(segments, SIGNATURES), np.uint64)
-            np.add.at(sums, at[chosen].astype(np.int64), _mixed(distinct[chosen], 2 * salt + 2))
-            used = np.unique(at[chosen]).astype(np.int64)
-            out += [(int(x) ^ xxhash.xxh64_intdigest(f"{c} {salt} {i}")) for i, x in zip(used, sums[used], strict=True)]
-    return out
+def set_hash(distinct: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(distinct.tobytes()))
+
+
+def ordered_prefix(distinct: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, one more than it can lack in a similar one. `common`: sorted hashes that come last, by their rank."""
+    at = np.minimum(np.searchsorted(common, distinct), max(0, len(common) - 1))
+    last = np.where(common[at] == distinct, rank[at], 0) if len(common) else np.zeros(len(distinct), np.int64)
+    return distinct[np.argsort(last, kind="stable")[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-6) + 1]]
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -109,20 +97,20 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return map_rows(rows, ["id", "text"], work, "id long, fp long", arrow=True)
 
 
-def signed_fingerprints(df: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, fp, n, set_hash, signatures) of every row, in one pass over its text."""
+def set_rows(df: DataFrame, key: str, text: str, shingle: int, bits: bool = False) -> DataFrame:
+    """(id, text_hash, n, set_hash) of every row and, with `bits`, its fp, in one pass over its text."""
 
     def one(t: bytes | None) -> tuple:
         parts = list(shingle_hashes(t, shingle))
-        distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        return _signed(_majority(parts)), len(distinct), _signed(int(_mixed(distinct, 0).sum(dtype=np.uint64))), [_signed(x) for x in segment_signatures(distinct, similarity)]
+        distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+        return len(distinct), set_hash(distinct), *([_signed(_majority(parts))] if bits else [])
 
     def work(batches: Iterator[list]):
-        for ids, texts in batches:
-            yield [ids, *map(list, zip(*map(one, texts.cast("binary").to_pylist()), strict=True))]
+        for ids, hashes, texts in batches:
+            yield [ids, hashes, *map(list, zip(*map(one, texts.cast("binary").to_pylist()), strict=True))]
 
-    rows = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.col(text).alias("text"))
-    return map_rows(rows, ["id", "text"], work, "id long, fp long, n int, set_hash long, signatures array<long>", arrow=True)
+    rows = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_rows(rows, ["id", "text_hash", "text"], work, "id long, text_hash long, n int, set_hash long" + ", fp long" * bits, arrow=True)
 
 
 def block_masks() -> list[int]:
@@ -229,48 +217,192 @@ def meeting_links(fps: DataFrame) -> DataFrame:
     return a.join(least_b, "value").select(F.col("fp").alias("u"), F.col("m").alias("v")).unionByName(b.join(least_a, "value").select(F.col("fp").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def _wide_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): ids of different sets that share a cell and whose sizes and fingerprints allow the similarity, beyond DISTANCE bits."""
-    sets = rows.where("n > 0").groupBy("set_hash", "fp", "n").agg(F.min("id").alias("id"), F.first("signatures").alias("s"))
-    spread = sets.select("id", "fp", "n", F.explode(F.arrays_zip(F.col("s").alias("cell"), F.concat(F.slice("s", 2, F.size("s")), F.slice("s", 1, 1)).alias("next"))).alias("c"))
+def _whole_sets(df: DataFrame, text: str, shingle: int, classes: DataFrame) -> DataFrame:
+    """(set_hash, h): the sets of `classes` (text_hash of one of their texts), each once."""
+    ids = classes.select("text_hash").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
-    def work(batches: Iterator[list[list]]):
-        cell, before = None, []
-        for cells, ids, fps, sizes in batches:
+    def work(batches: Iterator[list]):
+        seen: set[int] = set()
+        for hashes, texts in batches:
             out: list[list] = [[], []]
-            for c, i, fp, n in zip(cells, ids, fps, sizes, strict=True):
-                if c != cell:
-                    cell, before = c, []
-                u = fp & 0xFFFFFFFFFFFFFFFF
-                p = _points(u)
-                for j, v, q, m in before:
-                    if min(n, m) >= similarity * max(n, m) and (p ^ q).bit_count() <= WIDE and DISTANCE < (u ^ v).bit_count() <= WIDE and i != j:
-                        out[0].append(min(i, j)), out[1].append(max(i, j))
-                before = [*before[-(WINDOW - 1) :], (i, u, p, n)]
-            if out[0]:
-                yield out
+            for x, t in zip(hashes.to_pylist(), texts.cast("binary").to_pylist(), strict=True):
+                if x not in seen:
+                    seen.add(x)
+                    distinct = shingle_set(t, shingle)
+                    out[0].append(set_hash(distinct)), out[1].append(distinct.view(np.int64))
+            yield out
 
-    ordered = spread.select("c.cell", "c.next", "id", "fp", "n").repartition("cell").sortWithinPartitions("cell", "next", "n", "id")
-    return map_rows(ordered, ["cell", "id", "fp", "n"], work, "a long, b long").distinct()
+    rows = df.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(ids, "text_hash", "left_semi")
+    return map_rows(rows, ["text_hash", "text"], work, "set_hash long, h array<long>", arrow=True).dropDuplicates(["set_hash"])
 
 
-def similar_links(df: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs whose sets have the similarity, by their whole sets."""
-    pairs = table(_wide_pairs(rows, similarity), "wide-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def _common_shingles(df: DataFrame, text: str, shingle: int, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes found in three or more sets of a sample, sorted, and their ranks by count. They decide the order of shingles, never a result."""
+    total = classes.count()
+    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * SAMPLE // max(1, total))
+    sample = _whole_sets(df, text, shingle, classes.where(F.xxhash64("set_hash") <= bound))
+    counted = sample.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON)
+    found = np.array([r.h for r in counted.select("h").collect()], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
+
+def _prefix_rows(df: DataFrame, text: str, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(cell, set_hash, n, at): the shingles of each set's prefix and their places; copies of a text only once in a task."""
+    shared = df.sparkSession.sparkContext.broadcast(common)
+
+    def work(batches: Iterator[list]):
+        seen: set[int] = set()
+        for (texts,) in batches:
+            cells, sets, sizes, places = [np.zeros(0, "<u8")], [], [], []
+            for t in texts.cast("binary").to_pylist():
+                distinct = shingle_set(t, shingle)
+                x = set_hash(distinct)
+                if not len(distinct) or x in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(x)
+                prefix = ordered_prefix(distinct, *shared.value, similarity)
+                cells.append(prefix), sets.append((x, len(prefix))), sizes.append(len(distinct)), places.append(np.arange(len(prefix), dtype=np.int32))
+            each = [k for _, k in sets]
+            yield [np.concatenate(cells).view(np.int64), np.repeat(np.array([x for x, _ in sets], np.int64), each), np.repeat(np.array(sizes, np.int32), each), np.concatenate([np.zeros(0, np.int32), *places])]
+
+    return map_rows(df.select(F.col(text).alias("text")), ["text"], work, "cell long, set_hash long, n int, at int", arrow=True)
+
+
+def _cells(batches: Iterator[list]) -> Iterator[list[np.ndarray]]:
+    """The columns of each cell of two or more rows, from batches of sorted cells; each set once."""
+    held: list[list[np.ndarray]] = []
+
+    def closed(cols: list[np.ndarray], last: bool) -> Iterator[list[np.ndarray]]:
+        ends = [*(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), len(cols[0])]
+        held.clear()
+        if not last:
+            start = ends[-2] if len(ends) > 1 else 0
+            held.append([c[start:] for c in cols])
+            ends.pop()
+        start = 0
+        for end in ends:
+            if end - start > 1:
+                part = [c[start:end] for c in cols]
+                first = np.concatenate([[True], part[1][1:] != part[1][:-1]])
+                if first.sum() > 1:
+                    yield [c[first] for c in part]
+            start = end
+
+    for cols in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in cols]
+        if held and held[0][0][0] == now[0][-1]:
+            held.append(now)
+        else:
+            yield from closed([np.concatenate(c) for c in zip(*held, now, strict=True)], False)
+    if held:
+        yield from closed([np.concatenate(c) for c in zip(*held, strict=True)], True)
+
+
+def _near_in_cell(cell: list[np.ndarray], similarity: float, before: int | None, labels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): the rows j < i of a cell, ordered by size, whose sizes and places allow the similarity to row i; among the `before` rows
+    before it, if given, and of another label."""
+    n, at = cell[2].astype(np.float64), cell[3]
+    partner = (n - at) * (1 + similarity) / similarity - n + 1e-6  # the largest size of a similar set, if this is their first common shingle
+    low = np.searchsorted(n, similarity * n - 1e-6)
+    high = np.minimum(np.arange(len(n)), np.searchsorted(n, partner, side="right"))
+    if before is not None:
+        low = np.maximum(low, np.arange(len(n)) - before)
+    most, others = None, None
+    if labels is not None:
+        values, counts = np.unique(labels, return_counts=True)
+        if len(values) == 1:
+            return
+        most = values[np.argmax(counts)]
+        others = np.flatnonzero(labels != most)
+    for i in np.flatnonzero(high > low).tolist():
+        if labels is not None and labels[i] == most:
+            js = others[np.searchsorted(others, low[i]) : np.searchsorted(others, high[i])]
+        else:
+            js = np.arange(low[i], high[i])
+            if labels is not None:
+                js = js[labels[js] != labels[i]]
+        js = js[partner[js] >= n[i]]
+        if len(js):
+            yield i, js
+
+
+def _pairs_of(cell: list[np.ndarray], found: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i, js in found:
+        yield np.minimum(cell[1][i], cell[1][js]), np.maximum(cell[1][i], cell[1][js])
+
+
+def _first_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, null...): pairs of cells, only of neighbours in crowded ones; (null, null, cell, set_hash, n, at): the rows of crowded cells."""
 
     def work(batches: Iterator[list]):
-        for found, texts in batches:
-            hashes = [np.unique(np.concatenate(list(shingle_hashes(t, shingle)) or [np.zeros(0, "<u8")])).view(np.int64).tolist() for t in texts.cast("binary").to_pylist()]
-            yield [found, hashes]
+        a, b, rows, size = [], [], [], 0
+
+        def block() -> list:
+            import pyarrow as pa
+
+            pairs, crowd = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)], [np.concatenate([np.zeros(0, np.int64), *x]) for x in (list(zip(*rows, strict=True)) or [()] * 4)]
+            return [pa.concat_arrays([pa.array(x), pa.nulls(len(crowd[0]), pa.int64())]) for x in pairs] + [pa.concat_arrays([pa.nulls(len(pairs[0]), pa.int64()), pa.array(x.astype(np.int64))]) for x in crowd]
+
+        for cell in _cells(batches):
+            crowded = len(cell[0]) > CROWD
+            if crowded:
+                rows.append(cell)
+                size += len(cell[0])
+            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, NEIGHBOURS if crowded else None)):
+                a.append(x), b.append(y)
+                size += len(x)
+            if size > 100_000:
+                yield block()
+                a, b, rows, size = [], [], [], 0
+        if size:
+            yield block()
+
+    ordered = entries.repartition("cell").sortWithinPartitions("cell", "n", "set_hash")
+    return map_rows(ordered, ["cell", "set_hash", "n", "at"], work, "a long, b long, cell long, set_hash long, n long, at long", arrow=True)
 
-    named = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    sets = table(map_rows(named, ["id", "text"], work, "id long, h array<long>", arrow=True), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
+
+def _pairs_apart(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of crowded cells that are not in one component yet."""
+
+    def work(batches: Iterator[list]):
+        for cell in _cells(batches):
+            a, b, size = [], [], 0
+            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, None, cell[4])):
+                a.append(x), b.append(y)
+                size += len(x)
+                if size > 100_000:
+                    yield [np.concatenate(a), np.concatenate(b)]
+                    a, b, size = [], [], 0
+            if size:
+                yield [np.concatenate(a), np.concatenate(b)]
+
+    named = crowded.join(roots, crowded.set_hash == roots.node, "left").select("cell", "set_hash", "n", "at", F.coalesce("root", "set_hash").alias("label"))
+    ordered = named.repartition("cell").sortWithinPartitions("cell", "n", "set_hash")
+    return map_rows(ordered, ["cell", "set_hash", "n", "at", "label"], work, "a long, b long", arrow=True).distinct()
+
+
+def _similar(df: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float, classes: DataFrame) -> DataFrame:
+    """(u, v): the pairs whose whole sets have the similarity."""
+    ids = pairs.select(F.col("a").alias("set_hash")).unionByName(pairs.select(F.col("b").alias("set_hash"))).distinct()
+    sets = table(_whole_sets(df, text, shingle, classes.join(ids, "set_hash", "left_semi")), "sets")
+    both = pairs.join(sets.select(F.col("set_hash").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("h").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return table(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+
+
+def similar_roots(df: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): components of set hashes of `rows` linked by the similarity; a node that is its own root is left out."""
+    classes = table(rows.where("n > 0").groupBy("set_hash").agg(F.min("text_hash").alias("text_hash")), "sets-of-texts")
+    found = table(_first_pairs(_prefix_rows(df, text, shingle, similarity, _common_shingles(df, text, shingle, classes)), similarity), "cells")
+    links = _similar(df, table(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs"), text, shingle, similarity, classes)
+    roots = component_roots(links)
+    crowded = found.where(F.col("cell").isNotNull()).select("cell", "set_hash", "n", "at")
+    apart = table(_pairs_apart(crowded, roots, similarity), "pairs-apart")
+    return roots if apart.isEmpty() else component_roots(links.unionByName(_similar(df, apart, text, shingle, similarity, classes)))
 
 
 def near_duplicate_components(
@@ -278,15 +410,15 @@ def near_duplicate_components(
 ) -> DataFrame:
     """(id, fp, component): one row per input row; the component is the smallest id reachable, FIRST_ID standing for null. With a
     `similarity`, sets of shingles that have it are linked as well."""
-    rows = table(fingerprints(df, key, text, shingle) if similarity is None else signed_fingerprints(df, key, text, shingle, similarity), "fingerprints")
-    near = _by_fingerprint(rows.select("id", "fp"), cell_limit)
     if similarity is None:
-        return near
-    near = table(near, "near")
-    least = near.select("id", "component").distinct()
-    ends = [least.select(F.col("id").alias(e), F.col("component").alias(c)) for e, c in (("a", "u"), ("b", "v"))]
-    links = similar_links(df, rows, key, text, shingle, similarity).join(ends[0], "a").join(ends[1], "b").where("u != v").select("u", "v").distinct()
-    roots = component_roots(links)
+        return _by_fingerprint(table(fingerprints(df, key, text, shingle), "fingerprints"), cell_limit)
+    rows = table(set_rows(df, key, text, shingle, bits=True), "fingerprints")
+    near = table(_by_fingerprint(rows.select("id", "fp"), cell_limit), "near")
+    sets = similar_roots(df, rows, text, shingle, similarity)
+    named = rows.join(sets, rows.set_hash == sets.node, "left").select("fp", F.coalesce("root", "set_hash").alias("label"))
+    both = named.join(near.select("fp", "component").distinct(), "fp").select("label", "component").distinct()
+    least = both.groupBy("label").agg(F.min("component").alias("v"))
+    roots = component_roots(both.join(least, "label").select(F.col("component").alias("u"), "v").where("u != v").distinct())
     return near.join(roots, near.component == roots.node, "left").select("id", "fp", F.coalesce("root", "component").alias("component"))
 
 

@@ -251,6 +251,49 @@ def test_similar_texts_are_linked(spark):
     assert simhash.near_duplicate_components(spark.createDataFrame([], "doc_id long, text string"), similarity=0.8).count() == 0
 
 
+def crowd_texts(rnd, size, planted):
+    """Texts that share a passage of 300 words beside 45 of their own (0.77 to each other), and near copies of some of them."""
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(20000)]
+    shared = [rnd.choice(vocab) for _ in range(300)]
+    texts = [shared + rnd.sample(vocab, 45) for _ in range(size)]
+    for words in texts[:planted]:
+        copy = list(words)
+        for at in rnd.sample(range(10, 330), rnd.randint(3, 6)):
+            copy[at] = "changed" + str(at)
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def pairs_and_roots(spark, texts, similarity=0.8):
+    """Brute-force components of texts by their sets, and those of the operator, both as groups of indexes."""
+    sets = [brute_shingles(t) for t in texts]
+    want = brute_components(list(range(len(texts))), [xxhash.xxh64_intdigest(str(i).encode()) for i in range(len(texts))], sets)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash.set_rows(df, "doc_id", "text", 5)
+    label = {r.node: r.root for r in simhash.similar_roots(df, rows, "text", 5, similarity).collect()}
+    got, least = [], {}
+    for i, h in sorted((r.id, r.set_hash) for r in rows.collect()):
+        got.append(least.setdefault(label.get(h, h), i))
+    return want, got
+
+
+def test_similar_sets_in_crowded_cells(spark):
+    want, got = pairs_and_roots(spark, crowd_texts(random.Random(4), 120, 40))
+    assert got == want and 5 < 160 - len(set(want)) < 80
+
+
+def test_prefixes_of_similar_sets_meet_in_any_order():
+    rnd = np.random.default_rng(3)
+    for n in range(1, 60):
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        for gone in range(n // 5 + 1):
+            b = np.delete(a, rnd.choice(len(a), gone, replace=False))
+            common = np.sort(rnd.choice(a, n // 2, replace=False))
+            rank = rnd.permutation(len(common)) + 1
+            if len(b) >= 0.8 * len(a):
+                assert np.intersect1d(simhash.ordered_prefix(a, common, rank, 0.8), simhash.ordered_prefix(b, common, rank, 0.8)).size
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 60), (60, 80), (7, 7)]
     out = {r.node: r.root for r in component_roots(spark.createDataFrame(edges, "u long, v long")).collect()}
