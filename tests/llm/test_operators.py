@@ -282,6 +282,18 @@ def test_similar_sets_in_crowded_cells(spark):
     assert got == want and 5 < 160 - len(set(want)) < 80
 
 
+def test_repeated_lines_do_not_hide_similar_sets(spark):
+    rnd = random.Random(6)
+    texts = []
+    for n in (100, 200, 300, 400, 600, 900) * 4:
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+        texts += [" ".join(words), " ".join(words[:32] + words[20:32] * rnd.randint(20, 100) + words[32:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.near_duplicate_components(df, shingle=5, similarity=0.8).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
+    assert max((brute_fingerprint(texts[i], 5) ^ brute_fingerprint(texts[i + 1], 5)).bit_count() for i in range(0, len(texts), 2)) > 24
+
+
 def test_prefixes_of_similar_sets_meet_in_any_order():
     rnd = np.random.default_rng(3)
     for n in range(1, 60):
