@@ -468,3 +468,15 @@ def test_pipeline(spark):
         else:
             assert {r.doc_id for r in out.select("doc_id").collect()} == set(before)
         docs = out
+
+
+def test_near_dedup_keeps_texts_that_only_share_a_passage(spark):
+    import corpus_pipeline as P
+
+    rnd = random.Random(4)
+    texts = crowd_texts(rnd, 300, 5) + [None, "", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = [brute_fingerprint(t, 5) for t in texts[:300]]
+    assert any((a ^ b).bit_count() <= 3 for i, a in enumerate(bits) for b in bits[:i])
+    want = brute_components(list(range(305)), [xxhash.xxh64_intdigest(str(i).encode()) for i in range(305)], [brute_shingles(t) for t in texts[:305]])
+    assert {r.doc_id for r in P.near_dedup(spark, df, "").collect()} == {*want, 305, 307}
