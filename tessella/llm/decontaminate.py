@@ -8,7 +8,8 @@ and the whole window compared directly.
 Tables are broadcast. Their size is bounded: the benchmark's bytes are summed first, and beyond `block_bytes` it is dealt into as many blocks
 of items, each of which passes over all documents in turn.
 
-Null text: no words. Items without words match nothing. Equal windows of several items count for each. Repeated rows stay; extra columns are
+Null text: no words. Items without words match nothing. Items with a null id are searched like others (n_hit, contaminated); having no id, they
+are not in n_items and items_sha256. Equal windows of several items count for each. Repeated rows stay; extra columns are
 ignored; an empty table on either side gives no hits.
 """
 
@@ -55,20 +56,20 @@ class WuManber:
                 i += s
                 continue
             items = self.buckets[block].get(tuple(words[i - m + 1 : i + 1]))
-            if items:
+            if items is not None:
                 yield i - m + 1, items
             i += 1
 
 
 class WindowSearch:
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> None:
         by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
         for item, text in items:
             words = words_of(text)
             m = min(window, len(words))
             for i in range(len(words) - m + 1 if m else 0):
                 held = by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), [])
-                if item not in held:
+                if item is not None and item not in held:
                     held.append(item)
         self.searches = [WuManber(p, m) for m, p in sorted(by_length.items())]
 
@@ -107,7 +108,7 @@ def _pass(df: DataFrame, keep: list[str], text: str, search: WindowSearch, carri
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`keep` columns, then n_words, n_hit, n_items, items_sha256, contaminated."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     df = df.select(*dict.fromkeys([*keep, text]))

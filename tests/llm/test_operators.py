@@ -480,3 +480,22 @@ def test_near_dedup_keeps_texts_that_only_share_a_passage(spark):
     assert any((a ^ b).bit_count() <= 3 for i, a in enumerate(bits) for b in bits[:i])
     want = brute_components(list(range(305)), [xxhash.xxh64_intdigest(str(i).encode()) for i in range(305)], [brute_shingles(t) for t in texts[:305]])
     assert {r.doc_id for r in P.near_dedup(spark, df, "").collect()} == {*want, 305, 307}
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (3, texts[3] + " more"), (4, texts[4]), (5, texts[4] + " end"), (6, texts[0] + " end"), (7, None), (8, "")]
+    got = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept = [(r.doc_id, (r.text or "").split(" more")[0]) for r in got]
+    assert Counter(kept) == Counter([(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[4]), (7, "")])
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 70])
+def test_decontamination_by_items_without_id(spark, block_bytes):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (1, "six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a one two three b"), (2, "six four five"), (3, "one two")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_contamination(docs, bench, ["doc_id"], block_bytes=block_bytes).collect()}
+    none, six = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
+    assert got == {1: (3, 0, none, True), 2: (3, 1, six, True), 3: (0, 0, none, False)}
