@@ -2,7 +2,7 @@
 dictionary makes it smallest; the answer is rejected where the second language comes too close. Sizes are description lengths in bits: of
 the compressed text and of the language itself, from its share of the labelled rows, so that a text too short to compress is of the commonest.
 
-Dictionaries hold snippets of labelled rows, taken in the order of a seeded hash up to `snippets` x `snippet_chars` characters for each
+Dictionaries hold snippets of the distinct texts of labelled rows, taken in the order of a seeded hash up to `snippets` x `snippet_chars` characters for each
 language (the documented bound on what is gathered; languages are limited by what labels there are). Texts are compressed whole, in blocks
 small enough that the dictionary and not the text's own beginning decides.
 
@@ -31,19 +31,23 @@ def letters(text: str) -> bytes:
 
 
 def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", seed: int = 11, snippets: int = SNIPPETS, chars: int = SNIPPET_CHARS) -> dict[str, tuple[bytes, float]]:
-    """By language: raw dictionary content, from at most `snippets` rows each, cut in their middle to `chars` characters; and the
+    """By language: raw dictionary content, from at most `snippets` distinct texts each, cut in their middle to `chars` characters; and the
     language's share of all labelled rows."""
     t, n = F.col(text), F.length(text)
+    h = F.xxhash64(F.lit(seed), t)
     labelled = labelled.where(F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    copies = labelled.groupBy(F.col(lang).alias("l"), F.when(n > 0, h).alias("h")).count()
+    counts, distinct = {}, {}
+    for r in copies.groupBy("l").agg(F.sum("count").alias("rows"), F.count("h").alias("texts")).collect():
+        counts[r.l], distinct[r.l] = r.rows, r.texts
     if not counts:
         return {}
-    # Hashes below a bound that about four times as many rows of the language pass as are wanted, so that no task gets a whole language.
-    bound = F.create_map(*(F.lit(x) for l, c in counts.items() for x in (l, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * snippets // c))))
-    cut = labelled.where(n > 0).select(
-        F.col(lang).alias("l"), F.xxhash64(F.lit(seed), t).alias("h"), F.when(n > chars, t.substr(((n - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(t).alias("s")
+    # Hashes below a bound that about four times as many texts of the language pass as are wanted, so that no task gets a whole language.
+    bound = F.create_map(*(F.lit(x) for l, c in distinct.items() for x in (l, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * snippets // max(1, c)))))
+    cut = labelled.where((n > 0) & (h <= bound[F.col(lang)])).select(
+        F.col(lang).alias("l"), h.alias("h"), F.when(n > chars, t.substr(((n - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(t).alias("s")
     )
-    first = cut.where(F.col("h") <= bound[F.col("l")]).withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= snippets)
+    first = cut.distinct().withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= snippets)
     out: dict[str, list[tuple[int, str]]] = {}
     for l, i, s in first.select("l", "i", "s").collect():
         out.setdefault(l, []).append((i, s))

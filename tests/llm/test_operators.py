@@ -499,3 +499,11 @@ def test_decontamination_by_items_without_id(spark, block_bytes):
     got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_contamination(docs, bench, ["doc_id"], block_bytes=block_bytes).collect()}
     none, six = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
     assert got == {1: (3, 0, none, True), 2: (3, 1, six, True), 3: (0, 0, none, False)}
+
+
+def test_language_id_learns_from_distinct_texts(spark):
+    rows = [("en", "".join(chr(97 + int(c)) for c in f"{i:04d}")) for i in range(600)] + [("en", "copied")] * 3000 + [(x, f"only {x}") for x in ("da", "de", "fi", "fr", "sv") for _ in range(3000)] + [("no", "")]
+    got = langid.fit_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(got) == {"da", "de", "en", "fi", "fr", "sv"} and got["sv"] == (b"only sv", 3000 / len(rows))
+    words = got["en"][0].split()
+    assert len(words) == len(set(words)) == 300 and got["en"][1] == 3600 / len(rows)
