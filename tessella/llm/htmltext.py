@@ -2,9 +2,11 @@
 
 The streaming standard-library parser turns a page into lines, one for each block-level stretch of text. A line's ratio is its
 characters per tag in it. Ratios are smoothed with a Gaussian; lines above the page's spread (standard deviation) form the content
-cluster. Each container (article, main, else the body) holds some of the cluster's characters; the smallest container with most of
-them is the content region, and all its lines count, short ones between long ones too. Lines inside menus, headers, footers, sidebars,
-notices, adverts, forms and comments (by element, ARIA role, class or id) are left out of ratios and result.
+cluster. Each article or main element holds some of the cluster's characters; the innermost with most of them is the content region, and all
+its lines count, short ones between long ones too. Where none has most of them (no such element, or several articles), any container (div,
+section, td, body) with nearly all of the cluster is the region, or else the page; there a line counts if it is of the cluster by its
+own ratio too, or if at least half of the text directly in its innermost container is of the cluster. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, ARIA role,
+class or id) are left out of ratios and result.
 
 Null or empty html, or no content: empty text. Broken markup is read as far as the parser gets. Repeated rows stay; extra columns are ignored.
 """
@@ -25,6 +27,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 DROPPED = frozenset("script style noscript template head title svg math iframe object canvas map select option textarea button datalist".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog search fieldset".split())
 REGIONS = frozenset(("article", "main"))
+CONTAINERS = REGIONS | frozenset("div section td body center ul ol dl table".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar sidebars nav navbar navigation menu menus breadcrumb "
@@ -45,20 +48,21 @@ def _named(value: str) -> bool:
 
 
 class LineParser(HTMLParser):
-    """Lines as (text, tags, regions): `regions` are the open article and main elements, outermost first."""
+    """Lines as (text, tags, regions, containers): `regions` are the open article and main elements, `containers` these and all other
+    containers, outermost first."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, str]] = []  # element and what it does: "" nothing, "x" drop, "r" region
-        self.off, self.regions, self.region_count = 0, (), 0
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.stack: list[tuple[str, str]] = []  # element and what it does: "" nothing, "x" drop, "r" region, "c" other container
+        self.off, self.regions, self.containers, self.container_count = 0, (), (), 0
         self.parts: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.regions))
+            self.lines.append((text, self.tags, self.regions, self.containers))
         self.parts, self.tags = [], 0
 
     def kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
@@ -72,7 +76,7 @@ class LineParser(HTMLParser):
                     return "x"
                 if v and tag in REGIONS and k in ("class", "id") and any(n in ("comment", "comments", "related", "ad", "advert", "sponsored", "promo", "teaser", "reply") for n in _SPLIT.split(v.lower())):
                     return "x"
-        return "r" if tag in REGIONS else ""
+        return "r" if tag in REGIONS else "c" if tag in CONTAINERS else ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P and any(t == "p" for t, _ in self.stack[-8:]):
@@ -93,9 +97,11 @@ class LineParser(HTMLParser):
             if tag in INLINE and not self.off:
                 self.parts.append(" ")
             self.off += 1
-        elif what == "r":
-            self.region_count += 1
-            self.regions += (self.region_count,)
+        elif what:
+            self.container_count += 1
+            self.containers += (self.container_count,)
+            if what == "r":
+                self.regions += (self.container_count,)
         self.stack.append((tag, what))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,6 +121,8 @@ class LineParser(HTMLParser):
         self.flush()
         for _, what in self.stack[i:]:
             self.off -= what == "x"
+            if what in ("r", "c"):
+                self.containers = self.containers[:-1]
             if what == "r":
                 self.regions = self.regions[:-1]
         del self.stack[i:]
@@ -154,31 +162,43 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def main_lines(html: str, sigma: float = 1.0, share: float = 0.6) -> list[str]:
-    """The content lines of a page. `share`: how much of the content cluster a region must hold to be chosen over what is around it."""
+def main_lines(html: str, sigma: float = 1.0, share: float = 0.6, nearly_all: float = 0.9) -> list[str]:
+    """The content lines of a page. `share`: how much of the content cluster an article or main element must hold to be chosen over what is
+    around it; `nearly_all`: the same of other containers, which may be parts of the content as well as its whole."""
     parser = LineParser()
     parser.feed(html)
     parser.close()
     lines = parser.lines
     if not lines:
         return []
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], sigma)
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     threshold = min(spread, max(ratios))
     cluster = [r >= threshold for r in ratios]
     held: dict[int, int] = {}
+    own: set[int] = set()
     total = 0
-    for (text, _, regions), content in zip(lines, cluster, strict=True):
+    for (text, _, regions, containers), content in zip(lines, cluster, strict=True):
         if content:
             total += len(text)
-            for r in regions:
-                held[r] = held.get(r, 0) + len(text)
-    inner = [r for r, n in held.items() if n >= share * total]
+            own.update(regions)
+            for c in containers:
+                held[c] = held.get(c, 0) + len(text)
+    inner = [r for r in own if held[r] >= share * total]
     if inner:
         region = max(inner)  # numbered as they open: the innermost of those that hold most of the cluster
-        return [text for text, _, regions in lines if region in regions]
-    return [text for text, _, _ in lines]
+        return [text for text, _, regions, _ in lines if region in regions]
+    region = max((c for c, n in held.items() if n >= nearly_all * total), default=0)
+    places: dict[tuple[int, ...], int] = {}
+    for (text, _, _, containers), content in zip(lines, cluster, strict=True):
+        places[containers[-1:]] = places.get(containers[-1:], 0) + (len(text) if content else -len(text))
+    out = []
+    for (text, tags, _, containers), content in zip(lines, cluster, strict=True):
+        alone = content and len(text) / max(1, tags) >= threshold
+        if (not region or region in containers) and (alone or places[containers[-1:]] >= 0):
+            out.append(text)
+    return out
 
 
 def main_text(html: str | None) -> str:

@@ -507,3 +507,22 @@ def test_language_id_learns_from_distinct_texts(spark):
     assert set(got) == {"da", "de", "en", "fi", "fr", "sv"} and got["sv"] == (b"only sv", 3000 / len(rows))
     words = got["en"][0].split()
     assert len(words) == len(set(words)) == 300 and got["en"][1] == 3600 / len(rows)
+
+
+LONG = "Words of a paragraph that is long enough to be taken for content, since it has many characters and hardly a tag in it, number {}."
+LINKS = "<ul>" + "".join(f'<li><a href="/{i}">Go <b>{i}</b></a></li>' for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize("around", ["<div>{}</div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>", "{}"])
+def test_html_without_article_or_main(around):
+    paragraphs = [LONG.format(i) for i in range(4)]
+    body = "<h2>Heading</h2>" + "<p>".join(["", *paragraphs[:2]]) + "<p>Ok.</p>" + "<p>".join(["", *paragraphs[2:]])
+    page = "<html><body><div>" + LINKS + "</div>" + around.format(body) + "<div>" + LINKS + "</div></body></html>"
+    got = htmltext.main_lines(page)
+    want = ["Heading", *paragraphs[:2], "Ok.", *paragraphs[2:]]
+    assert got == want
+
+
+def test_html_of_several_articles():
+    page = "<body><div>" + LINKS + "</div><div>" + "".join(f"<article><h2>Part {i}</h2><p>{LONG.format(i)}</p></article>" for i in range(4)) + "</div><div>" + LINKS + "</div></body>"
+    assert htmltext.main_lines(page) == [x for i in range(4) for x in (f"Part {i}", LONG.format(i))]
