@@ -13,7 +13,7 @@ With a `similarity`, texts whose sets of shingles have that Jaccard similarity a
 The search is exact: sets are put in one order of all shingles (those that are common in a sample last), and similar sets share a shingle of their
 prefixes, which leave out so many that the rest alone is too few. A shingle is a cell; a pair is taken from it only if sizes and places
 allow the similarity (no more than what follows a first common shingle can be common). A cell of more than CROWD sets first gives pairs of neighbours; what
-these join counts as one, and then all pairs of the cell that are still apart are taken. The sample and the neighbours only save work.
+these join counts as one. Then it gives some pairs that are still apart, and last all that still are. The sample and the first rounds only save work.
 Every pair is decided by its whole sets.
 
 Null or empty text: fingerprint zero, linked like any other. A null id is the smallest. Repeated rows stay. Extra columns are
@@ -35,7 +35,7 @@ from tessella.llm.common import ASCII_LOWER, map_rows, read, table
 from tessella.llm.components import component_roots
 
 DISTANCE, SHINGLE, CELL_LIMIT = 3, 3, 4096
-CROWD, NEIGHBOURS, SAMPLE, COMMON, BROADCAST_IDS = 16, 2, 10_000, 65_536, 1_000_000
+CROWD, NEIGHBOURS, SAMPLE, COMMON, BROADCAST_IDS = 16, (2, 8, None), 10_000, 65_536, 1_000_000
 FIRST_ID = -(1 << 63)
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
 
@@ -304,12 +304,12 @@ def _cells(batches: Iterator[list]) -> Iterator[list[np.ndarray]]:
 
 def _near_in_cell(cell: list[np.ndarray], similarity: float, before: int | None, labels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js): the rows j < i of a cell, ordered by size, whose sizes and places allow the similarity to row i; among the `before` rows
-    before it, if given, and of another label."""
+    before it, if given; with `labels`, those of another label, only the last `before` of them."""
     n, at = cell[2].astype(np.float64), cell[3]
     partner = (n - at) * (1 + similarity) / similarity - n + 1e-6  # the largest size of a similar set, if this is their first common shingle
     low = np.searchsorted(n, similarity * n - 1e-6)
     high = np.minimum(np.arange(len(n)), np.searchsorted(n, partner, side="right"))
-    if before is not None:
+    if before is not None and labels is None:
         low = np.maximum(low, np.arange(len(n)) - before)
     most, others = None, None
     if labels is not None:
@@ -326,6 +326,8 @@ def _near_in_cell(cell: list[np.ndarray], similarity: float, before: int | None,
             if labels is not None:
                 js = js[labels[js] != labels[i]]
         js = js[partner[js] >= n[i]]
+        if labels is not None and before is not None:
+            js = js[-before:]
         if len(js):
             yield i, js
 
@@ -352,7 +354,7 @@ def _first_pairs(entries: DataFrame, similarity: float) -> DataFrame:
             if crowded:
                 rows.append(cell)
                 size += len(cell[0])
-            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, NEIGHBOURS if crowded else None)):
+            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, NEIGHBOURS[0] if crowded else None)):
                 a.append(x), b.append(y)
                 size += len(x)
             if size > 100_000:
@@ -365,13 +367,13 @@ def _first_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     return map_rows(ordered, ["cell", "set_hash", "n", "at"], work, "a long, b long, cell long, set_hash long, n long, at long", arrow=True)
 
 
-def _pairs_apart(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of crowded cells that are not in one component yet."""
+def _pairs_apart(crowded: DataFrame, roots: DataFrame, similarity: float, before: int | None) -> DataFrame:
+    """(a, b): pairs of crowded cells that are not in one component yet; all of them, or at most `before` for each row of a cell."""
 
     def work(batches: Iterator[list]):
         for cell in _cells(batches):
             a, b, size = [], [], 0
-            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, None, cell[4])):
+            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, before, cell[4])):
                 a.append(x), b.append(y)
                 size += len(x)
                 if size > 100_000:
@@ -401,8 +403,16 @@ def similar_roots(df: DataFrame, rows: DataFrame, text: str, shingle: int, simil
     links = _similar(df, table(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs"), text, shingle, similarity, classes)
     roots = component_roots(links)
     crowded = found.where(F.col("cell").isNotNull()).select("cell", "set_hash", "n", "at")
-    apart = table(_pairs_apart(crowded, roots, similarity), "pairs-apart")
-    return roots if apart.isEmpty() else component_roots(links.unionByName(_similar(df, apart, text, shingle, similarity, classes)))
+    for before in NEIGHBOURS[1:]:
+        apart = table(_pairs_apart(crowded, roots, similarity, before), "pairs-apart")
+        if apart.isEmpty():
+            break
+        more = _similar(df, apart, text, shingle, similarity, classes)
+        for e in ("u", "v"):  # what is joined already is one node
+            more = more.join(roots.select(F.col("node").alias(e), F.col("root").alias("to")), e, "left").withColumn(e, F.coalesce("to", e)).drop("to")
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.where("u != v").select("u", "v").distinct())
+        roots = component_roots(links)
+    return roots
 
 
 def near_duplicate_components(
