@@ -12,19 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_ROWS, BATCH_BYTES = 2000, 16_000_000
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the supplied tables. Arrow batches are kept small, because single texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """One of the supplied tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches hold at most BATCH_ROWS rows and begin anew after BATCH_BYTES, because single texts can be very long. Smaller bounds of the
+    session stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own is set only where the session names none (tests)."""
+    """The folder that driver and executors share. A folder of our own is set only where the session names none and runs on one machine
+    (tests); on a cluster that would lose the tables, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -36,7 +48,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again, so that no lost executor repeats the work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,10 +66,22 @@ def arrow_schema(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def map_rows(df: DataFrame, columns: list[str], work: Callable[[Iterator[list]], Iterable[list]], schema: str, arrow: bool = False) -> DataFrame:
+def with_kept(rows: DataFrame, ddl: str) -> T.StructType:
+    """The schema of a map that gives back the struct column `kept`, in which columns of any name travel, and then others."""
+    return T.StructType([rows.schema["kept"], *T.StructType.fromDDL(ddl).fields])
+
+
+def keeping(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The `keep` columns as the struct `kept`, so that no name can clash, and the text as `text` where they lack it."""
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")
+    return df.select(kept) if text in keep else df.select(kept, F.col(text).alias("text"))
+
+
+def map_rows(df: DataFrame, columns: list[str], work: Callable[[Iterator[list]], Iterable[list]], schema: str | T.StructType, arrow: bool = False) -> DataFrame:
     """Arrow map over `columns` only: `work` gets an iterator of column lists (one list of values for each column and batch; with
     `arrow`, Arrow arrays) and yields column lists that match `schema`. Other columns, whatever their names, are never sent to Python."""
     fields = arrow_schema(schema)
+    bound_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(fields)
