@@ -1,14 +1,17 @@
 """Packing by power-of-two decomposition.
 
 A document's ids (with the end id) are split into pieces whose lengths are powers of two: as many of the full length as fit, then
-the set bits of the rest, largest first. A piece is a sequence of its own, so no sequence crosses documents and nothing is padded;
-batches are made from sequences of one length (column `bucket`, log2 of the length).
+the set bits of the rest, largest first. A piece is a sequence of its own, so no sequence crosses documents and nothing is padded.
+Sequences of one length go to one bucket (log2 of the length), and each task deals a bucket's sequences into batches of BATCH_TOKENS tokens:
+a batch holds sequences of one length only, in slots without gaps, and all but the last of each bucket and task are full.
 
 Tokenizing costs most. Neither NFC, lower-casing nor the pre-tokenizer's pattern of the public vocabulary joins anything
-across a blank, tab or line end, so a text's ids are those of its blank-separated chunks, one after the other. Each worker
-encodes a chunk once and keeps its ids in a bounded table.
+across a blank, tab or line end, and its control strings hold none of these, so a text's ids are those of its blank-separated chunks, one after
+the other. Each worker encodes a chunk once and keeps its ids in a bounded table. Control strings in a text get their own ids, as the
+tokenizer gives them by default.
 
-Null or empty text: the end id alone. Repeated rows are packed each on its own. Empty table: no rows. Extra columns are ignored.
+Null or empty text: the end id alone. Texts of any length are encoded whole. Repeated rows are packed each on its own. Empty table: no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows, read
 
 VOCABULARY = "word_bpe_49k.json"
-MAX_TOKENS, END_ID = 2048, 1
+MAX_TOKENS, END_ID, BATCH_TOKENS = 2048, 1, 1 << 16
 
 
 def _byte_alphabet() -> dict[int, int]:
@@ -48,7 +52,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model, self.alphabet, self.limit = self.tok.model, _byte_alphabet(), limit
         self._reset()
 
@@ -121,12 +124,14 @@ def binary_pieces(n: int, most: int = MAX_TOKENS) -> list[int]:
 
 
 def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", most: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket[, ids])."""
+    """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id, batch_slot[, ids])."""
+    depth = most.bit_length()
 
-    def work(batches: Iterator[list[list]]):
+    def work(batches: Iterator[list]):
         enc, end = encoder(vocabulary), np.uint32(end_id)
+        dealt, task = [0] * depth, TaskContext.get().partitionId()
         for keys, texts in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(9)]
             pool, bounds = enc.encode(texts)
             whole: list[np.ndarray] = []
             for k, a, b in zip(keys.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -134,7 +139,10 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
                 whole.append(ids)
                 at = 0
                 for length in binary_pieces(len(ids), most):
-                    row = (k, at, length, zlib.crc32(ids[at : at + length].tobytes()), len(ids), 0, length.bit_length() - 1)
+                    bucket = length.bit_length() - 1
+                    batch, slot = divmod(dealt[bucket], max(1, BATCH_TOKENS >> bucket))
+                    dealt[bucket] += 1
+                    row = (k, at, length, zlib.crc32(ids[at : at + length].tobytes()), len(ids), 0, bucket, ((task << 26) + batch) * depth + bucket, slot)
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                     at += length
@@ -144,7 +152,7 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
             yield out
 
     ids = ", ids array<int>" if with_ids else ""
-    pieces = map_rows(df, [key, text], work, f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int{ids}", arrow=True)
+    pieces = map_rows(df, [key, text], work, f"doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int, batch_id long, batch_slot int{ids}", arrow=True)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id())
 
 
