@@ -1,27 +1,27 @@
 """Language identification by compression: each language has a zstandard raw-content dictionary, and a text is of the language whose
-dictionary makes it smallest; the answer is rejected where the second language comes too close. Sizes are description lengths in bits: of
-the compressed text and of the language itself, from its share of the labelled rows, so that a text too short to compress is of the commonest.
+dictionary makes it smallest. The answer is rejected where the second language comes within `margin` of that size, as a share of it. Of equal
+sizes, which are rejected too, the language with the larger share of the labelled rows is named.
 
-Dictionaries hold snippets of the distinct texts of labelled rows, taken in the order of a seeded hash up to `snippets` x `snippet_chars` characters for each
-language (the documented bound on what is gathered; languages are limited by what labels there are). Texts are compressed whole, in blocks
-small enough that the dictionary and not the text's own beginning decides.
+Dictionaries hold snippets of the distinct texts of labelled rows, taken in the order of a seeded hash up to `snippets` x `snippet_chars`
+characters for each language. About four times as many candidates, those below a bound of the hash, reach the driver: the documented bound on
+what is gathered, for each language that has labels. Texts are compressed whole, in blocks small enough that the dictionary and not the text's
+own beginning decides; a very long text is one more block after another.
 
-Null text or one without a letter: `und`, score 0, rejected. Without any labelled row everything is `und`. Equal lengths: the first language
-by name. Null labels teach nothing. Repeated rows stay; extra columns are ignored.
+Null text or one without a letter: `und`, score 0, rejected. Without any labelled row everything is `und`. Null labels teach nothing. An
+empty table gives no rows. Repeated rows stay; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_bucket, map_rows, read
+from tessella.llm.common import crc_bucket, keeping, map_rows, read, with_kept
 
 SNIPPETS, SNIPPET_CHARS, BLOCK_BYTES, LEVEL = 300, 300, 8192, 5
-MARGIN_BITS = 1.0
+MARGIN = 0.02
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -47,11 +47,10 @@ def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang"
     cut = labelled.where((n > 0) & (h <= bound[F.col(lang)])).select(
         F.col(lang).alias("l"), h.alias("h"), F.when(n > chars, t.substr(((n - chars) / 2).cast("int") + 1, F.lit(chars))).otherwise(t).alias("s")
     )
-    first = cut.distinct().withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("h", "s"))).where(F.col("i") <= snippets)
     out: dict[str, list[tuple[int, str]]] = {}
-    for l, i, s in first.select("l", "i", "s").collect():
-        out.setdefault(l, []).append((i, s))
-    return {l: (b" ".join(letters(s) for _, s in sorted(rows)), counts[l] / sum(counts.values())) for l, rows in sorted(out.items())}
+    for l, h, s in cut.distinct().collect():
+        out.setdefault(l, []).append((h, s))
+    return {l: (b" ".join(letters(s) for _, s in sorted(rows)[:snippets]), counts[l] / sum(counts.values())) for l, rows in sorted(out.items())}
 
 
 class CompressionClassifier:
@@ -59,39 +58,47 @@ class CompressionClassifier:
         import zstandard
 
         self.block, self.langs, self.compress = block, sorted(dictionaries), []
-        self.own_bits = [-math.log2(dictionaries[x][1]) for x in self.langs]
+        self.share = [dictionaries[x][1] for x in self.langs]
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang][0] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
             self.compress.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
-    def bits(self, text: str) -> list[float]:
+    def sizes(self, text: str) -> list[int]:
+        """Bytes that the text takes with each language's dictionary."""
         data = letters(text)
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return [8 * sum(len(c(b)) for b in blocks) + own for c, own in zip(self.compress, self.own_bits, strict=True)]
+        return [sum(len(c(b)) for b in blocks) for c in self.compress]
 
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1 and whether the margin is too narrow. The score is 0.5 at equal lengths and grows with the gap."""
+        """Language, score from 0 to 1 and whether the margin is too narrow. The score is 0.5 at equal sizes and grows with the gap in bytes."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        bits = self.bits(text)
-        order = sorted(range(len(bits)), key=lambda i: (bits[i], i))
-        gap = bits[order[1]] - bits[order[0]] if len(order) > 1 else math.inf
-        return self.langs[order[0]], 1 - 0.5 * 2 ** (-gap / 8), gap < margin
+        sizes = self.sizes(text)
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], -self.share[i], i))
+        if len(order) == 1:
+            return self.langs[0], 1.0, False
+        gap = sizes[order[1]] - sizes[order[0]]
+        return self.langs[order[0]], 1 - 0.5 * 2.0**-gap, gap <= margin * sizes[order[0]]
 
 
-def identify(df: DataFrame, dictionaries: dict[str, tuple[bytes, float]], keep: list[str], text: str = "text", margin: float = MARGIN_BITS) -> DataFrame:
+def identify(df: DataFrame, dictionaries: dict[str, tuple[bytes, float]], keep: list[str], text: str = "text", margin: float = MARGIN) -> DataFrame:
     """`keep` columns, then lang_pred, score, rejected."""
+    return judged(df, dictionaries, keep, text, margin).select("kept.*", "lang_pred", "score", "rejected")
+
+
+def judged(df: DataFrame, dictionaries: dict[str, tuple[bytes, float]], keep: list[str], text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """(kept, lang_pred, score, rejected), the `keep` columns as one struct, whatever their names."""
     held: list[CompressionClassifier] = []
 
-    def work(batches: Iterator[list[list]]):
+    def work(batches: Iterator[list]):
         held[:] = held or [CompressionClassifier(dictionaries)]
-        for *kept, texts in batches:
-            done = [held[0].predict(t, margin) for t in texts]
-            yield [*kept, *([d[i] for d in done] for i in range(3))]
+        for cols in batches:
+            done = [held[0].predict(t.as_py(), margin) for t in (cols[0].field(text) if inside else cols[1])]
+            yield [cols[0], *([d[i] for d in done] for i in range(3))]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return map_rows(df, [*keep, text], work, f"{schema}, lang_pred string, score double, rejected boolean")
+    rows, inside = keeping(df, keep, text), text in keep
+    return map_rows(rows, rows.columns, work, with_kept(rows, "lang_pred string, score double, rejected boolean"), arrow=True)
 
 
 def training_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
