@@ -5,10 +5,14 @@ characters per tag in it. Ratios are smoothed with a Gaussian; lines above the p
 cluster. Each article or main element holds some of the cluster's characters; the innermost with most of them is the content region, and all
 its lines count, short ones between long ones too. Where none has most of them (no such element, or several articles), any container (div,
 section, td, body) with nearly all of the cluster is the region, or else the page; there a line counts if it is of the cluster by its
-own ratio too, or if at least half of the text directly in its innermost container is of the cluster. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and comments (by element, ARIA role,
-class or id) are left out of ratios and result.
+own ratio too, or if at least half of the text directly in its innermost container is of the cluster.
 
-Null or empty html, or no content: empty text. Broken markup is read as far as the parser gets. Repeated rows stay; extra columns are ignored.
+Ratios can't tell a reader's comment or a long notice from the article, so these are known by what the page calls them: elements (menus, footers,
+sidebars, forms, headers outside the article), ARIA roles, and classes and ids of containers (div, section, list, table). They
+are left out of ratios and result. Headings, paragraphs and inline elements stay whatever their class or id.
+
+Null or empty html, or no content: empty text. Broken markup is read as far as the parser gets, pages of any length whole. An empty
+table gives no rows. Repeated rows stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +39,18 @@ NAMES = frozenset(
     "comment comments commentlist disqus replies reply responses footer header masthead topbar toolbar widget widgets pagination pager login search alert".split()
 )
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+#: Elements whose class or id may name a boilerplate part.
+NAMED = frozenset("div section ul ol dl table tbody tr td center details figure iframe".split())
 _SPLIT = re.compile(r"[\s_\-]+")
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id names a boilerplate part, whole or by its first or last word (`cookie-bar`, `site-footer`)."""
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id names a boilerplate part, whole or by its first or last word (`cookie-bar`, `site-footer`). Inside an article a
+    header is its own."""
     for name in value.lower().split():
         parts = _SPLIT.split(name)
+        if inside and "header" in parts:
+            continue
         if name in NAMES or parts[-1] in NAMES or (parts[0] in NAMES and parts[0] not in ("header", "nav", "menu", "search", "alert", "banner")):
             return True
     return False
@@ -72,7 +81,7 @@ class LineParser(HTMLParser):
             return "x"
         if tag not in ("body", "html"):
             for k, v in attrs:
-                if v and (k == "role" and v.lower() in ROLES or k in ("class", "id") and tag not in REGIONS and _named(v) or k == "hidden" or k == "aria-hidden" and v == "true"):
+                if v and (k == "role" and v.lower() in ROLES or k in ("class", "id") and tag in NAMED and _named(v, bool(self.regions)) or k == "hidden" or k == "aria-hidden" and v == "true"):
                     return "x"
                 if v and tag in REGIONS and k in ("class", "id") and any(n in ("comment", "comments", "related", "ad", "advert", "sponsored", "promo", "teaser", "reply") for n in _SPLIT.split(v.lower())):
                     return "x"
@@ -208,10 +217,10 @@ def main_text(html: str | None) -> str:
 def extract_main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     def work(batches: Iterator[list[list]]):
         for keys, urls, pages in batches:
-            texts = [main_text(p) for p in pages]
+            texts = [main_text(p.as_py()) for p in pages]
             yield [keys, urls, texts, [len(t) for t in texts]]
 
-    return map_rows(df, [key, url, html], work, "page_id long, url string, text string, n_chars long")
+    return map_rows(df, [key, url, html], work, "page_id long, url string, text string, n_chars long", arrow=True)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
