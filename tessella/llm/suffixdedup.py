@@ -14,6 +14,12 @@ string around it: the suffix from the anchor, and some bytes before it.
 4. Anchors with the same k bytes stand together in the merged order. Where they agree in all they own, the smallest id keeps its copy; where
    they differ, their windows are compared one by one.
 
+A string of k bytes in more than HOT documents would bring all its contexts together. Its windows hold LONGER bytes more on its right or on
+its left; they are dealt by these longer strings instead, to other buckets, so that no task gets all.
+
+The number of buckets follows the bytes of the input, so that one holds about BUCKET_BYTES of text, up to MOST_BUCKETS of them (of 1 TB
+each has 16 MB, of 100 TB 400 MB).
+
 Null text: no bytes. Documents under 50 bytes are never touched. A null id comes before all others; rows with equal ids don't count as
 each other's copies. Texts of any length are read in segments. Extra columns are ignored; an empty table gives no rows.
 """
@@ -27,10 +33,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, read, table
+from tessella.llm.common import map_rows, read, table, with_kept
 
-WINDOW, ANCHOR, BUCKETS, SEGMENT = 50, 20, 1024, 2_000_000
+WINDOW, ANCHOR, LONGER, HOT, SEGMENT = 50, 20, 15, 1000, 2_000_000
+BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 18, 16_000_000
 FIRST_ID = -(1 << 63)
+_LAST = np.uint64(1)
 _MUL, _MIX1, _MIX2 = 0xD6E8FEB86659FD93, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -95,6 +103,27 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two that follows the bytes of text."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (n_bytes // BUCKET_BYTES).bit_length()))
+
+
+def _gathered(batches: Iterator[list], text_at: int, buckets: int) -> Iterator[list]:
+    """Batches joined until they have about a kilobyte of text for each bucket, so that many buckets don't make tiny parts."""
+    import pyarrow as pa
+
+    least, held, size = min(64_000_000, 1000 * buckets), [], 0
+    for cols in batches:
+        held.append(cols)
+        size += cols[text_at].nbytes
+        if size >= least:
+            yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+
+
 def _by_bucket(batches: Iterator[list[list]]) -> Iterator[tuple[int, list[list]]]:
     """Rows of one bucket at a time, from rows sorted by bucket (first column)."""
     bucket, held = None, []
@@ -115,12 +144,12 @@ def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(max(1, min(parts, buckets)), "b").sortWithinPartitions("b")
 
 
-def shared_anchors(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(id, h): anchor hashes of each document that occur in another document too."""
+def shared_anchors(docs: DataFrame, buckets: int = BUCKETS, hot: int = HOT) -> DataFrame:
+    """(id, h): anchor hashes of each document that occur in another document too; the last bit tells whether in more than `hot`."""
     bits = np.uint64(64 - (buckets.bit_length() - 1))
 
     def exchange(batches: Iterator[list]):
-        for ids, texts in batches:
+        for ids, texts in _gathered(batches, 1, buckets):
             hs, ds = [], []
             for d, t in zip(ids.to_pylist(), texts.cast("binary").to_pylist(), strict=True):
                 if t and len(t) >= WINDOW:
@@ -164,6 +193,8 @@ def shared_anchors(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             shared = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | (np.maximum.reduceat(f, first) > 0)
             pick = np.repeat(shared, np.diff(np.concatenate([first, [len(h)]]))) & (f == 0)
             ids, found = np.concatenate([d[pick], *kd]), np.concatenate([h[pick], *kh])
+            _, at, count = np.unique(found, return_inverse=True, return_counts=True)
+            found = found & ~_LAST | (count > hot)[at].astype(np.uint64)
             for at in range(0, len(ids), 100_000):
                 yield [ids[at : at + 100_000], found[at : at + 100_000].view(np.int64)]
 
@@ -311,9 +342,30 @@ def repeated_windows(group: list[tuple[bytes, int, int, int]], k: int, window: i
 
 
 def _key(data: bytes, x: int, first: int, last: int, k: int, window: int) -> bytes:
-    """Sort key of an anchor's suffix: its first k bytes, the lengths after and before the anchor, the rest after it, what is before it."""
+    """Sort key of an anchor's suffix: k, its first k bytes, the lengths after and before the anchor, the rest after it, what is before it."""
     end = last + window
-    return data[x : x + k] + bytes((end - x, x - first)) + data[x + k : end] + data[first:x]
+    return bytes((k,)) + data[x : x + k] + bytes((end - x, x - first)) + data[x + k : end] + data[first:x]
+
+
+def _entries(t: bytes, shared: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, int]]:
+    """(bucket, key, position) of a text's shared anchors, a hot one by the longer strings of its windows."""
+    data = np.frombuffer(t, np.uint8)
+    h, x, first, last = anchors(data)
+    plain = h & ~_LAST
+    is_hot = np.isin(plain, shared[(shared & _LAST) > 0] & ~_LAST)
+    cold = np.flatnonzero(np.isin(plain, shared & ~_LAST) & ~is_hot)
+    for b, a, f, z in zip((h[cold] >> np.uint64(bits)).tolist(), x[cold].tolist(), first[cold].tolist(), last[cold].tolist(), strict=True):
+        yield b, _key(t, a, f, z, ANCHOR, WINDOW), a
+    if is_hot.any():
+        k = ANCHOR + LONGER
+        longer = gram_hashes(data, k) >> np.uint64(bits)
+        for a, f, z in zip(x[is_hot].tolist(), first[is_hot].tolist(), last[is_hot].tolist(), strict=True):
+            middle = max(f, a - LONGER)
+            if middle <= z:  # windows with so many bytes on the anchor's right
+                yield int(longer[a]), _key(t, a, middle, z, k, WINDOW), a
+            if f < middle:  # on its left
+                at = a - LONGER
+                yield int(longer[at]), _key(t, at, f, min(z, middle - 1), k, WINDOW), at
 
 
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -322,15 +374,11 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
     bits = 64 - (buckets.bit_length() - 1)
 
     def runs(batches: Iterator[list]):
-        for ids, row_ids, texts, hashes in batches:
+        for ids, row_ids, texts, hashes in _gathered(batches, 2, min(buckets, 16_000)):
             entries: list[tuple[int, bytes, int, int, int]] = []
             for d, row, t, hs in zip(ids.to_pylist(), row_ids.to_pylist(), texts.cast("binary").to_pylist(), hashes, strict=True):
-                if not t or len(t) < WINDOW:
-                    continue
-                h, x, first, last = anchors(np.frombuffer(t, np.uint8))
-                pick = np.flatnonzero(np.isin(h, hs.values.to_numpy().view(np.uint64)))
-                b = (h[pick] >> np.uint64(bits)).astype(np.int64).tolist()
-                entries += [(i, _key(t, a, f, z, ANCHOR, WINDOW), d, row, a) for i, a, f, z in zip(b, x[pick].tolist(), first[pick].tolist(), last[pick].tolist(), strict=True)]
+                if t and len(t) >= WINDOW:
+                    entries += [(b, key, d, row, x) for b, key, x in _entries(t, hs.values.to_numpy().view(np.uint64), bits)]
             entries.sort()
             out: list[list] = [[], []]
             done: list[tuple[int, int, int, int]] = []
@@ -350,8 +398,8 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
                 if key != before:
                     before, smallest = key, d
                 if d > smallest:  # a repeat within this batch
-                    start = x - key[ANCHOR + 1]
-                    done.append((d, row, start, start + len(key) - 2))
+                    start = x - key[key[0] + 2]
+                    done.append((d, row, start, start + len(key) - 3))
                 else:
                     keys.append(key)
                     values.append((d, row, x))
@@ -370,18 +418,20 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
                     found.append(marks)
             group: list[tuple[bytes, int, int, int]] = []
             out: list[tuple[int, int, int, int]] = []
+            k = 0
             for key, agree, value in merge_runs(read_runs):
-                if agree < ANCHOR and group:
+                if agree <= k and group:
                     if len(group) > 1:
-                        out += repeated_windows(group, ANCHOR, WINDOW)
+                        out += repeated_windows(group, k, WINDOW)
                     group = []
-                group.append((key, *value))
+                k = key[0]
+                group.append((key[1:], *value))
             if len(group) > 1:
-                out += repeated_windows(group, ANCHOR, WINDOW)
+                out += repeated_windows(group, k, WINDOW)
             for cols in [*found, *([_marks(out)] if out else [])]:
                 yield list(cols)
 
-    with_hashes = docs.join(shared.groupBy("id").agg(F.collect_list("h").alias("hs")).hint("shuffle_hash"), "id")
+    with_hashes = docs.join(shared.groupBy("id").agg(F.collect_list("h").alias("hs")), "id")
     sent = map_rows(with_hashes, ["id", "row", "text", "hs"], runs, "b int, blob binary", arrow=True)
     return map_rows(_dealt(sent, buckets), ["b", "blob"], merge, "id long, row long, start long, end long")
 
@@ -413,8 +463,9 @@ def removal_spans(df: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     """The documents as (id, row, text) and, for ids with any, the ranges as arrays (id, rows, starts, ends). Both joins with the
     documents are by id alone, so that one exchange of the texts serves both."""
     docs = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    shared = table(shared_anchors(docs), "suffix-anchors")
-    marks = repeats(docs, shared)
+    buckets = buckets_for(docs)
+    shared = table(shared_anchors(docs, buckets), "suffix-anchors")
+    marks = repeats(docs, shared, buckets)
     return docs, marks.groupBy("id").agg(F.collect_list("row").alias("rows"), F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
@@ -434,16 +485,15 @@ def dedup_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield out
 
     docs, spans = removal_spans(df, key, text)
-    joined = docs.join(spans.hint("shuffle_hash"), "id", "left")
+    joined = docs.join(spans, "id", "left")
     return map_rows(joined, ["id", "row", "text", "rows", "starts", "ends"], work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", arrow=True)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with what remains of their texts; a character cut in two goes whole. Other columns stay as they are."""
-    keep = [c for c in df.columns if c != text]
+    """The rows with what remains of their texts; a character cut in two goes whole. Other columns, of any name, stay as they are."""
 
     def work(batches: Iterator[list]):
-        for *kept, texts, own, rows, starts, ends in batches:
+        for kept, texts, own, rows, starts, ends in batches:
             out = []
             for t, spans in zip(texts.cast("binary").to_pylist(), _spans(own, rows, starts, ends), strict=True):
                 parts, at = [], 0
@@ -451,12 +501,12 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     parts.append(t[at:s])
                     at = e
                 out.append(None if t is None else "".join(p.decode("utf-8", "ignore") for p in [*parts, t[at:]]))
-            yield [*kept, out]
+            yield [kept, out]
 
     _, spans = removal_spans(df, key, text)
-    joined = df.withColumn("_id", F.coalesce(F.col(key), F.lit(FIRST_ID))).withColumn("_hash", F.xxhash64(text)).join(spans.select(F.col("id").alias("_id"), F.col("rows").alias("_rows"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")).hint("shuffle_hash"), "_id", "left")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
-    return map_rows(joined, [*keep, text, "_hash", "_rows", "_starts", "_ends"], work, f"{schema}`{text}` string", arrow=True).select(*df.columns)
+    rows = df.select(F.struct(*(c for c in df.columns if c != text)).alias("kept"), F.col(text).alias("text"), F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("row"))
+    out = map_rows(rows.join(spans, "id", "left"), ["kept", "text", "row", "rows", "starts", "ends"], work, with_kept(rows, "remains string"), arrow=True)
+    return out.select(*(F.col("remains").alias(text) if c == text else F.col("kept").getField(c).alias(c) for c in df.columns))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
