@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Days that documents are kept, by kind of source; anything else is kept 365 days.
-RETENTION_DAYS = {"calendar": 365, "chat": 365, "mail": 365, "doc": 730, "note": 730, "meeting": 180}
+#: Days that documents are kept, by source; anything else is kept 365 days.
+RETENTION_DAYS = {"google_calendar": 365, "google_docs": 730, "notion": 730, "obsidian": 730, "zoom": 180, "slack": 365, "outlook_mail": 365}
 #: Hours that a briefing is valid, by kind; anything else 24.
 BRIEFING_HOURS = {"morning": 24, "meeting": 48, "weekly": 168}
+#: How sources are split; then by content type, if a map is given; anything else by sentences.
+STRATEGIES = {"obsidian": "paragraph", "notion": "paragraph", "zoom": "semantic", "google_calendar": "fixed"}
+#: Fixed pattern: a reference to a source in a text, with title and date.
+REFERENCE = r"\[Quelle:\s*([^,\]]+),\s*([^\]]+)\]"
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks, tabs and line ends on both sides."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,8 +36,8 @@ def certainty(a: Column, b: Column) -> Column:
 
 
 def recency(age_days: Column, boost_days: float = 7.0) -> Column:
-    """Sigmoid around `boost_days`; the future counts 1, no date 0."""
-    return F.when(age_days.isNull(), 0.0).when(age_days < 0, 1.0).otherwise(1 / (1 + F.exp((age_days - boost_days) / (boost_days / 3))))
+    """Sigmoid around `boost_days`; now and the future count 1, no date 0."""
+    return F.when(age_days.isNull(), 0.0).when(age_days <= 0, 1.0).otherwise(1 / (1 + F.exp((age_days - boost_days) / (boost_days / 3))))
 
 
 def reranked(cos: Column, rrf: Column, low: Column, high: Column, fresh: Column) -> Column:
@@ -47,26 +56,26 @@ def banded(similarity: Column) -> Column:
 
 
 def retention_days(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in RETENTION_DAYS.items() for x in kv))[kind], F.lit(365))
+    return mapped(RETENTION_DAYS, kind, 365)
 
 
 def briefing_hours(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in BRIEFING_HOURS.items() for x in kv))[kind], F.lit(24))
+    return mapped(BRIEFING_HOURS, kind, 24)
 
 
 def words(text: Column) -> Column:
-    """Lower-case ASCII words."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    """Lower-case runs of letters, digits and underscores of any alphabet."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
+
+
+def endpoint_group(path: Column) -> Column:
+    """Third segment of /api/v1/ paths, else `other`."""
+    p = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/")
+    return F.when((F.size(p) >= 3) & (F.get(p, F.lit(0)) == "api") & (F.get(p, F.lit(1)) == "v1"), F.get(p, F.lit(2))).otherwise("other")
 
 
-def html_stripped(html: Column) -> Column:
-    """Text of simple HTML: scripts and styles go, block ends and br become line ends, tags go, five entities are decoded, blank lines shrink."""
-    out = F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
-    out = F.regexp_replace(out, r"<br */?>|</(p|div|li|tr|h[1-6])>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.btrim(F.regexp_replace(out, r"\n\s*\n+", "\n\n"), F.lit(" \n"))
+def mapped(values: dict, key: Column, default) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[key], F.lit(default))
 
 
 def email_name(email: Column) -> Column:
@@ -74,10 +83,16 @@ def email_name(email: Column) -> Column:
     return F.array_join(F.transform(parts, F.initcap), " ")
 
 
+def strategy(source: Column, content_type: Column | None = None, by_type: dict[str, str] | None = None) -> Column:
+    """How a document is split: by its source, else by its content type, else semantic."""
+    other = mapped({k.lower(): v for k, v in by_type.items()}, F.lower(content_type), "semantic") if content_type is not None and by_type else F.lit("semantic")
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in STRATEGIES.items() for x in kv))[source], other)
+
+
 def citations(text: Column) -> Column:
-    """Titles and dates of `[Quelle: title, date]` references."""
-    pattern = r"\[Quelle:\s*([^,\]]+),\s*([^\]]+)\]"
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("title"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("date"))
+    """Title, date and the whole of each reference, in order."""
+    parts = [F.regexp_extract_all(text, F.lit(REFERENCE), i) for i in (1, 2, 0)]
+    return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("title", "date", "raw"), strict=True))), lambda r: F.struct(F.trim(r["title"]).alias("title"), F.trim(r["date"]).alias("date"), r["raw"].alias("raw")))
 
 
 def minutes_seconds(seconds: Column) -> Column:
@@ -87,3 +102,9 @@ def minutes_seconds(seconds: Column) -> Column:
 
 def month_start_back(as_of: Column, months: int) -> Column:
     return F.add_months(F.trunc(as_of, "month"), -months)
+
+
+def json_in(text: Column) -> Column:
+    """The JSON of an answer: the whole of it, else a fenced block, else what stands from the first to the last brace; null if none can be parsed."""
+    tries = (stripped(text), stripped(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)), F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    return F.coalesce(*(F.when((t != "") & F.try_parse_json(t).isNotNull(), t) for t in tries))

@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
 
-#: How sources are split; anything else by sentences.
-STRATEGIES = {"note": "paragraph", "page": "paragraph", "meeting": "sentence", "calendar": "fixed"}
-
-
-def strategy(kind: Column) -> Column:
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in STRATEGIES.items() for x in kv))[kind], F.lit("sentence"))
-
-
 def fixed_windows(df: DataFrame, key: str, text: str, most: int = 512, overlap: int = 64) -> DataFrame:
     """Windows of `most` blank-separated tokens that slide by `most - overlap` until one reaches the end: (key, chunk_index, n_tokens, chunk)."""
     step = most - overlap

@@ -9,11 +9,12 @@ from tessella.functions import columns as C
 
 
 def co_occurrences(mentions: DataFrame, context: str, entity: str, at: str | None = None) -> DataFrame:
-    """(a, b, n, contexts, last): pairs a < b that share a context; every repeat counts."""
-    m = mentions.select(F.col(context).alias("x"), F.col(entity).alias("e"), *([F.col(at).alias("t")] if at else []))
+    """(a, b, n, contexts, last): pairs a < b that share a context; every repeat counts. Repeats in a context are counted before pairs are made."""
+    m = mentions.groupBy(F.col(context).alias("x"), F.col(entity).alias("e")).agg(F.count(F.lit(1)).alias("n"), *([F.max(at).alias("t")] if at else []))
     l, r = m.alias("l"), m.alias("r")
-    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.e") < F.col("r.e"))).select(F.col("l.e").alias("a"), F.col("r.e").alias("b"), F.col("l.x").alias("x"), *([F.greatest("l.t", "r.t").alias("t")] if at else []))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("contexts"), *([F.max("t").alias("last")] if at else []))
+    both = [F.col("l.e").alias("a"), F.col("r.e").alias("b"), (F.col("l.n") * F.col("r.n")).alias("n"), *([F.greatest("l.t", "r.t").alias("t")] if at else [])]
+    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.e") < F.col("r.e"))).select(*both)
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"), *([F.max("t").alias("last")] if at else []))
 
 
 def weighted(pairs: DataFrame, as_of: Column, least: float = 0.05) -> DataFrame:

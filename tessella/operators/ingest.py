@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import html as _html
+import re
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.arrow import arrow_function
+
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key. Plain Parquet has no MERGE, so what isn't replaced is kept by an anti-join."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], last: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; a null is a value like any other. Of several new rows of one key the one with the greatest
+    `last` counts, or any. Plain Parquet has no MERGE, so what isn't replaced is kept by an anti-join."""
+    rows = F.struct(*new.columns)
+    best = (F.max_by(rows, last) if last else F.any_value(rows)).alias("_row")
+    one = new.groupBy(*keys).agg(best).select("_row.*").select(*new.columns)
+    gone = one.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return old.join(gone, same, "left_anti").unionByName(one)
 
 
 def tombstones(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
@@ -19,8 +33,8 @@ def tombstones(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
 def changed(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of `new` whose content hash is new or differs."""
     h = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    o, n = old.select(key, h.alias("_old")), new.withColumn("content_hash", h)
-    return n.join(o, key, "left").where(~F.col("content_hash").eqNullSafe(F.col("_old"))).drop("_old")
+    o, n = old.select(F.col(key).alias("_key"), h.alias("_old")), new.withColumn("content_hash", h)
+    return n.join(o, F.col(key).eqNullSafe(F.col("_key")) & (F.col("content_hash") == F.col("_old")), "left_anti")
 
 
 def inactive(df: DataFrame, last_seen: str, as_of: Column, days: int) -> DataFrame:
@@ -42,3 +56,29 @@ def paragraphs(df: DataFrame, key: str, text: str, separator: str = "\n", least:
     """Non-blank paragraphs in order."""
     parts = F.filter(F.transform(F.split(F.col(text), separator), lambda x: F.trim(x)), lambda p: F.length(p) >= least)
     return df.select(key, F.posexplode(parts).alias("chunk_index", "chunk"))
+
+
+_STRIP = (
+    (re.compile(r"<(style|script)[^>]*>.*?</\1>", re.S | re.I), ""),
+    (re.compile(r"<br\s*/?>|</(?:p|div|tr|li)>", re.I), "\n"),
+    (re.compile(r"<[^>]+>"), ""),
+)
+
+
+@arrow_function("string")
+def html_stripped(html: pd.Series) -> pd.Series:
+    """Text of simple HTML: styles and scripts go, breaks and block ends become line ends, tags go, character references are decoded (which no
+    built-in function does), and at most one blank line stays in a row."""
+
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        for pattern, by in _STRIP:
+            x = pattern.sub(by, x)
+        return re.sub(r"\n{3,}", "\n\n", _html.unescape(x)).strip()
+
+    return html.map(one)
+
+
+def html_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    return pages.select(key, html_stripped(F.col(html)).alias("text"))

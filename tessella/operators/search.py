@@ -20,24 +20,39 @@ def top_k(k: int | None) -> int:
 
 
 def vector_topk(vectors: DataFrame, query: DataFrame, k: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k vectors nearest to the one row of `query`: (key, certainty), best first. One vector is broadcast, the rest is scanned once."""
-    q = F.broadcast(query.select(F.col(vector).alias("_q")).limit(1))
-    scored = vectors.join(q, F.lit(True)).select(key, F.round(C.certainty(F.col(vector), F.col("_q")), 6).alias("certainty"))
-    return scored.orderBy(F.desc("certainty"), key).limit(top_k(k))
+    """The k vectors nearest to the one row of `query`: (key, certainty), best first. One vector and its norm are broadcast, the rest is
+    scanned once. Without a query row there are no hits."""
+    q = F.broadcast(query.select(F.col(vector).alias("_q")).limit(1).select("_q", F.sqrt(C.dot(F.col("_q"), F.col("_q"))).alias("_n")))
+    v = F.col(vector)
+    norms = F.sqrt(C.dot(v, v)) * F.col("_n")
+    cos = F.when(norms == 0, 0.0).otherwise(C.dot(v, F.col("_q")) / norms)
+    return vectors.join(q, F.lit(True)).select(key, F.round((1 + cos) / 2, 6).alias("certainty")).orderBy(F.desc("certainty"), key).limit(top_k(k))
 
 
-def keyword_matches(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that hold all terms: (key, score), the score being the terms' frequency among all words. No terms, no rows."""
-    terms = list(dict.fromkeys(t for term in terms for t in re.findall("[a-z0-9]+", term.lower())))
+def terms_of(query: str) -> list[str]:
+    """Terms of a query, all of which a hit must have: marks go, blanks and hyphens separate, case doesn't count."""
+    return list(dict.fromkeys(re.findall(r"\w+", re.sub(r"[^\w\s\-]", "", query).lower())))
+
+
+def keyword_matches(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that hold all terms: (key, score), the score being the terms' frequency among all words. No terms, no rows. One scan; texts
+    that lack a term as a plain substring are passed over before words are counted."""
+    terms = terms_of(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    # One blank between words and around all: a term is a plain substring then, and nothing leaves generated code.
-    d = docs.select(key, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")), F.lit(" ")).alias("w"))
+    low = docs.select(key, F.lower(F.col(text)).alias("w"))
+    d = low.where(reduce(and_, (F.contains("w", F.lit(t)) for t in terms)))
+    d = d.select(key, F.concat(F.lit(" "), F.trim(F.regexp_replace("w", r"[^\p{L}\p{N}_]+", " ")), F.lit(" ")).alias("w"))
     held = d.where(reduce(and_, (F.contains("w", F.lit(f" {t} ")) for t in terms)))
     hits = F.regexp_count("w", F.lit(f"(?<= )({'|'.join(terms)})(?= )"))
     return held.select(key, F.round(hits / (F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1), 6).alias("score"))
 
 
+def positions(run: DataFrame, by: str, order: list) -> DataFrame:
+    """Each row's 1-based position in its list."""
+    return run.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
 def ranked(hits: DataFrame, score: str, key: str, name: str) -> DataFrame:
     """Ranks of a list that top-k has already made small."""
     return hits.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), key)))
@@ -58,7 +73,8 @@ def rerank(fused: DataFrame, key: str, cos: str, age_days: str, k: int | None =
 
 def eval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """Per query: nDCG@k (gain 2^grade - 1), reciprocal rank, precision@k, recall@k and average precision. run: (qid, pos, doc_id) with
-    positions from 1; qrels: (qid, doc_id, grade), of which grades above 0 are relevant. Queries without relevant documents score 0."""
+    positions from 1; qrels: (qid, doc_id, grade), of which grades above 0 are relevant. Judged queries without any hit, and queries without
+    relevant documents, score 0. Lists are a query's hits, not a corpus: a query's rows are in one task."""
     rel = qrels.where("grade > 0")
     ideal = rel.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "doc_id")))
     gain = lambda g, p: (F.pow(F.lit(2.0), g) - 1) / F.log2(p + 1)
@@ -73,13 +89,15 @@ def eval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
         F.sum(F.when(F.col("r") == 1, F.col("found") / F.col("pos")).otherwise(0.0)).alias("ap"),
     )
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return agg.join(per_q, "qid", "left").select(
+    asked = qrels.select("qid").unionByName(run.select("qid")).distinct()
+    return asked.join(agg, "qid", "left").join(per_q, "qid", "left").select(
         "qid", zero(F.col("dcg") / F.col("idcg")).alias("ndcg"), zero(1 / F.col("first")).alias("rr"), zero(F.col("hits") / k).alias("precision"), zero(F.col("hits") / F.col("n_rel")).alias("recall"), zero(F.col("ap") / F.col("n_rel")).alias("ap")
     )
 
 
-def eval_report(metrics: DataFrame) -> DataFrame:
-    """Mean, median and sample deviation (0 for one query) of each measure."""
-    names = [c for c in metrics.columns if c != "qid"]
-    long = metrics.select("qid", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("m")).select("m.*")
-    return long.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd"))
+def eval_report(metrics: DataFrame, config: str | None = None) -> DataFrame:
+    """Mean, median and sample deviation (0 for one query) of each measure; with `config`, for each value of that column, to compare runs."""
+    keys = [config] if config else []
+    names = [c for c in metrics.columns if c not in ("qid", *keys)]
+    long = metrics.select("qid", *keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("m")).select(*keys, "m.*")
+    return long.groupBy(*keys, "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd"))

@@ -6,39 +6,26 @@ in orders (contexts); events are usage and requests; labels are judgements. The
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
 from tessella.operators import analytics as A
 from tessella.operators import chunking as K
 from tessella.operators import graph as G
+from tessella.operators import index as X
 from tessella.operators import ingest as I
 from tessella.operators import search as S
 from tessella.plans import hybrid
-from tessella.sources.tables import load
+from tessella.registry import ORACLES, QUERIES, query
+from tessella.sources.tables import load, spread
 from tessella.streaming import rates
 
-TERMS = ["the", "and", "with"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+TERMS = "The and: with"
 AS_OF = "2024-02-01"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _VECTOR = "SELECT e.vec_id, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 6) AS certainty FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY certainty DESC, vec_id LIMIT {k}"
-_WORDS = "SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents"
+_WORDS = r"SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents"
 _KEYWORD = f"SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'and', 'with')))::DOUBLE / len(w), 6) AS score FROM ({_WORDS}) WHERE list_has_all(w, ['the', 'and', 'with'])"
 _FUSED = f"""near AS ({_VECTOR.format(k=20)}), kw AS ({_KEYWORD} ORDER BY score DESC, doc_id LIMIT 20),
  s AS (SELECT vec_id AS doc_id, certainty, row_number() OVER (ORDER BY certainty DESC, vec_id) AS semantic_rank FROM near),
@@ -48,7 +35,7 @@ _FUSED = f"""near AS ({_VECTOR.format(k=20)}), kw AS ({_KEYWORD} ORDER BY score
 
 def _hybrid(spark, d):
     e = load(spark, d, "embeddings")
-    return load(spark, d, "documents"), e, e.where("vec_id = 0")
+    return X.index_of(spark, d), e, e.where("vec_id = 0")
 
 
 @query(_VECTOR.format(k=10))
@@ -59,7 +46,13 @@ def vector_topk(spark, d):
 
 @query(_KEYWORD)
 def keyword_and_match(spark, d):
-    return S.keyword_matches(load(spark, d, "documents"), TERMS)
+    return X.lookup(X.index_of(spark, d), TERMS)
+
+
+@query(_KEYWORD)
+def keyword_scan(spark, d):
+    """The same without an index: one scan of all texts."""
+    return S.keyword_matches(spread(load(spark, d, "documents")), TERMS)
 
 
 @query(f"WITH {_FUSED} SELECT doc_id, semantic_rank, keyword_rank, rrf FROM fused")
@@ -67,26 +60,25 @@ def rrf_fusion(spark, d):
     return hybrid.fused(*_hybrid(spark, d), TERMS).select("doc_id", "semantic_rank", "keyword_rank", "rrf")
 
 
-@query(f"""WITH {_FUSED}, x AS (SELECT *, 2 * certainty - 1 AS cos, CASE WHEN semantic_rank IS NULL THEN 0 ELSE 1 / (1 + exp(((doc_id % 30) - 7) / (7.0::DOUBLE / 3))) END AS fresh,
+@query(f"""WITH {_FUSED}, x AS (SELECT *, certainty AS cos, CASE WHEN semantic_rank IS NULL THEN 0 WHEN doc_id % 30 = 0 THEN 1 ELSE 1 / (1 + exp(((doc_id % 30) - 7) / (7.0::DOUBLE / 3))) END AS fresh,
  min(rrf) OVER () AS lo, max(rrf) OVER () AS hi FROM fused)
  SELECT doc_id, semantic_rank, keyword_rank, round((0.6 * coalesce(cos, 0) + 0.3 * (rrf - lo) / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END)) * (1 + 0.1 * fresh), 6) AS final FROM x ORDER BY final DESC, doc_id LIMIT 10""")
 def rerank_recency(spark, d):
     return hybrid.search(*_hybrid(spark, d), TERMS)
 
 
-_RUN = "run AS (SELECT source AS qid, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents), rel AS (SELECT d.source AS qid, l.doc_id, l.quality AS grade FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0)"
-_METRICS = f"""{_RUN}, ideal AS (SELECT qid, count(*) AS n_rel, sum(CASE WHEN i <= 10 THEN (pow(2, grade) - 1) / log2(i + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS i FROM rel) GROUP BY qid),
+_RUN = "run AS (SELECT source AS qid, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents WHERE source <> 'src3'), judged AS (SELECT d.source AS qid, l.doc_id, l.quality * (1 + l.doc_id % 3) AS grade FROM labels l JOIN documents d USING (doc_id)), rel AS (SELECT * FROM judged WHERE grade > 0)"
+_METRICS = f"""{_RUN}, q AS (SELECT DISTINCT qid FROM run UNION SELECT qid FROM judged), ideal AS (SELECT qid, count(*) AS n_rel, sum(CASE WHEN i <= 10 THEN (pow(2, grade) - 1) / log2(i + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS i FROM rel) GROUP BY qid),
  hit AS (SELECT r.qid, r.pos, rel.grade, (rel.grade IS NOT NULL)::INT AS r, sum((rel.grade IS NOT NULL)::INT) OVER (PARTITION BY r.qid ORDER BY r.pos) AS found FROM run r LEFT JOIN rel USING (qid, doc_id)),
  agg AS (SELECT qid, sum(CASE WHEN pos <= 10 AND r = 1 THEN (pow(2, grade) - 1) / log2(pos + 1) ELSE 0 END) AS dcg, min(CASE WHEN r = 1 THEN pos END) AS first, sum(CASE WHEN pos <= 10 THEN r ELSE 0 END) AS hits, sum(CASE WHEN r = 1 THEN found / pos ELSE 0 END) AS ap FROM hit GROUP BY qid),
- m AS (SELECT qid, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(hits / 10.0::DOUBLE, 0), 6) AS "precision", round(coalesce(hits::DOUBLE / n_rel, 0), 6) AS recall, round(coalesce(ap / n_rel, 0), 6) AS ap FROM agg LEFT JOIN ideal USING (qid))"""
+ m AS (SELECT q.qid, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(hits / 10.0::DOUBLE, 0), 6) AS "precision", round(coalesce(hits::DOUBLE / n_rel, 0), 6) AS recall, round(coalesce(ap / n_rel, 0), 6) AS ap FROM q LEFT JOIN agg USING (qid) LEFT JOIN ideal USING (qid))"""
 
 
 def _metrics(spark, d):
+    """Sources stand for queries. Documents of src3 are judged but never returned, so that query scores 0."""
     docs = load(spark, d, "documents").select("doc_id", "source", "n_chars")
-    from pyspark.sql import Window
-
-    run = docs.select(F.col("source").alias("qid"), "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("pos"))
-    qrels = load(spark, d, "labels").join(docs, "doc_id").select(F.col("source").alias("qid"), "doc_id", F.col("quality").alias("grade"))
+    run = S.positions(docs.where("source <> 'src3'").withColumnRenamed("source", "qid"), "qid", [F.desc("n_chars"), F.col("doc_id")])
+    qrels = load(spark, d, "labels").join(docs, "doc_id").select(F.col("source").alias("qid"), "doc_id", (F.col("quality") * (1 + F.col("doc_id") % 3)).alias("grade"))
     return S.eval_metrics(run, qrels)
 
 
@@ -147,9 +139,9 @@ def nulls_last_priority_sort(spark, d):
     return o.orderBy(p, F.asc_nulls_last("due"), "o_orderkey").limit(50).select("o_orderkey", "o_orderpriority", "due")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'p') ORDER BY p_name, p_partkey LIMIT 20")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 're') ORDER BY p_name, p_partkey LIMIT 20")
 def prefix_autocomplete(spark, d):
-    return load(spark, d, "part").where(F.lower("p_name").startswith("p")).orderBy("p_name", "p_partkey").limit(20).select("p_partkey", "p_name")
+    return load(spark, d, "part").where(F.lower("p_name").startswith("re")).orderBy("p_name", "p_partkey").limit(20).select("p_partkey", "p_name")
 
 
 @query("SELECT doc_id, source, left(text, 100) AS preview FROM documents WHERE text ILIKE '%tion th%' ORDER BY doc_id LIMIT 50")
@@ -194,14 +186,16 @@ def derived_edges(spark, d):
     return _pairs(spark, d).where((F.col("a") % 2 == F.col("b") % 2) & (F.col("n") >= F.when(person, 2).otherwise(3))).select("a", "b", F.when(person, "KNOWS").otherwise("RELATED_TO").alias("edge_type"), "n")
 
 
-_STRONG = f"SELECT a, b FROM ({_PAIRS}) WHERE n >= 5"
+_CHAIN = "SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 5 = 0"
 
 
-@query(f"""WITH RECURSIVE e AS ({_STRONG}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, hops) AS (SELECT 1::BIGINT, 0 UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 2)
+@query(f"""WITH RECURSIVE e AS ({_CHAIN}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, hops) AS (SELECT (SELECT min(a) FROM e), 0 UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 3)
  SELECT node, min(hops)::INT AS hops FROM w GROUP BY node HAVING min(hops) > 0""")
 def khop_neighbours(spark, d):
-    start = load(spark, d, "supplier").where("s_suppkey = 1").select("s_suppkey")
-    return G.k_hop(_pairs(spark, d).where("n >= 5"), start, 2)
+    """A sparse graph of customers: a fifth of the orders links its customer to one of the next three."""
+    o = load(spark, d, "orders").where("o_orderkey % 5 = 0")
+    edges = o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("b")).distinct()
+    return G.k_hop(edges, edges.agg(F.min("a").alias("a")), 3)
 
 
 @query(f"WITH top AS (SELECT l_suppkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 50) SELECT a, b, n FROM ({_PAIRS}) WHERE a IN (SELECT * FROM top) AND b IN (SELECT * FROM top)")
@@ -236,12 +230,12 @@ def error_ratio_window(spark, d):
     return rates.error_ratio(load(spark, d, "events"), "ts", F.col("event_type") == "error")
 
 
-_SNAP = "SELECT event_type || ':' || (user_id % 50) AS k, count(*) AS n FROM events WHERE ts {0} TIMESTAMP '2024-01-15' GROUP BY 1"
+_SNAP = "SELECT event_type || ':' || user_id AS k, count(*) AS n FROM events WHERE ts {0} TIMESTAMP '2024-01-15' AND hour(ts) < 4 GROUP BY 1"
 
 
 @query(f"SELECT * FROM (SELECT coalesce(o.k, n.k) AS k, o.n AS old, n.n AS new, CASE WHEN o.n IS NULL THEN 'added' WHEN n.n IS NULL THEN 'removed' WHEN o.n <> n.n THEN 'changed' END AS state, coalesce(n.n, 0) - coalesce(o.n, 0) AS delta FROM ({_SNAP.format('<')}) o FULL JOIN ({_SNAP.format('>=')}) n ON o.k = n.k) WHERE state IS NOT NULL")
 def snapshot_diff(spark, d):
-    e = load(spark, d, "events").withColumn("k", F.concat("event_type", F.lit(":"), F.col("user_id") % 50))
+    e = load(spark, d, "events").where(F.hour("ts") < 4).withColumn("k", F.concat("event_type", F.lit(":"), "user_id"))
     cut, snap = F.lit("2024-01-15").cast("timestamp"), lambda df: df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     return G.snapshot_diff(snap(e.where(F.col("ts") < cut)), snap(e.where(F.col("ts") >= cut)), "k", "n")
 
@@ -251,9 +245,9 @@ def rolling_retention(spark, d):
     return A.latest_per(load(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 52).select("event_id", "user_id")
 
 
-@query("SELECT * FROM (SELECT word, count(*) AS n FROM (SELECT regexp_replace(lower(w), '^[.,:;!?()\\[\\]\"''-]+|[.,:;!?()\\[\\]\"''-]+$', '', 'g') AS word FROM (SELECT unnest(regexp_split_to_array(p_name, '\\s+')) AS w FROM part) WHERE length(w) > 2) WHERE word <> '' AND word NOT IN ('the', 'and', 'for') GROUP BY word ORDER BY n DESC, word LIMIT 10) WHERE n >= 2")
+@query(r"""SELECT * FROM (SELECT word, count(*) AS n, list_sort(list(DISTINCT p_brand)) AS sources FROM (SELECT trim(lower(w), '.,;:!?()[]{}"''') AS word, p_brand FROM (SELECT unnest(regexp_split_to_array(p_name, '\s+')) AS w, p_brand FROM part) WHERE length(w) > 2) WHERE word NOT IN ('the', 'and', 'for') GROUP BY word ORDER BY n DESC, word LIMIT 10) WHERE n >= 2""")
 def title_word_topics(spark, d):
-    return A.title_topics(load(spark, d, "part"), "p_name", ["the", "and", "for"])
+    return A.title_topics(load(spark, d, "part"), "p_name", "p_brand", ["the", "and", "for"])
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 0")
@@ -264,18 +258,19 @@ def content_hash_changed(spark, d):
     return I.changed(old, docs, "doc_id", "text").select("doc_id", "content_hash")
 
 
-_KINDS = ["calendar", "chat", "mail", "doc", "note", "meeting", "other"]
+_KINDS = ["google_calendar", "google_docs", "notion", "obsidian", "zoom", "slack", "outlook_mail", "gmail"]
 
 
-@query("SELECT doc_id, kind, DATE '2024-01-01' + CASE kind WHEN 'doc' THEN 730 WHEN 'note' THEN 730 WHEN 'meeting' THEN 180 ELSE 365 END AS expires FROM (SELECT doc_id, ['calendar', 'chat', 'mail', 'doc', 'note', 'meeting', 'other'][(doc_id % 7 + 1)::INT] AS kind FROM documents)")
+@query("SELECT doc_id, kind, DATE '2024-01-01' + CASE WHEN kind IN ('google_docs', 'notion', 'obsidian') THEN 730 WHEN kind = 'zoom' THEN 180 ELSE 365 END AS expires FROM (SELECT doc_id, ['google_calendar', 'google_docs', 'notion', 'obsidian', 'zoom', 'slack', 'outlook_mail', 'gmail'][(doc_id % 8 + 1)::INT] AS kind FROM documents)")
 def expiry_by_source(spark, d):
-    k = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    k = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
     return load(spark, d, "documents").select("doc_id", k.alias("kind")).withColumn("expires", F.date_add(F.lit("2024-01-01").cast("date"), C.retention_days(F.col("kind"))))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<br */?>|</(p|div|li|tr|h[1-6])>', E'\n', 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\n\s*\n+', E'\n\n', 'g'), E' \n') AS text FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<style[^>]*>.*?</style>', '', 'gsi'), '<script[^>]*>.*?</script>', '', 'gsi'), '<br\s*/?>|</(p|div|tr|li)>', E'\n', 'gi'), '<[^>]+>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\n{3,}', E'\n\n', 'g'), E' \n\t\r') AS text FROM pages""")
 def html_strip(spark, d):
-    return load(spark, d, "pages").select("page_id", C.html_stripped(F.col("html")).alias("text"))
+    """The pages use some of the entities that are decoded, which the SQL names."""
+    return I.html_texts(spread(load(spark, d, "pages")), "page_id", "html")
 
 
 @query(r"SELECT doc_id, (i - 1)::INT AS chunk_index, p[i] AS chunk FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x)), lambda x: length(x) >= 1) AS p FROM documents))")
@@ -328,7 +323,7 @@ def upsert_merge(spark, d):
 @query("SELECT source, doc_id, running_tokens FROM (SELECT source, doc_id, sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_tokens FROM documents) WHERE running_tokens <= 8000")
 def budget_prefix_trim(spark, d):
     docs = load(spark, d, "documents").select("source", "doc_id", F.expr("n_chars div 4").alias("tokens"))
-    return A.budget_prefix(docs, ["source"], [F.col("doc_id")], "tokens", 8000).drop("tokens")
+    return A.budget_prefix(docs, "source", "doc_id", "tokens", 8000).drop("tokens")
 
 
 @query("SELECT user_id, ts::DATE AS day, count(*) AS calls, round(sum(value * CASE event_type WHEN 'purchase' THEN 15 WHEN 'click' THEN 3 ELSE 1 END / 1e6), 8) AS cost, greatest(0, 100 - count(*)) AS remaining FROM events GROUP BY 1, 2")
@@ -395,9 +390,13 @@ def pending_decisions(spark, d):
     return load(spark, d, "orders").where("o_orderstatus = 'O'").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH c AS (SELECT event_type, b.le, b.lo, count(*) FILTER (WHERE value > coalesce(b.lo, -1) AND (b.le IS NULL OR value <= b.le)) AS n FROM events, (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (1, 5), (5, 10), (10, 50), (50, 100), (100, 300), (300, NULL)) AS b(lo, le) GROUP BY ALL),
+ w AS (SELECT *, sum(n) OVER (PARTITION BY event_type) AS total, sum(n) OVER (PARTITION BY event_type ORDER BY lo) - n AS below FROM c),
+ x AS (SELECT event_type, unnest([0.5, 0.95, 0.9999])::DOUBLE AS q, lo, le, n, total, below FROM w)
+ SELECT event_type, q, round(arg_min(CASE WHEN le IS NULL THEN 300 ELSE lo + (le - lo) * (q * total - below) / n END, lo), 6) AS value, any_value(total)::BIGINT AS n FROM x WHERE below + n >= q * total AND n > 0 GROUP BY event_type, q""")
 def latency_quantiles(spark, d):
-    return load(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.percentile("value", 0.99), 6).alias("p99"), F.count(F.lit(1)).alias("n"))
+    """Interpolated within buckets, as from a histogram of fixed bounds; beyond the last bound, that bound."""
+    return rates.bucket_quantiles(load(spark, d, "events"), "event_type", "value", (1.0, 5.0, 10.0, 50.0, 100.0, 300.0), (0.5, 0.95, 0.9999))
 
 
 @query("SELECT event_type, arg_max(value, event_id) AS last_value, max(ts) AS last_ts FROM events GROUP BY 1")
@@ -405,9 +404,15 @@ def gauge_last_value(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(F.max_by("value", "event_id").alias("last_value"), F.max("ts").alias("last_ts"))
 
 
-@query("SELECT split_part(regexp_replace(url, '^https?://[^/]*/?', ''), '/', 1) AS endpoint_group, count(*) AS n FROM pages GROUP BY 1")
+_PATHS = "SELECT CASE page_id % 3 WHEN 0 THEN '/api/v1' WHEN 1 THEN '/api/v2' ELSE '' END || regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?].*$', '') AS path FROM pages"
+
+
+@query(f"SELECT CASE WHEN len(p) >= 3 AND p[1] = 'api' AND p[2] = 'v1' THEN p[3] ELSE 'other' END AS endpoint_group, count(*) AS n FROM (SELECT string_split(trim(path, '/'), '/') AS p FROM ({_PATHS})) GROUP BY 1")
 def endpoint_groups(spark, d):
-    return load(spark, d, "pages").groupBy(F.split_part(F.regexp_replace("url", "^https?://[^/]*/?", ""), F.lit("/"), F.lit(1)).alias("endpoint_group")).agg(F.count(F.lit(1)).alias("n"))
+    """Paths of pages; a third of them is taken to lie below /api/v1, another below /api/v2."""
+    below = F.when(F.col("page_id") % 3 == 0, "/api/v1").when(F.col("page_id") % 3 == 1, "/api/v2").otherwise("")
+    path = F.concat(below, F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), "[?].*$", ""))
+    return load(spark, d, "pages").groupBy(C.endpoint_group(path).alias("endpoint_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_version FROM orders GROUP BY 1")
@@ -415,10 +420,10 @@ def next_version(spark, d):
     return load(spark, d, "orders").groupBy("o_custkey").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_version"))
 
 
-@query("SELECT l_partkey, count(*) AS mentions, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1998-01-01') = 0 AS is_new FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey, count(*) AS mentions, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1996-01-01') = 0 AS is_new FROM lineitem GROUP BY 1")
 def entity_upsert(spark, d):
-    """Mentions before 1998 are taken to be stored, later ones to be found now."""
-    m, cut = load(spark, d, "lineitem").select("l_partkey", "l_shipdate"), F.lit("1998-01-01").cast("timestamp")
+    """Mentions before 1996 are taken to be stored, later ones to be found now."""
+    m, cut = load(spark, d, "lineitem").select("l_partkey", "l_shipdate"), F.lit("1996-01-01").cast("timestamp")
     entities = lambda df: df.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("mentions"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
     return G.merged_entities(entities(m.where(F.col("l_shipdate") < cut)), entities(m.where(F.col("l_shipdate") >= cut)), "l_partkey")
 
@@ -435,3 +440,6 @@ def weekly_load(spark, d):
     until = F.lit(AS_OF).cast("timestamp")
     seen = load(spark, d, "events").where((F.col("ts") >= until - F.expr("INTERVAL 30 DAYS")) & (F.col("ts") < until))
     return seen.groupBy("event_type").agg(F.round(F.count(F.lit(1)) / (30 / 7.0), 1).alias("per_week"))
+
+
+from tessella.catalog import entities, knowledge, operations, retrieval, texts  # noqa: E402, F401  they register their queries

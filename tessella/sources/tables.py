@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str | None] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse; on one machine without the former a folder of its
+    own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local["):
+        root = _OWN.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="spark-shared-")
+        _OWN[spark.sparkContext.applicationId] = root
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out where a small file would leave most cores idle. A scan of many splits stays as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_vault(spark: SparkSession, path: str, modified_after: str | None = None, excluded: tuple[str, ...] = (".obsidian", ".trash", ".git")) -> DataFrame:
     """Markdown files under `path` changed since `modified_after` (ISO time): (path, modified, content). Excluded folders are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md")
@@ -22,26 +43,19 @@ def read_vault(spark: SparkSession, path: str, modified_after: str | None = None
 
 
 def wikilinks(text: Column) -> Column:
-    """Targets of [[target|alias]] links, sorted, each once."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.trim(x))))
+    """Target and display of [[target|display]] links in order, each target once; without a display it is null."""
+    raw = F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda r: F.struct(F.trim(F.substring_index(r, "|", 1)).alias("target"), F.when(F.contains(r, F.lit("|")), F.trim(F.regexp_replace(r, r"^[^|]*\|", ""))).alias("display")))
+    targets = F.transform(raw, lambda r: r["target"])
+    return F.filter(raw, lambda r, i: F.array_position(targets, r["target"]) == i + 1)
 
 
 def hashtags(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), 1)))
+    """#tag and #parent/child at a line's start or after a blank, sorted, each once."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)(?m)(?:^|(?<=\s))#(\w[\w/\-]*)"), 1)))
 
 
 def transcript_format(name: Column, content: Column) -> Column:
-    """By the file's ending, then by its content: vtt, srt or txt."""
-    low = F.lower(name)
-    return F.when(low.endswith(".vtt"), "vtt").when(low.endswith(".srt"), "srt").when(content.startswith("WEBVTT"), "vtt").when(content.rlike(r"(?m)^\d+\s*\n\d\d:\d\d:\d\d,\d{3} -->"), "srt").otherwise("txt")
-
-
-def transcript_text(content: Column) -> Column:
-    """Spoken lines of a VTT or SRT transcript: cue numbers, times, headers and notes go."""
-    lines = F.transform(F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x))
-    said = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(WEBVTT|NOTE)") & ~x.rlike(r"^\d+$") & ~x.contains("-->"))
-    return F.array_join(F.transform(said, lambda x: F.regexp_replace(x, r"</?v[^>]*>", "")), "\n")
-
-
-def transcript_speakers(content: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(content, F.lit(r"<v ([^>]+)>"), 1), F.regexp_extract_all(content, F.lit(r"(?m)^([A-Z][\w .-]{0,40}): "), 1))))
+    """By the file's ending vtt or srt, else by its content: vtt, srt (times in the first 500 characters) or txt."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    srt = F.substring(content, 1, 500).rlike(r"\d{2}:\d{2}:\d{2}[,.]\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}[,.]\d{3}")
+    return F.when(low.endswith(".vtt"), "vtt").when(low.endswith(".srt"), "srt").when(F.trim(F.regexp_replace(content, r"^\s+", "")).startswith("WEBVTT"), "vtt").when(srt, "srt").otherwise("txt")

@@ -16,6 +16,23 @@ def error_ratio(events: DataFrame, at: str, is_error, window: str = "1 hour") ->
     return g.select(F.col("w.start").alias("window_start"), "errors", "n", F.round(F.try_divide(F.col("errors"), F.col("n")), 6).alias("ratio"))
 
 
+def bucket_quantiles(events: DataFrame, label: str, value: str, bounds: tuple[float, ...], quantiles: tuple[float, ...]) -> DataFrame:
+    """(label, q, value, n): quantiles interpolated linearly within buckets of fixed upper bounds, the lowest from 0; beyond the last bound,
+    that bound. Only counts by bucket are exchanged."""
+    lows = (0.0, *bounds)
+    counts = events.groupBy(label).agg(F.count(value).alias("total"), *(F.count_if(F.col(value) <= b).alias(f"_{i}") for i, b in enumerate(bounds)))
+    below = [F.lit(0), *(F.col(f"_{i}") for i in range(len(bounds)))]
+
+    def at(q: float):
+        rank, out = F.lit(q) * F.col("total"), F.lit(float(bounds[-1]))
+        for i in reversed(range(len(bounds))):
+            n = below[i + 1] - below[i]
+            out = F.when((below[i + 1] >= rank) & (n > 0), lows[i] + (bounds[i] - lows[i]) * (rank - below[i]) / n).otherwise(out)
+        return F.struct(F.lit(q).alias("q"), F.round(out, 6).alias("value"))
+
+    return counts.select(label, F.explode(F.array(*map(at, quantiles))).alias("x"), F.col("total").alias("n")).select(label, "x.q", "x.value", "n")
+
+
 def over_limit(events: DataFrame, at: str, who: str, limit: int, window: str = "1 hour") -> DataFrame:
     """Fixed-window request counts beyond the limit."""
     g = events.groupBy(who, F.window(at, window).alias("w")).agg(F.count(F.lit(1)).alias("n"))
