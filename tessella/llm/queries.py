@@ -12,6 +12,7 @@ from tessella.llm.htmltext import op10_html_extraction
 from tessella.llm.langid import op8_language_id
 from tessella.llm.maxent import op7_lm_scoring
 from tessella.llm.media import op1_media_columns
+from tessella.llm.oracles import ORACLES
 from tessella.llm.packing import op4_packing
 from tessella.llm.sharding import op3_sharding
 from tessella.llm.simhash import op5_simhash_dedup
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import read, table
 
+HASH_BITS = 60
 
 def _positions(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """0-based position `out` of each row inside keys[:-1], by keys[-1] (a range number) and then `order`; `out`_n: rows there."""
@@ -38,9 +39,11 @@ def interleaved_shards(df: DataFrame, shards: int = 8, seed: int = 17, key: str
         F.col(key).alias("doc_id"), F.col(stratum).alias("source"),
         F.when(F.col(stratum).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(stratum).cast("string"))).alias("_s"),
         (F.octet_length(payload) + 1).cast("long").alias("size"), F.crc32(payload).alias("text_crc32"),
-    ).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    )
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("size").cast("string"))
+    rows = rows.withColumn("_h", F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long"))
     bits = ranges.bit_length() - 1
-    rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
+    rows = rows.withColumn("_b", F.shiftrightunsigned("_h", HASH_BITS - bits))
     ranked = _positions(rows, ["_s", "_b"], ["_h", "doc_id", "text_crc32", "size"], "_r").drop("_b")
     ranked = ranked.withColumn("_f", (2 * F.col("_r") + 1) / (2 * F.col("_r_n"))).drop("_r", "_r_n")
     ranked = table(ranked.withColumn("_g", F.floor(F.col("_f") * ranges)), "shard-ranks")
