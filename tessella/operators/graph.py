@@ -63,3 +63,12 @@ def merged_edges(edges: DataFrame, src: DataFrame, dst: DataFrame, a: str, b: st
     """Edges counted by their ends, with the last time; an edge is skipped if an end is no node. Counting comes before the joins."""
     counted = edges.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last"))
     return counted.join(src, a, "left_semi").join(dst, b, "left_semi")
+
+
+def merged_nodes(stored: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes (keys, name, first_seen, last_seen, mentions) after found ones are merged in: a new node is created, an old one is seen later, more often, and
+    under its latest name. `created` tells them apart."""
+    both = stored.withColumn("created", F.lit(False)).unionByName(found.withColumn("created", F.lit(True)))
+    return both.groupBy(*keys).agg(
+        F.max_by("name", F.struct("last_seen", "name")).alias("name"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("mentions").alias("mentions"), F.every("created").alias("created")
+    )

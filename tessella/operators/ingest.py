@@ -8,7 +8,7 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.arrow import arrow_function
@@ -82,3 +82,22 @@ def html_stripped(html: pd.Series) -> pd.Series:
 
 def html_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html_stripped(F.col(html)).alias("text"))
+
+
+def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, change, moved_from) between two listings (path, hash): created, modified, deleted and moved files. A file that is gone and one that is new
+    with the same hash are one that moved; of several such the n-th by path with the n-th."""
+    both = old.select("path", F.col("hash").alias("old")).join(new.select("path", F.col("hash").alias("new")), "path", "full")
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("path"))
+    gone = both.where("new IS NULL").select("path", F.col("old").alias("hash")).withColumn("n", nth)
+    come = both.where("old IS NULL").select("path", F.col("new").alias("hash")).withColumn("n", nth)
+    pairs = come.join(gone.withColumnRenamed("path", "moved_from"), ["hash", "n"], "full")
+    none = F.lit(None).cast("string")
+    moved = F.when(F.col("path").isNull(), "deleted").when(F.col("moved_from").isNull(), "created").otherwise("moved")
+    rest = pairs.select(F.coalesce("path", "moved_from").alias("path"), moved.alias("change"), F.when(F.col("path").isNotNull(), F.col("moved_from")).alias("moved_from"))
+    return both.where("old != new").select("path", F.lit("modified").alias("change"), none.alias("moved_from")).unionByName(rest)
+
+
+def without_expired(old: DataFrame, saved: DataFrame, keys: list[str], expires: str, now: Column, last: str) -> DataFrame:
+    """Stored rows with the saved ones in place of those of the same key, and none that has expired; without a time of expiry a row stays."""
+    return upsert(old, saved, keys, last).where(F.coalesce(F.col(expires) > now, F.lit(True)))
