@@ -6,7 +6,8 @@ samples a row, and references are resolved by a join on the digest. What is comp
 per stored payload from the bytes read back, before the join, so a payload with many references is neither copied nor decoded again.
 
 Null text or html: empty. An empty payload is padded to 64 zero bytes. A reference without stored payload keeps its place with null media columns.
-Equal payloads share one stored form. Repeated rows stay; extra columns are ignored; empty tables give no rows.
+Equal payloads share one stored form. A text of any length is one payload, stored and described whole. Repeated rows stay; extra columns
+are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
