@@ -13,17 +13,18 @@ With a `similarity`, texts whose sets of shingles have that Jaccard similarity a
 The search is exact: sets are put in one order of all shingles (those that are common in a sample last), and similar sets share a shingle of their
 prefixes, which leave out so many that the rest alone is too few. A shingle is a cell; a pair is taken from it only if sizes and places
 allow the similarity (no more than what follows a first common shingle can be common). A cell of more than CROWD sets first gives pairs of neighbours; what
-these join counts as one. Then it gives some pairs that are still apart, and last all that still are. The sample and the first rounds only save work.
-Every pair is decided by its whole sets.
+these join counts as one. Then it gives some pairs that are still apart, and last all that still are. A pair goes on only if counts of its sets' hashes by
+ranges, a byte each, allow the similarity (no more can be common than the smaller count of each range). What is left is decided by whole sets. The sample and
+the first rounds only save work.
 
-Null or empty text: fingerprint zero, linked like any other. A null id is the smallest. Repeated rows stay. Extra columns are
-ignored; an empty table gives no rows.
+Null or empty text: fingerprint zero, linked like any other; its set is empty and similar to no other by similarity. A null id is the smallest.
+Texts of any length are hashed in parts. Repeated rows stay. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,11 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ASCII_LOWER, map_rows, read, table
+from tessella.llm.common import ASCII_LOWER, drop_table, map_rows, read, table
 from tessella.llm.components import component_roots
 
 DISTANCE, SHINGLE, CELL_LIMIT = 3, 3, 4096
-CROWD, NEIGHBOURS, SAMPLE, COMMON, BROADCAST_IDS = 16, (2, 8, None), 10_000, 65_536, 1_000_000
+CROWD, NEIGHBOURS, SAMPLE, SHARE, COMMON, BROADCAST_IDS = 4, (1, 4, 64, None), 5_000, 8, 500_000, 1_000_000
 FIRST_ID = -(1 << 63)
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
 
@@ -79,7 +80,50 @@ def set_hash(distinct: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(distinct.tobytes()))
 
 
-def ordered_prefix(distinct: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+def sketch(distinct: np.ndarray) -> bytes:
+    """How many hashes lie in each of 2^k equal ranges, about one to two on average; empty if a count doesn't fit a byte."""
+    k = max(3, (len(distinct) // 2).bit_length())
+    counts = np.bincount((distinct >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 255 else b""
+
+
+def most_common(a: bytes, b: bytes) -> float:
+    """A bound of how many hashes two sets have in common, from their sketches."""
+    if not a or not b:
+        return math.inf
+    x, y = np.frombuffer(a, np.uint8).astype(np.uint16), np.frombuffer(b, np.uint8).astype(np.uint16)
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    return int(np.minimum(x, y).sum())
+
+
+class Sketches:
+    """Sketches of the sets of a cell, those of one length together."""
+
+    def __init__(self, sketches: list[bytes]) -> None:
+        self.sketches, self.length = sketches, np.array([len(x) for x in sketches])
+        self.place, self.tables = np.zeros(len(sketches), np.int64), {}
+        for n in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == n)
+            self.place[at] = np.arange(len(at))
+            self.tables[n] = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint8).reshape(len(at), n)
+
+    def most_common(self, i: int, js: np.ndarray) -> np.ndarray:
+        """A bound of how many hashes set i has in common with each of js."""
+        n = int(self.length[i])
+        same = self.length[js] == n
+        out = np.full(len(js), np.inf)
+        if n and same.any():
+            mine = self.tables[n][self.place[i]]
+            out[same] = np.minimum(self.tables[n][self.place[js[same]]], mine).sum(1, dtype=np.int64)
+        for k in np.flatnonzero(~same).tolist():
+            out[k] = most_common(self.sketches[i], self.sketches[js[k]])
+        return out
+
+
+def ordered_prefix(distinct: np.ndarray, common: np.ndarray, rank: np.ndarray, _counts: object, similarity: float) -> np.ndarray:
     """The first shingles of a set, one more than it can lack in a similar one. `common`: sorted hashes that come last, by their rank."""
     at = np.minimum(np.searchsorted(common, distinct), max(0, len(common) - 1))
     last = np.where(common[at] == distinct, rank[at], 0) if len(common) else np.zeros(len(distinct), np.int64)
@@ -98,19 +142,19 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 def set_rows(df: DataFrame, key: str, text: str, shingle: int, bits: bool = False) -> DataFrame:
-    """(id, text_hash, n, set_hash) of every row and, with `bits`, its fp, in one pass over its text."""
+    """(id, text_hash, n, set_hash, sketch) of every row and, with `bits`, its fp, in one pass over its text."""
 
     def one(t: bytes | None) -> tuple:
         parts = list(shingle_hashes(t, shingle))
         distinct = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
-        return len(distinct), set_hash(distinct), *([_signed(_majority(parts))] if bits else [])
+        return len(distinct), set_hash(distinct), sketch(distinct), *([_signed(_majority(parts))] if bits else [])
 
     def work(batches: Iterator[list]):
         for ids, hashes, texts in batches:
             yield [ids, hashes, *map(list, zip(*map(one, texts.cast("binary").to_pylist()), strict=True))]
 
     rows = df.select(F.coalesce(F.col(key), F.lit(FIRST_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return map_rows(rows, ["id", "text_hash", "text"], work, "id long, text_hash long, n int, set_hash long" + ", fp long" * bits, arrow=True)
+    return map_rows(rows, ["id", "text_hash", "text"], work, "id long, text_hash long, n int, set_hash long, sketch binary" + ", fp long" * bits, arrow=True)
 
 
 def block_masks() -> list[int]:
@@ -217,39 +261,76 @@ def meeting_links(fps: DataFrame) -> DataFrame:
     return a.join(least_b, "value").select(F.col("fp").alias("u"), F.col("m").alias("v")).unionByName(b.join(least_a, "value").select(F.col("fp").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def _whole_sets(df: DataFrame, text: str, shingle: int, classes: DataFrame) -> DataFrame:
-    """(set_hash, h): the sets of `classes` (text_hash of one of their texts), each once."""
+def _texts_of(df: DataFrame, text: str, classes: DataFrame) -> DataFrame:
+    """(text_hash, text): the rows whose text is one of `classes`."""
     ids = classes.select("text_hash").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
+    return df.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(ids, "text_hash", "left_semi")
+
+
+def _whole_sets(df: DataFrame, text: str, shingle: int, classes: DataFrame) -> DataFrame:
+    """(set_hash, h): the sets of `classes` (text_hash of one of their texts), each once in a task."""
 
     def work(batches: Iterator[list]):
         seen: set[int] = set()
         for hashes, texts in batches:
-            out: list[list] = [[], []]
+            for at in range(0, len(hashes), 100):  # some sets are large
+                out: list[list] = [[], []]
+                for x, t in zip(hashes[at : at + 100].to_pylist(), texts[at : at + 100].cast("binary").to_pylist(), strict=True):
+                    if x not in seen:
+                        seen.add(x)
+                        distinct = shingle_set(t, shingle)
+                        out[0].append(set_hash(distinct)), out[1].append(distinct.view(np.int64))
+                if out[0]:
+                    yield out
+
+    return map_rows(_texts_of(df, text, classes), ["text_hash", "text"], work, "set_hash long, h array<long>", arrow=True)
+
+
+def _counted(hashes: DataFrame) -> DataFrame:
+    return hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+
+
+def _common_shingles(df: DataFrame, text: str, shingle: int, similarity: float, classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes that many sets share, sorted, and their ranks by how many. They decide the order of shingles, never a result. First those in three or
+    more of a few thousand sets; then, of the first part of each set in that order, those in three or more of every SHARE-th set, so that what stays
+    unknown is in few sets, however many there are."""
+    total = classes.count()
+    below = lambda part: F.xxhash64("set_hash") <= -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * part))
+    few = _counted(_whole_sets(df, text, shingle, classes.where(below(SAMPLE / max(1, total)))).select(F.explode("h").alias("h")))
+    scale = max(1.0, total / SAMPLE)
+    known = _ranked([(r.h, r.c * scale) for r in few.orderBy(F.desc("c"), "h").limit(COMMON).collect()])
+    if total <= SAMPLE:
+        return known
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def work(batches: Iterator[list]):
+        seen: set[int] = set()
+        for hashes, texts in batches:
+            out = [np.zeros(0, "<u8")]
             for x, t in zip(hashes.to_pylist(), texts.cast("binary").to_pylist(), strict=True):
                 if x not in seen:
                     seen.add(x)
-                    distinct = shingle_set(t, shingle)
-                    out[0].append(set_hash(distinct)), out[1].append(distinct.view(np.int64))
-            yield out
+                    out.append(ordered_prefix(shingle_set(t, shingle), *shared.value, 2 * similarity - 1))
+            yield [np.concatenate(out).view(np.int64)]
 
-    rows = df.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(ids, "text_hash", "left_semi")
-    return map_rows(rows, ["text_hash", "text"], work, "set_hash long, h array<long>", arrow=True).dropDuplicates(["set_hash"])
+    more = _counted(map_rows(_texts_of(df, text, classes.where(below(1 / SHARE))), ["text_hash", "text"], work, "h long", arrow=True))
+    found = dict(zip(known[0].view(np.int64).tolist(), known[2].tolist(), strict=True))
+    for r in more.orderBy(F.desc("c"), "h").limit(COMMON).collect():
+        found[r.h] = max(found.get(r.h, 0), r.c * SHARE)
+    return _ranked(list(found.items()))
 
 
-def _common_shingles(df: DataFrame, text: str, shingle: int, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes found in three or more sets of a sample, sorted, and their ranks by count. They decide the order of shingles, never a result."""
-    total = classes.count()
-    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * SAMPLE // max(1, total))
-    sample = _whole_sets(df, text, shingle, classes.where(F.xxhash64("set_hash") <= bound))
-    counted = sample.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON)
-    found = np.array([r.h for r in counted.select("h").collect()], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], len(found) - order
+def _ranked(counts: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, their ranks (the rarest first) and their counts."""
+    ordered = sorted(counts, key=lambda x: (x[1], x[0]))
+    h, c = np.array([x for x, _ in ordered], np.int64).view(np.uint64), np.array([n for _, n in ordered], np.float64)
+    order = np.argsort(h)
+    return h[order], order + 1, c[order]
 
 
-def _prefix_rows(df: DataFrame, text: str, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _prefix_rows(df: DataFrame, text: str, shingle: int, similarity: float, common: tuple[np.ndarray, ...]) -> DataFrame:
     """(cell, set_hash, n, at): the shingles of each set's prefix and their places; copies of a text only once in a task."""
     shared = df.sparkSession.sparkContext.broadcast(common)
 
@@ -272,8 +353,8 @@ def _prefix_rows(df: DataFrame, text: str, shingle: int, similarity: float, comm
     return map_rows(df.select(F.col(text).alias("text")), ["text"], work, "cell long, set_hash long, n int, at int", arrow=True)
 
 
-def _cells(batches: Iterator[list]) -> Iterator[list[np.ndarray]]:
-    """The columns of each cell of two or more rows, from batches of sorted cells; each set once."""
+def _cells(batches: Iterator[list], objects: int = 0) -> Iterator[list[np.ndarray]]:
+    """The columns of each cell of two or more rows, from batches of sorted cells; each set once. The last `objects` columns hold no numbers."""
     held: list[list[np.ndarray]] = []
 
     def closed(cols: list[np.ndarray], last: bool) -> Iterator[list[np.ndarray]]:
@@ -293,7 +374,8 @@ def _cells(batches: Iterator[list]) -> Iterator[list[np.ndarray]]:
             start = end
 
     for cols in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in cols]
+        plain = len(cols) - objects
+        now = [c.to_numpy(zero_copy_only=False) for c in cols[:plain]] + [np.fromiter(c.to_pylist(), object, len(c)) for c in cols[plain:]]
         if held and held[0][0][0] == now[0][-1]:
             held.append(now)
         else:
@@ -304,12 +386,12 @@ def _cells(batches: Iterator[list]) -> Iterator[list[np.ndarray]]:
 
 def _near_in_cell(cell: list[np.ndarray], similarity: float, before: int | None, labels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js): the rows j < i of a cell, ordered by size, whose sizes and places allow the similarity to row i; among the `before` rows
-    before it, if given; with `labels`, those of another label, only the last `before` of them."""
+    before it, if given; with `labels`, those of another label."""
     n, at = cell[2].astype(np.float64), cell[3]
     partner = (n - at) * (1 + similarity) / similarity - n + 1e-6  # the largest size of a similar set, if this is their first common shingle
     low = np.searchsorted(n, similarity * n - 1e-6)
     high = np.minimum(np.arange(len(n)), np.searchsorted(n, partner, side="right"))
-    if before is not None and labels is None:
+    if before is not None:
         low = np.maximum(low, np.arange(len(n)) - before)
     most, others = None, None
     if labels is not None:
@@ -326,8 +408,6 @@ def _near_in_cell(cell: list[np.ndarray], similarity: float, before: int | None,
             if labels is not None:
                 js = js[labels[js] != labels[i]]
         js = js[partner[js] >= n[i]]
-        if labels is not None and before is not None:
-            js = js[-before:]
         if len(js):
             yield i, js
 
@@ -367,51 +447,97 @@ def _first_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     return map_rows(ordered, ["cell", "set_hash", "n", "at"], work, "a long, b long, cell long, set_hash long, n long, at long", arrow=True)
 
 
-def _pairs_apart(crowded: DataFrame, roots: DataFrame, similarity: float, before: int | None) -> DataFrame:
-    """(a, b): pairs of crowded cells that are not in one component yet; all of them, or at most `before` for each row of a cell."""
+def _rows_apart(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(cell, set_hash, n, at, label): the rows of crowded cells that sizes and places let be similar to a row of another component. Rows, not pairs, are given out."""
 
     def work(batches: Iterator[list]):
         for cell in _cells(batches):
-            a, b, size = [], [], 0
-            for x, y in _pairs_of(cell, _near_in_cell(cell, similarity, before, cell[4])):
-                a.append(x), b.append(y)
-                size += len(x)
+            wanted = np.zeros(len(cell[0]), bool)
+            for i, js in _near_in_cell(cell, similarity, None, cell[4]):
+                wanted[i] = True
+                wanted[js] = True
+            if wanted.any():
+                yield [c[wanted] for c in cell]
+
+    named = crowded.join(roots, crowded.set_hash == roots.node, "left").select("cell", "set_hash", "n", "at", F.coalesce("root", "set_hash").alias("label"))
+    ordered = named.repartition("cell").sortWithinPartitions("cell", "n", "set_hash")
+    return map_rows(ordered, ["cell", "set_hash", "n", "at", "label"], work, "cell long, set_hash long, n int, at int, label long", arrow=True)
+
+
+def _pairs_apart(rows: DataFrame, classes: DataFrame, similarity: float, before: int | None) -> DataFrame:
+    """(a, b): pairs of such rows whose sketches allow the similarity too; all of them, or at most `before` for each row of a cell."""
+    share = similarity / (1 + similarity)
+
+    def work(batches: Iterator[list]):
+        for cell in _cells(batches, objects=1):
+            a, b, size, bounds = [], [], 0, Sketches(cell[5].tolist())
+            for i, js in _near_in_cell(cell[:5], similarity, None, cell[4]):
+                near = js[bounds.most_common(i, js) >= share * (cell[2][i] + cell[2][js]) - 1e-9][-(before or 0) :]
+                if len(near):
+                    a.append(np.minimum(cell[1][i], cell[1][near])), b.append(np.maximum(cell[1][i], cell[1][near]))
+                    size += len(near)
                 if size > 100_000:
                     yield [np.concatenate(a), np.concatenate(b)]
                     a, b, size = [], [], 0
             if size:
                 yield [np.concatenate(a), np.concatenate(b)]
 
-    named = crowded.join(roots, crowded.set_hash == roots.node, "left").select("cell", "set_hash", "n", "at", F.coalesce("root", "set_hash").alias("label"))
-    ordered = named.repartition("cell").sortWithinPartitions("cell", "n", "set_hash")
-    return map_rows(ordered, ["cell", "set_hash", "n", "at", "label"], work, "a long, b long", arrow=True).distinct()
+    known = rows.join(classes.select("set_hash", "sketch"), "set_hash").select("cell", "set_hash", "n", "at", "label", "sketch")
+    ordered = known.repartition("cell").sortWithinPartitions("cell", "n", "set_hash")
+    return map_rows(ordered, ["cell", "set_hash", "n", "at", "label", "sketch"], work, "a long, b long", arrow=True).distinct()
+
 
+def _possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow the similarity, as a table."""
+    share = similarity / (1 + similarity)
+
+    def work(batches: Iterator[list]):
+        for a, b, n, m, x, y in batches:
+            keep = [most_common(p, q) >= share * (i + j) - 1e-9 for i, j, p, q in zip(n.to_pylist(), m.to_pylist(), x.to_pylist(), y.to_pylist(), strict=True)]
+            yield [a.filter(keep), b.filter(keep)]
 
-def _similar(df: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float, classes: DataFrame) -> DataFrame:
-    """(u, v): the pairs whose whole sets have the similarity."""
-    ids = pairs.select(F.col("a").alias("set_hash")).unionByName(pairs.select(F.col("b").alias("set_hash"))).distinct()
-    sets = table(_whole_sets(df, text, shingle, classes.join(ids, "set_hash", "left_semi")), "sets")
-    both = pairs.join(sets.select(F.col("set_hash").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("h").alias("y")), "b")
+    sides = [classes.select(F.col("set_hash").alias(e), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"s{e}")) for e in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return table(map_rows(both, ["a", "b", "na", "nb", "sa", "sb"], work, "a long, b long", arrow=True), "possible")
+
+
+def _similar(df: DataFrame, possible: DataFrame, text: str, shingle: int, similarity: float, classes: DataFrame) -> DataFrame:
+    """(u, v): the pairs whose whole sets have the similarity. Sets are exchanged once, by their hash, and both ends read that exchange."""
+    ids = possible.select(F.col("a").alias("set_hash")).unionByName(possible.select(F.col("b").alias("set_hash"))).distinct()
+    needed = table(classes.select("set_hash", "text_hash").join(ids, "set_hash", "left_semi"), "sets-needed")
+    sets = _whole_sets(df, text, shingle, needed).dropDuplicates(["set_hash"])
+    both = possible.join(sets.select(F.col("set_hash").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("h").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return table(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+    out = table(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar")
+    drop_table(needed)
+    return out
 
 
 def similar_roots(df: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """(node, root): components of set hashes of `rows` linked by the similarity; a node that is its own root is left out."""
-    classes = table(rows.where("n > 0").groupBy("set_hash").agg(F.min("text_hash").alias("text_hash")), "sets-of-texts")
-    found = table(_first_pairs(_prefix_rows(df, text, shingle, similarity, _common_shingles(df, text, shingle, classes)), similarity), "cells")
-    links = _similar(df, table(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs"), text, shingle, similarity, classes)
-    roots = component_roots(links)
+    classes = table(rows.where("n > 0").groupBy("set_hash").agg(F.min("text_hash").alias("text_hash"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets-of-texts")
+    found = table(_first_pairs(_prefix_rows(df, text, shingle, similarity, _common_shingles(df, text, shingle, similarity, classes)), similarity), "cells")
+    pairs = table(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs")
+    possible = _possible(pairs, classes, similarity)
+    more = _similar(df, possible, text, shingle, similarity, classes)
+    roots = component_roots(more)
+    drop_table(pairs), drop_table(possible), drop_table(more)
     crowded = found.where(F.col("cell").isNotNull()).select("cell", "set_hash", "n", "at")
     for before in NEIGHBOURS[1:]:
-        apart = table(_pairs_apart(crowded, roots, similarity, before), "pairs-apart")
+        rows_apart = table(_rows_apart(crowded, roots, similarity), "rows-apart")
+        apart = table(_pairs_apart(rows_apart, classes, similarity, before), "pairs-apart")
+        drop_table(rows_apart)
         if apart.isEmpty():
+            drop_table(apart)
             break
         more = _similar(df, apart, text, shingle, similarity, classes)
+        joined = more
         for e in ("u", "v"):  # what is joined already is one node
-            more = more.join(roots.select(F.col("node").alias(e), F.col("root").alias("to")), e, "left").withColumn(e, F.coalesce("to", e)).drop("to")
-        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.where("u != v").select("u", "v").distinct())
+            joined = joined.join(roots.select(F.col("node").alias(e), F.col("root").alias("to")), e, "left").withColumn(e, F.coalesce("to", e)).drop("to")
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(joined.where("u != v").select("u", "v").distinct())
         roots = component_roots(links)
+        drop_table(apart), drop_table(more)
+    drop_table(found), drop_table(classes)
     return roots
 
 
