@@ -14,7 +14,7 @@ string around it: the suffix from the anchor, and some bytes before it.
 4. Anchors with the same k bytes stand together in the merged order. Where they agree in all they own, the smallest id keeps its copy; where
    they differ, their windows are compared one by one.
 
-A string of k bytes in more than HOT documents would bring all its contexts together. Its windows hold LONGER bytes more on its right or on
+A string of k bytes in more than HOT documents could bring as many contexts together (some 30 MB). Its windows hold LONGER bytes more on its right or on
 its left; they are dealt by these longer strings instead, to other buckets, so that no task gets all.
 
 The number of buckets follows the bytes of the input, so that one holds about BUCKET_BYTES of text, up to MOST_BUCKETS of them (of 1 TB
@@ -30,12 +30,13 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import map_rows, read, table, with_kept
 
-WINDOW, ANCHOR, LONGER, HOT, SEGMENT = 50, 20, 15, 1000, 2_000_000
+WINDOW, ANCHOR, LONGER, HOT, SEGMENT = 50, 20, 15, 100_000, 2_000_000
 BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 18, 16_000_000
 FIRST_ID = -(1 << 63)
 _LAST = np.uint64(1)
@@ -118,7 +119,7 @@ def _gathered(batches: Iterator[list], text_at: int, buckets: int) -> Iterator[l
         held.append(cols)
         size += cols[text_at].nbytes
         if size >= least:
-            yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
+            yield [pa.concat_arrays(c) for c in zip(*held, strict=True)] if len(held) > 1 else cols
             held, size = [], 0
     if held:
         yield [pa.concat_arrays(c) for c in zip(*held, strict=True)]
@@ -312,25 +313,25 @@ def repeated_windows(group: list[tuple[bytes, int, int, int]], k: int, window: i
             least[key] = d
     if len(least) == 1:
         ((key, smallest),) = least.items()
-        size = len(key) - 2
+        size = len(key) - 3
         for _, d, row, x in group:
             if d > smallest:
-                start = x - key[k + 1]
+                start = x - key[k + 2]
                 yield d, row, start, start + size
         return
     first: dict[bytes, int] = {}
     strings = {}
     for key, d in least.items():
-        right, before = key[k], key[k + 1]
-        cut = k + 2 + right - k
-        s = key[cut : cut + before] + key[:k] + key[k + 2 : cut]
+        right, before = key[k + 1], key[k + 2]
+        cut = right + 3
+        s = key[cut : cut + before] + key[1 : k + 1] + key[k + 3 : cut]
         strings[key] = s
         for i in range(len(s) - window + 1):
             w = s[i : i + window]
             if d < first.get(w, d + 1):
                 first[w] = d
     for key, d, row, x in group:
-        s, start, open_at = strings[key], x - key[k + 1], None
+        s, start, open_at = strings[key], x - key[k + 2], None
         n = len(s) - window + 1
         for i in range(n + 1):
             hit = i < n and first[s[i : i + window]] < d
@@ -347,25 +348,28 @@ def _key(data: bytes, x: int, first: int, last: int, k: int, window: int) -> byt
     return bytes((k,)) + data[x : x + k] + bytes((end - x, x - first)) + data[x + k : end] + data[first:x]
 
 
-def _entries(t: bytes, shared: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, int]]:
-    """(bucket, key, position) of a text's shared anchors, a hot one by the longer strings of its windows."""
-    data = np.frombuffer(t, np.uint8)
-    h, x, first, last = anchors(data)
-    plain = h & ~_LAST
-    is_hot = np.isin(plain, shared[(shared & _LAST) > 0] & ~_LAST)
-    cold = np.flatnonzero(np.isin(plain, shared & ~_LAST) & ~is_hot)
-    for b, a, f, z in zip((h[cold] >> np.uint64(bits)).tolist(), x[cold].tolist(), first[cold].tolist(), last[cold].tolist(), strict=True):
-        yield b, _key(t, a, f, z, ANCHOR, WINDOW), a
-    if is_hot.any():
+def _entries(t: bytes, shared: np.ndarray, bits: int, d: int, row: int) -> list[tuple[int, bytes, int, int, int]]:
+    """(bucket, key, id, row, position) of a text's shared anchors, a hot one by the longer strings of its windows."""
+    h, x, first, last = anchors(np.frombuffer(t, np.uint8))
+    plain, hot = h & ~_LAST, shared[(shared & _LAST) > 0]
+    found = np.isin(plain, shared & ~_LAST if len(hot) else shared)
+    out = []
+    if len(hot):
+        is_hot = np.isin(plain, hot & ~_LAST)
+        found &= ~is_hot
         k = ANCHOR + LONGER
-        longer = gram_hashes(data, k) >> np.uint64(bits)
+        longer = lambda at: xxhash.xxh64_intdigest(t[at : at + k]) >> bits
         for a, f, z in zip(x[is_hot].tolist(), first[is_hot].tolist(), last[is_hot].tolist(), strict=True):
             middle = max(f, a - LONGER)
             if middle <= z:  # windows with so many bytes on the anchor's right
-                yield int(longer[a]), _key(t, a, middle, z, k, WINDOW), a
+                out.append((longer(a), _key(t, a, middle, z, k, WINDOW), d, row, a))
             if f < middle:  # on its left
                 at = a - LONGER
-                yield int(longer[at]), _key(t, at, f, min(z, middle - 1), k, WINDOW), at
+                out.append((longer(at), _key(t, at, f, min(z, middle - 1), k, WINDOW), d, row, at))
+    cold = np.flatnonzero(found)
+    places = zip((h[cold] >> np.uint64(bits)).tolist(), x[cold].tolist(), first[cold].tolist(), last[cold].tolist(), strict=True)
+    out += [(b, _key(t, a, f, z, ANCHOR, WINDOW), d, row, a) for b, a, f, z in places]
+    return out
 
 
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -378,7 +382,7 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
             entries: list[tuple[int, bytes, int, int, int]] = []
             for d, row, t, hs in zip(ids.to_pylist(), row_ids.to_pylist(), texts.cast("binary").to_pylist(), hashes, strict=True):
                 if t and len(t) >= WINDOW:
-                    entries += [(b, key, d, row, x) for b, key, x in _entries(t, hs.values.to_numpy().view(np.uint64), bits)]
+                    entries += _entries(t, hs.values.to_numpy().view(np.uint64), bits, d, row)
             entries.sort()
             out: list[list] = [[], []]
             done: list[tuple[int, int, int, int]] = []
@@ -425,7 +429,7 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
                         out += repeated_windows(group, k, WINDOW)
                     group = []
                 k = key[0]
-                group.append((key[1:], *value))
+                group.append((key, *value))
             if len(group) > 1:
                 out += repeated_windows(group, k, WINDOW)
             for cols in [*found, *([_marks(out)] if out else [])]:
