@@ -91,8 +91,11 @@ def brute_repeats(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("rows_per_batch", ["2000", "3"])
-def test_suffix_dedup(spark, docs, rows_per_batch):
+@pytest.mark.parametrize(("rows_per_batch", "hot"), [("2000", 1000), ("3", 1000), ("3", 2), ("2000", 0)])
+def test_suffix_dedup(spark, docs, rows_per_batch, hot, monkeypatch):
+    """With `hot` low, strings are dealt by the longer ones around them, and give the same."""
+    monkeypatch.setattr(suffixdedup.shared_anchors, "__defaults__", (suffixdedup.BUCKETS, hot))
+    monkeypatch.setattr(suffixdedup, "_gathered", suffixdedup._gathered if hot else lambda batches, text_at, buckets: batches)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
     rows = [(suffixdedup.FIRST_ID if r.doc_id is None else r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     got = [(suffixdedup.FIRST_ID if r[0] is None else r[0], *r[1:]) for r in suffixdedup.dedup_digests(clashing(docs)).collect()]
@@ -106,6 +109,13 @@ def test_suffix_dedup_text(docs):
     assert out.where("doc_id = 160").select("text").first()[0] == ""  # a later copy of text 3
 
 
+def test_suffix_buckets_follow_the_input(spark):
+    df = spark.range(3).select(F.repeat(F.lit("x"), 10).alias("text"))
+    assert suffixdedup.buckets_for(df) == 1024 and suffixdedup.buckets_for(df.limit(0)) == 1024
+    big = spark.range(3).select(F.repeat(F.lit("x"), 20_000_000).alias("text"))
+    assert 1 << (60_000_000 * 1000 // suffixdedup.BUCKET_BYTES).bit_length() == 4096 and suffixdedup.buckets_for(big) == 1024
+
+
 def test_loser_tree_merges_like_sort():
     rnd = random.Random(1)
     for n in (0, 1, 2, 5, 9):
@@ -150,7 +160,8 @@ def test_packing(docs):
 
     path = packing.default_vocabulary()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    control = ["x <|endoftext|> y", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "<|endoftext|>" * 3 + "\n<|endoftext|>"]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(9000 + i, t, None, None, None) for i, t in enumerate(control)] + [(9100, "long words, " * 60_000, None, None, None)], DOCS))
     out = packing.pack(clashing(docs), path).collect()
     got = Counter()
     by = {}
@@ -164,6 +175,13 @@ def test_packing(docs):
         assert sum((p.ids for p in pieces), []) == ids and pieces[0].doc_tokens == len(ids)
         got[r.doc_id] += 1
     assert len({r.sequence_id for r in out}) == len(out)
+    by_batch = {}
+    for r in out:
+        by_batch.setdefault(r.batch_id, []).append(r)
+    for rows in by_batch.values():  # one length, no gaps, no more tokens than a batch holds
+        assert len({r.length for r in rows}) == 1 and sorted(r.batch_slot for r in rows) == list(range(len(rows)))
+        assert len(rows) * rows[0].length <= packing.BATCH_TOKENS
+    assert 1 < len(by_batch) < len(out) / 4
     assert packing.binary_pieces(4097 + 6) == [2048, 2048, 4, 2, 1]
 
 
@@ -294,6 +312,21 @@ def test_repeated_lines_do_not_hide_similar_sets(spark):
     assert max((brute_fingerprint(texts[i], 5) ^ brute_fingerprint(texts[i + 1], 5)).bit_count() for i in range(0, len(texts), 2)) > 24
 
 
+def test_sketches_never_hide_a_similar_pair():
+    rnd = np.random.default_rng(8)
+    ruled_out = 0
+    for n in (0, 1, 5, 8, 60, 500, 3000) * 6:
+        a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - rnd.integers(0, len(a) + 1)], rnd.integers(0, 1 << 64, rnd.integers(0, n + 1), dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        assert simhash.most_common(simhash.sketch(a), simhash.sketch(b)) >= common
+        ruled_out += simhash.most_common(simhash.sketch(a), simhash.sketch(b)) < 0.8 / 1.8 * (len(a) + len(b))
+    some = [simhash.sketch(np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))) for n in (20, 22, 20, 90, 60, 0)] + [b""]
+    bounds = simhash.Sketches(some)
+    assert all(bounds.most_common(i, np.arange(7)).tolist() == [simhash.most_common(some[i], x) for x in some] for i in range(7))
+    assert ruled_out > 5 and simhash.sketch(np.arange(300, dtype=np.uint64)) == b"" and simhash.most_common(b"", b"\x01") == float("inf")
+
+
 def test_prefixes_of_similar_sets_meet_in_any_order():
     rnd = np.random.default_rng(3)
     for n in range(1, 60):
@@ -303,7 +336,7 @@ def test_prefixes_of_similar_sets_meet_in_any_order():
             common = np.sort(rnd.choice(a, n // 2, replace=False))
             rank = rnd.permutation(len(common)) + 1
             if len(b) >= 0.8 * len(a):
-                assert np.intersect1d(simhash.ordered_prefix(a, common, rank, 0.8), simhash.ordered_prefix(b, common, rank, 0.8)).size
+                assert np.intersect1d(simhash.ordered_prefix(a, common, rank, None, 0.8), simhash.ordered_prefix(b, common, rank, None, 0.8)).size
 
 
 def test_components_of_chains(spark):
@@ -313,8 +346,8 @@ def test_components_of_chains(spark):
     assert component_roots(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 300])
-def test_decontamination(spark, docs, texts, block_bytes):
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
+def test_decontamination(spark, docs, texts, block_words):
     items = [(1, " ".join(texts[0].split()[:14])), (2, "the"), (10, "AB, ab!"), (3, ""), (4, None), (5, texts[8]), (6, "é Ünd"), (7, " ".join(texts[0].split()[2:14]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
 
@@ -336,45 +369,122 @@ def test_decontamination(spark, docs, texts, block_bytes):
                     hit.update(range(k, k + len(p)))
                     found.add(i)
         want[(r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
-    got = decontaminate.find_contamination(clashing(docs), bench, ["doc_id"], block_bytes=block_bytes)
+    got = decontaminate.find_contamination(clashing(docs), bench, ["doc_id"], block_words=block_words)
     assert Counter(tuple(r) for r in got.collect()) == want
     none = decontaminate.find_contamination(docs, bench.limit(0), ["doc_id"])
     assert none.where("contaminated").count() == 0 and none.count() == docs.count()
 
 
+def test_decontamination_cuts_long_items(spark):
+    rnd = random.Random(2)
+    words = [rnd.choice("abcdefgh") + str(rnd.randint(0, 40)) for _ in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[30:60]))], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.parts_of_items(bench, "item_id", "text", 10, part=25).collect()]
+    windows = Counter((i, " ".join(w[k : k + 10])) for i, t, n in got for w in [t.split()] for k in range(len(w) - 9))
+    want = Counter((str(i), " ".join(w[k : k + 10])) for i, w in ((1, words), (2, words[30:60])) for k in range(len(w) - 9))
+    assert windows == want and all(len(t.split()) == n <= 34 for _, t, n in got) and len(got) > 15
+
+
+def test_decontamination_tables_are_small():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import resource, random, pickle
+from tessella.llm import decontaminate as D
+rnd = random.Random(1)
+words = [f"w{rnd.randint(0, 400_000)}x".encode() for _ in range(D.BLOCK_WORDS)]
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+s = D.WindowSearch([(str(i), b" ".join(words[i : i + 10_000])) for i in range(0, len(words), 10_000)])
+sent = pickle.dumps(s)
+s.mark(words[:2000], bytearray(2000), found := set())
+assert found == {"0"}
+print(len(sent) / 1e6)
+"""
+    run = lambda code: subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert float(run(code).stdout) < 150
+    task = code.split("base =")[0] + """
+s = pickle.loads(pickle.dumps(D.WindowSearch([(str(i), b" ".join(words[i : i + 10_000])) for i in range(0, len(words), 10_000)])))
+del words
+import gc, os
+gc.collect()
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+before = rss()
+s.mark([b"a"] * 20, bytearray(20), set())
+print(rss() - before)
+"""
+    assert float(run(task).stdout) < 500
+
+
+def tiny_model(docs):
+    counts, vocabulary = maxent.learn_vocabulary(docs, head=20)
+    weights = vocabulary.value.start()
+    weights[: maxent.BIAS] += np.random.default_rng(0).normal(size=(maxent.BIAS, maxent.WIDTH)).astype(np.float32) * 0.5
+    return counts, vocabulary, weights
+
+
+def brute_outcomes(v, w, before):
+    """log10 of each head word's probability and of each tail class's, after `before` (the token before and the one before that)."""
+    m = (1 << 64) - 1
+    one, two = (zlib.crc32(x) if x is not None else 0x9E3779B9 for x in before)
+    feats = [one + 1, one * 0xC2B2AE3D27D4EB4F + two + 7, two + 3]
+
+    def factor(level, node):
+        rows = [((f + (node * 0x165667B19E3779F9 if level else 0)) * 0x9E3779B97F4A7C15 & m) >> 50 for f in feats]
+        z = w[maxent.BIAS + node].astype(float) + sum(w[(level * 3 + k) * maxent.FEATURE_ROWS + r] for k, r in enumerate(rows))
+        return (z - np.log(np.exp(z).sum())) / np.log(10)
+
+    root = factor(0, 0)
+    head = {x: root[leaf // 256] + factor(1, 1 + leaf // 256)[leaf // 16 % 16] + factor(2, 13 + leaf // 16)[leaf % 16] + v.inner[i] for x, i in v.index.items() for leaf in [int(v.leaf[i])]}
+    return head, root[maxent.HEAD_CLASSES :]
+
+
 def test_lm_scores(spark, docs):
     import math
 
     train = docs.where("doc_id % 2 = 0")
-    model = maxent.fit(train, head=20)
-    got = maxent.score(clashing(docs), model, ["doc_id"]).collect()
-    c = Counter()
-    for r in train.collect():
-        c.update([*split(low(r.text)), b"\n"])
-    n, v = sum(c.values()), len(c)
-    want = Counter()
-    for r in docs.collect():
-        t = [*split(low(r.text)), b"\n"]
-        want[(r.doc_id, len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 5))] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    for counts, vocabulary, weights in (maxent.fit(train, head=20), tiny_model(train)):
+        v = vocabulary.value
+        got = maxent.score(clashing(docs), (counts, vocabulary, weights), ["doc_id"]).collect()
+        c = Counter()
+        for r in train.collect():
+            c.update([*split(low(r.text)), b"\n"])
+        n, want = sum(c.values()), Counter()
+        for r in docs.where("doc_id < 40").collect():
+            t = [*split(low(r.text)), b"\n"]
+            score = 0.0
+            for i, x in enumerate(t):
+                head, tail = brute_outcomes(v, weights, (t[i - 1] if i else None, t[i - 2] if i > 1 else None))
+                if x in head:
+                    score += head[x]
+                else:
+                    k, mine = maxent.tail_class(x), [(y, m) for y, m in c.items() if y not in head and maxent.tail_class(y) == maxent.tail_class(x)]
+                    once = 1 + sum(m == 1 for _, m in mine)
+                    score += tail[k] + math.log10(c.get(x, once) / (once + sum(m for _, m in mine)))
+            want[(r.doc_id, len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in t), 5), round(score, 2))] += 1
+        assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 2)) for r in got if r.doc_id is not None and r.doc_id < 40) == want
+        assert 0 < len(v.index) <= 20
     empty = maxent.fit(docs.limit(0))
     assert maxent.score(docs, empty, ["doc_id"]).count() == docs.count()
 
 
-def test_lm_is_better_than_counts_on_held_out_text(spark):
-    out = QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > 0.95 * out[1]
+def test_lm_probabilities_sum_to_one(docs):
+    _, vocabulary, weights = tiny_model(docs)
+    for before in ((None, None), (b"the", None), (b"zzz", b"\n")):
+        head, tail = brute_outcomes(vocabulary.value, weights, before)
+        assert abs(sum(10**x for x in head.values()) + sum(10**tail) - 1) < 1e-6
 
 
-def test_lm_classes_sum_to_one():
-    head = [(w, n) for w, n in ((b"the", 50), (b"of", 30), (b"\n", 10), (b"und", 5))]
-    v = maxent.Vocabulary(head, {0: (3, 2)}, 98, 6)
-    for k in set(v.cls.tolist()):
-        assert abs(sum(10 ** v.inner[v.cls == k]) - 1) < 1e-9
-    w = np.random.default_rng(0).normal(size=(3 * maxent.FEATURE_ROWS + 1, v.classes)).astype(np.float32)
-    _, _, h, _ = v.encode([b"the", b"zzz", b"\n"])
-    assert np.allclose(np.exp(maxent.log_probabilities(w, list(maxent.features(h)))).sum(1), 1, atol=1e-4)
+def test_lm_is_better_than_counts_on_held_out_text(spark):
+    """The model against its own start, which is the counts of words without any feature."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts, vocabulary = maxent.learn_vocabulary(docs.where("doc_id % 7 != 2"))
+    rows = maxent.encode(docs.withColumn("held_out", F.expr("doc_id % 7 = 2")), vocabulary, ["doc_id", "held_out"])
+    held = rows.where("kept.held_out")
+    total = lambda w: maxent.score_encoded(held, counts, vocabulary, w).agg(F.sum("score"), F.sum("n_tokens")).first()
+    (start, n), (trained, _) = total(vocabulary.value.start()), total(maxent.train(rows.where("NOT kept.held_out"), vocabulary))
+    assert trained / n > start / n + 0.1
 
 
 def test_language_id(spark):
@@ -383,12 +493,37 @@ def test_language_id(spark):
     assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.97 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_id_is_the_smallest_size_and_rejects_narrow_margins(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = langid.fit_dictionaries(langid.training_rows(docs))
+    got = {r.doc_id: r for r in langid.identify(docs, d, ["doc_id", "lang"]).collect()}
+    made = {x: zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x, (c, _) in d.items()}
+    wrong = {True: [], False: []}
+    for r in docs.collect():
+        g = got[r.doc_id]
+        if g.lang_pred == "und":
+            continue
+        data = langid.letters(r.text)
+        sizes = {x: sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=m, write_content_size=False).compress(data[i : i + langid.BLOCK_BYTES])) - 0 for i in range(0, len(data), langid.BLOCK_BYTES)) for x, m in made.items()}
+        least, second = sorted(sizes.values())[:2]
+        assert sizes[g.lang_pred] - least <= 0.02 * least + 4
+        if second - least > 0.05 * least + 8:
+            assert sizes[g.lang_pred] == least and not g.rejected
+        wrong[g.rejected].append(g.lang_pred != g.lang)
+    assert wrong[True] and len(wrong[True]) < 0.03 * len(got) and np.mean(wrong[True]) >= np.mean(wrong[False])
+
+
 def test_language_id_edges(spark, docs):
     d = {"en": (b"the of and with that this from have", 0.6), "de": (b"der die und nicht ein auf dem ist", 0.4)}
-    out = {r.doc_id: r for r in langid.identify(clashing(docs), d, ["doc_id"]).collect()}
+    out = {r.doc_id: r for r in langid.identify(clashing(docs).withColumn("kept", F.lit(1)).withColumn("score", F.lit(2)), d, ["doc_id"]).collect()}
     odd = [r.doc_id for r in docs.collect() if not any(c.isalpha() for c in r.text or "")]
     assert all(out[i].lang_pred == "und" and out[i].rejected for i in odd)
     assert langid.identify(docs, langid.fit_dictionaries(docs.limit(0)), ["doc_id"]).where("lang_pred != 'und'").count() == 0
+    c = langid.CompressionClassifier({"aa": (b"x", 0.2), "bb": (b"x", 0.8)})
+    assert c.predict("same sizes", 0.02) == ("bb", 0.5, True) and c.predict("Longer text. " * 30_000, 0.02)[0] == "bb"
+    assert langid.CompressionClassifier({"aa": (b"x", 1.0)}).predict("text", 0.02) == ("aa", 1.0, False)
 
 
 def test_chat(spark):
@@ -492,11 +627,11 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert Counter(kept) == Counter([(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[4]), (7, "")])
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 70])
-def test_decontamination_by_items_without_id(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 3])
+def test_decontamination_by_items_without_id(spark, block_words):
     bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (1, "six")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a one two three b"), (2, "six four five"), (3, "one two")], "doc_id long, text string")
-    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_contamination(docs, bench, ["doc_id"], block_bytes=block_bytes).collect()}
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_contamination(docs, bench, ["doc_id"], block_words=block_words).collect()}
     none, six = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
     assert got == {1: (3, 0, none, True), 2: (3, 1, six, True), 3: (0, 0, none, False)}
 
@@ -526,3 +661,126 @@ def test_html_without_article_or_main(around):
 def test_html_of_several_articles():
     page = "<body><div>" + LINKS + "</div><div>" + "".join(f"<article><h2>Part {i}</h2><p>{LONG.format(i)}</p></article>" for i in range(4)) + "</div><div>" + LINKS + "</div></body>"
     assert htmltext.main_lines(page) == [x for i in range(4) for x in (f"Part {i}", LONG.format(i))]
+
+
+def test_html_headings_and_paragraphs_stay_whatever_their_names():
+    page = f"""<body><div class="menu">{LINKS}</div><article><div class="post-header"><h1 id="login">Title</h1></div><h2 id="search">Search</h2><p id="related-work">{LONG.format(1)}</p>
+    <p>See <b class="login">login</b> for more.</p><p class="notice">{LONG.format(2)}</p><div class="advert">Buy</div><section id="comments"><p>{LONG.format(3)}</p></section></article></body>"""
+    assert htmltext.main_lines(page) == ["Title", "Search", LONG.format(1), "See login for more.", LONG.format(2)]
+
+
+def test_html_ratios_decide(monkeypatch):
+    page = "<html><body><div>" + LINKS + "</div><div>" + "".join(f"<p>{LONG.format(i)}</p>" for i in range(4)) + "</div><div>" + LINKS + "</div></body></html>"
+    assert htmltext.main_lines(page) == [LONG.format(i) for i in range(4)]
+    two = f"<body><main>{LINKS}<p>Go on</p></main><div><article><h1>T</h1>" + "".join(f"<p>{LONG.format(i)}</p>" for i in range(3)) + "</article></div></body>"
+    assert htmltext.main_lines(two) == ["T", *(LONG.format(i) for i in range(3))]
+    monkeypatch.setattr(htmltext, "smoothed", lambda values, sigma=1.0: [1.0] * len(values))
+    assert htmltext.main_lines(page) != [LONG.format(i) for i in range(4)]  # link lists come along where all ratios are alike
+
+
+def test_html_of_a_very_long_page():
+    page = "<body><nav>x</nav><article>" + f"<p>{LONG.format(0)}</p>" * 30_000 + "</article></body>"
+    assert len(htmltext.main_lines(page)) == 30_000
+
+
+CLASHING = "_body _id _first _text_hash _hash _rows _starts _ends lang_pred rejected score contaminated n_words n_hit kept id row text_hash rows starts ends set_hash root node component hits items first".split()
+
+
+def test_pipeline_carries_columns_of_any_name(spark, tmp_path):
+    """Nulls, repeated ids and rows, and extra columns with names that stages use inside: values stay with their rows."""
+    import corpus_pipeline as P
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "The words of this text are not in any other text here.", "en", "a", 5), (None, None, None, None, None), (7, "Another text with the id of seven and some words of its own.", "en", "b", 5), (7, "", None, "b", 0)], base.schema)
+    docs = base.unionByName(odd).select("*", *(F.concat(F.lit(n + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("/"), F.coalesce("source", F.lit("none"))).alias(n) for n in CLASHING), F.lit(1).alias("odd name"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{'none' if r.doc_id is None else r.doc_id}/{r.source or 'none'}" for r in rows for n in CLASHING), name
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    assert P.packing(spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert P.run(spark, str(tmp_path)).count() == 0
+    full = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert P.decontamination(spark, full, str(tmp_path)).count() == full.count()  # no items, nothing goes
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from tessella.llm.common import shared_dir
+
+    cluster = N(conf=N(get=lambda *_: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_sharding", "op6_benchmark_decontamination", "op9_chat_formatting"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tessella.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    cur = con.execute(ORACLES[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(out.columns)
+    assert Counter(map(tuple, out.select(*names).collect())) == Counter(cur.fetchall())
+
+
+def test_media_features_by_another_way(spark, docs):
+    import statistics
+
+    media_table = media.store_media(docs)
+    stored = {r.digest: bytes(r.media) for r in media_table.collect()}
+    for r in media.media_features(media_table).collect():
+        png, at, data = stored[r.digest], 8, b""
+        while at < len(png):  # chunk by chunk
+            n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            data += png[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += 12 + n
+        raw = zlib.decompress(data)
+        rows = [raw[i + 1 : i + 65] for i in range(0, len(raw), 65)]
+        pixels = b"".join(rows)
+        assert hashlib.sha256(pixels).hexdigest() == r.digest == r.payload_sha256 and hashlib.sha256(png).hexdigest() == r.media_sha256 and len(png) == r.media_bytes
+        levels = ".".join(str(sum(p >> 4 == k for p in pixels)) for k in range(16))
+        columns = "".join("1" if sum(row[c] for row in rows) * 64 > sum(pixels) else "0" for c in range(64))
+        size, mean, sd, got_levels, got_columns = (x.split("=")[-1] for x in r.feature.split(";"))
+        assert (size, got_levels, int(got_columns, 16)) == (f"64x{len(rows)}", levels, int(columns, 2))
+        assert abs(float(mean) - statistics.fmean(pixels)) < 1e-3 and abs(float(sd) - statistics.pstdev(pixels)) < 1e-2
+
+
+def test_sequences_of_real_pages_with_pictures(spark):
+    """Two figures set into each given page: items stay in the page's order, payloads come from the join, captions stay with their own picture."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    payload = lambda n: F.concat(F.lit(f"picture {n} of "), F.col("page_id").cast("string"))
+    figure = lambda n: F.concat(F.lit('<figure><img src="sha256:'), media.payload_digest("p"), F.lit(f'"><figcaption>Caption {n}</figcaption></figure>'))
+    html = pages.withColumn("p", payload(1)).withColumn("one", figure(1)).withColumn("p", payload(2)).withColumn("two", figure(2))
+    html = html.withColumn("html", F.replace(F.regexp_replace("html", "</h1>", "</h1>@@1"), F.lit("</article>"), F.lit("@@2</article>")))
+    html = html.withColumn("html", F.replace(F.replace("html", F.lit("@@1"), F.col("one")), F.lit("@@2"), F.col("two"))).select("page_id", "html")
+    store = media.store_media(pages.select(payload(1).alias("text")).unionByName(pages.select(payload(2).alias("text"))))
+    items = media.resolve(media.parse_sequences(html, "page_id", "html"), store).orderBy("page_id", "position").collect()
+    by_page = {}
+    for r in items:
+        by_page.setdefault(r.page_id, []).append(r)
+    assert len(by_page) == pages.count()
+    for page, rows in by_page.items():
+        assert [r.position for r in rows] == list(range(len(rows)))
+        shown = [r for r in rows if r.kind == "media"]
+        assert [(r.caption, media.decode_png(bytes(r.media)).rstrip(b"\0")) for r in shown] == [(f"Caption {n}", f"picture {n} of {page}".encode()) for n in (1, 2)]
+        first, second = (rows.index(r) for r in shown)
+        assert all(r.text and r.media is None for r in rows if r.kind == "text") and any(r.kind == "text" for r in rows[first + 1 : second])
