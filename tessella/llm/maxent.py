@@ -137,17 +137,16 @@ def encode(df: DataFrame, vocabulary, keep: list[str], text: str = "text") -> Da
                 number[i] = -1 - tail_class(words[i])
             at = number[tokens]
             tail = np.flatnonzero(at < 0)
-            hashes, tails = [b""] * len(ends), [[] for _ in range(len(ends))]
-            if len(tail):
-                own, doc = tokens[tail], np.searchsorted(ends, tail, side="right")
-                crc = np.zeros(len(words), "<u4")
-                for i in np.unique(own).tolist():
-                    crc[i] = zlib.crc32(words[i])
-                data, bounds = crc[own].tobytes(), np.searchsorted(doc, np.arange(len(ends) + 1)).tolist()
-                hashes = [data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                pairs, n = np.unique(doc * len(words) + own, return_counts=True)
-                for d, i, c in zip((pairs // len(words)).tolist(), (pairs % len(words)).tolist(), n.tolist(), strict=True):
-                    tails[d].append({"w": words[i], "n": c, "k": -1 - int(number[i])})
+            own, doc = tokens[tail], np.searchsorted(ends, tail, side="right")
+            crc = np.zeros(len(words), "<u4")
+            for i in np.unique(own).tolist():
+                crc[i] = zlib.crc32(words[i])
+            data, bounds = crc[own].tobytes(), np.searchsorted(doc, np.arange(len(ends) + 1)).tolist()
+            hashes = [data[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            pairs, n = np.unique(doc * len(words) + own, return_counts=True)
+            mine = pairs % len(words)
+            each = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(mine)), pa.array(n, pa.int64()), pa.array(-1 - number[mine], pa.int32())], ["w", "n", "k"])
+            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // len(words), np.arange(len(ends) + 1)), pa.int32()), each)
             base = np.where(at >= 0, v.base[np.maximum(at, 0)] if len(v.base) else 0.0, 0.0)
             data = at.astype("<i4").tobytes()
             yield [kept, np.diff(ends, prepend=0), np.add.reduceat((at >= 0).astype(np.int64), starts), np.add.reduceat(base, starts), [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], hashes, tails]
@@ -198,9 +197,9 @@ def table_of(w: np.ndarray, level: int, feature: int) -> np.ndarray:
 
 def exponents(w: np.ndarray, level: int, rows: list[np.ndarray], node: np.ndarray) -> np.ndarray:
     """The sums of the weights of each token's features and node, one column for each outcome."""
-    z = w[BIAS:].take(node, 0)
+    z = w[BIAS:].take(node, 0, mode="clip")  # numbers are within bounds; clip spares a check
     for k, r in enumerate(rows):
-        z += table_of(w, level, k).take(r, 0)
+        z += table_of(w, level, k).take(r, 0, mode="clip")
     return z
 
 
@@ -229,7 +228,7 @@ def step(w: np.ndarray, squares: np.ndarray, visits: np.ndarray, level: int, row
         s = r[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         at = s[first].astype(np.intp)
-        sums = np.add.reduceat(g.take(order, 0).view(np.complex64), first, axis=0).view(np.float32)  # two columns at a time
+        sums = np.add.reduceat(g.take(order, 0, mode="clip").view(np.complex64), first, axis=0).view(np.float32)  # two columns at a time
         part = slice((level * FEATURES + k) * FEATURE_ROWS, (level * FEATURES + k + 1) * FEATURE_ROWS)
         seen = squares[part]
         seen[at] += np.einsum("ij,ij->i", sums, sums)
