@@ -90,6 +90,7 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[Iterator[list]],
         source = (b.columns if arrow else [c.to_pylist() for c in b.columns] for b in batches if b.num_rows)
         for cols in work(source):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+        pa.default_memory_pool().release_unused()  # workers live on for other tasks
 
     return df.select(*columns).mapInArrow(run, fields)
 

@@ -7,7 +7,7 @@ a batch holds sequences of one length only, in slots without gaps, and all but t
 
 Tokenizing costs most. Neither NFC, lower-casing nor the pre-tokenizer's pattern of the public vocabulary joins anything
 across a blank, tab or line end, and its control strings hold none of these, so a text's ids are those of its blank-separated chunks, one after
-the other. Each worker encodes a chunk once and keeps its ids in a bounded table. Control strings in a text get their own ids, as the
+the other. Each worker encodes a chunk once and keeps its ids in a bounded table of 300 000 chunks (some 50 MB). Control strings in a text get their own ids, as the
 tokenizer gives them by default.
 
 Null or empty text: the end id alone. Texts of any length are encoded whole. Repeated rows are packed each on its own. Empty table: no
@@ -47,7 +47,7 @@ class ChunkEncoder:
     A chunk of plain Latin letters, with a comma or full stop behind it or not, is lower-cased and goes to the vocabulary's BPE
     model at once (the letters are one pre-token, the mark another); any other chunk goes through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
