@@ -186,14 +186,14 @@ def derived_edges(spark, d):
     return _pairs(spark, d).where((F.col("a") % 2 == F.col("b") % 2) & (F.col("n") >= F.when(person, 2).otherwise(3))).select("a", "b", F.when(person, "KNOWS").otherwise("RELATED_TO").alias("edge_type"), "n")
 
 
-_CHAIN = "SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 5 = 0"
+_CHAIN = "SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 3 AS b FROM orders WHERE o_orderkey % 2 = 0"
 
 
 @query(f"""WITH RECURSIVE e AS ({_CHAIN}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, hops) AS (SELECT (SELECT min(a) FROM e), 0 UNION SELECT u.b, w.hops + 1 FROM w JOIN u ON u.a = w.node WHERE w.hops < 3)
  SELECT node, min(hops)::INT AS hops FROM w GROUP BY node HAVING min(hops) > 0""")
 def khop_neighbours(spark, d):
-    """A sparse graph of customers: a fifth of the orders links its customer to one of the next three."""
-    o = load(spark, d, "orders").where("o_orderkey % 5 = 0")
+    """A sparse graph of customers: half of the orders link their customer to one of the next three."""
+    o = load(spark, d, "orders").where("o_orderkey % 2 = 0")
     edges = o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("b")).distinct()
     return G.k_hop(edges, edges.agg(F.min("a").alias("a")), 3)
 
