@@ -17,6 +17,7 @@ from tessella.llm.packing import op4_packing
 from tessella.llm.sharding import op3_sharding
 from tessella.llm.simhash import op5_simhash_dedup
 from tessella.llm.suffixdedup import op2_suffix_dedup
+from tessella.llm.whitening import op11_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_html_extraction": op10_html_extraction,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
