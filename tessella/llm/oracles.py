@@ -38,4 +38,13 @@ CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, (sum(length(role) + length(text) + 14) + CASE WHEN conv_id = -7 THEN 6 ELSE 0 END)::BIGINT AS formatted_chars, CASE WHEN conv_id = -7 THEN 2 ELSE 0 END::BIGINT AS escaped_turns FROM c GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX_DEDUP, "op3_sharding": SHARDING, "op6_benchmark_decontamination": DECONTAMINATION, "op9_chat_formatting": CHAT}
+#: op12: windows of 35 words joined as text; the words inside none of those that occur again.
+SEED_EXTEND = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+ x AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+ r AS (SELECT s FROM x GROUP BY s HAVING count(*) > 1),
+ hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM x WHERE s IN (SELECT s FROM r)),
+ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+ g AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM words ANTI JOIN hit USING (doc_id, k) GROUP BY doc_id)
+ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX_DEDUP, "op3_sharding": SHARDING, "op6_benchmark_decontamination": DECONTAMINATION, "op9_chat_formatting": CHAT, "op12_substring_dedup": SEED_EXTEND}

@@ -14,6 +14,7 @@ from tessella.llm.maxent import op7_lm_scoring
 from tessella.llm.media import op1_media_columns
 from tessella.llm.oracles import ORACLES
 from tessella.llm.packing import op4_packing
+from tessella.llm.seedextend import op12_substring_dedup
 from tessella.llm.sharding import op3_sharding
 from tessella.llm.simhash import op5_simhash_dedup
 from tessella.llm.suffixdedup import op2_suffix_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_html_extraction": op10_html_extraction,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
