@@ -47,4 +47,17 @@ SEED_EXTEND = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[
  g AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM words ANTI JOIN hit USING (doc_id, k) GROUP BY doc_id)
  SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX_DEDUP, "op3_sharding": SHARDING, "op6_benchmark_decontamination": DECONTAMINATION, "op9_chat_formatting": CHAT, "op12_substring_dedup": SEED_EXTEND}
+#: op13: all phrases of a piece joined as text and counted; each candidate's lowest cut; candidates inside longer ones by their texts.
+COLLOCATIONS = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+ n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+ g AS (SELECT lang, m, s, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)) GROUP BY lang, m, s HAVING count(*) >= 100),
+ c AS (SELECT lang, m, s, f AS a, string_split(s, ' ') AS w FROM g WHERE m > 1),
+ k AS (SELECT lang, m, s, a, k, array_to_string(w[1 : k], ' ') AS left_part, array_to_string(w[k + 1 : m], ' ') AS right_part FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+ x AS (SELECT k.lang, k.m, k.s, k.a, k.k, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN g l ON l.lang = k.lang AND l.s = k.left_part JOIN g r ON r.lang = k.lang AND r.s = k.right_part JOIN n ON n.lang = k.lang),
+ y AS (SELECT *, row_number() OVER (PARTITION BY lang, s ORDER BY score, k) AS nth FROM x),
+ longer AS (SELECT lang, array_to_string(w[i : i + m2 - 1], ' ') AS s, max(a) AS most FROM (SELECT lang, w, a, m2, unnest(range(1, m - m2 + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m2) WHERE m2 < m) GROUP BY ALL),
+ z AS (SELECT y.*, row_number() OVER (PARTITION BY y.lang ORDER BY score DESC, a DESC, y.s) AS rank FROM y LEFT JOIN longer ON longer.lang = y.lang AND longer.s = y.s WHERE nth = 1 AND coalesce(100 * most >= 100 * a, false) = false)
+ SELECT lang, rank, s AS phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op2_suffix_dedup": SUFFIX_DEDUP, "op3_sharding": SHARDING, "op6_benchmark_decontamination": DECONTAMINATION, "op9_chat_formatting": CHAT, "op12_substring_dedup": SEED_EXTEND, "op13_phrase_collocations": COLLOCATIONS}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.chat import op9_chat_formatting
+from tessella.llm.collocations import op13_phrase_collocations
 from tessella.llm.decontaminate import op6_benchmark_decontamination
 from tessella.llm.htmltext import op10_html_extraction
 from tessella.llm.langid import op8_language_id
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

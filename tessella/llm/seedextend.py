@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import drop_table, map_rows, read, table, with_kept
+from tessella.llm.membership import filter_of, held
 
 LENGTH, ANCHOR = 35, 10
 SEGMENT, CACHED = 1 << 20, 500_000
-FILTER_BITS = 27
 _BLANK = re.compile(rb"[\x09-\x0D\x20]")
 _FACTOR = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
 class WordHashes(dict):
@@ -88,10 +88,10 @@ class Prefixes:
     """Hashes of any stretch of words, from sums of the words' hashes times powers of an odd number."""
 
     def __init__(self, words: np.ndarray) -> None:
-        size = 1 << len(words).bit_length()
-        if size not in _POWERS:
-            _POWERS[size] = _powers(_FACTOR, size), _powers(pow(_FACTOR, -1, 1 << 64), size)
-        up, self.down = _POWERS[size]
+        if not _POWERS or len(_POWERS[0]) <= len(words):
+            size = 1 << len(words).bit_length()
+            _POWERS[:] = _powers(_FACTOR, size), _powers(pow(_FACTOR, -1, 1 << 64), size)
+        up, self.down = _POWERS
         self.sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up[: len(words)], out=self.sums[1:])
 
@@ -158,25 +158,6 @@ def seeds(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     return map_rows(texts, ["h", "b", "text"], work, "h long, b int, s int, n int, a long, z long", arrow=True)
 
 
-def _filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter with two places for each key, of 2^bits bits however many keys there are."""
-    mask = (1 << bits) - 1
-    places = keys.select(F.explode(F.array(F.col("u").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("u", 32).bitwiseAND(F.lit(mask)))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[words["i"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _held(found: np.ndarray, u: np.ndarray) -> np.ndarray:
-    mask = np.uint64(64 * len(found) - 1)
-    one, low = np.uint64(1), np.uint64(63)
-    hit = np.ones(len(u), bool)
-    for p in (u & mask, (u >> np.uint64(32)) & mask):
-        hit &= (found[p >> np.uint64(6)] >> (p & low)) & one == one
-    return hit
-
-
 def windows(texts: DataFrame, chosen: np.ndarray, length: int, anchor: int) -> DataFrame:
     """(h, b, s, a, x): each window of the chosen zones, as text, place, anchor and content."""
     sent = texts.sparkSession.sparkContext.broadcast(chosen)
@@ -188,7 +169,7 @@ def windows(texts: DataFrame, chosen: np.ndarray, length: int, anchor: int) -> D
             for h, b, t in zip(hs.to_pylist(), bs.to_pylist(), values.cast("binary"), strict=True):
                 for base, w in blocks(t.as_py() or b"", hashes, length):
                     p, s, n, a, z = zones(w, length, anchor)
-                    hit = _held(sent.value, _place_key(z, h, s + base))
+                    hit = held(sent.value, _place_key(z, h, s + base))
                     if hit.any():
                         at = np.flatnonzero(np.repeat(hit, n))
                         for c, v in zip(parts, (np.full(len(at), h, np.int64), np.full(len(at), b, np.int32), (at + base).astype(np.int32), np.repeat(a[hit], n[hit]).view(np.int64), p.of(at, at + length).view(np.int64)), strict=True):
@@ -209,7 +190,7 @@ def repeated_windows(df: DataFrame, text: str = "text", length: int = LENGTH, an
     mixed = linked.where("not alike").withColumn("u", place_key())
     kinds = mixed.groupBy("a", "z").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("one"))
     kept = table(mixed.join(kinds, ["a", "z"]).select("h", "b", "s", "n", "u", (F.col("c") > 1).alias("whole"), (F.col("u") == F.col("one")).alias("extend")), "seed-kinds")
-    single = table(windows(texts, _filter_of(kept.where("extend").select("u")), length, anchor), "seed-windows")
+    single = table(windows(texts, filter_of(kept.where("extend"), "u"), length, anchor), "seed-windows")
     again = single.groupBy("a", "x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     parts = single.join(again, ["a", "x"], "left_semi").select("h", "b", "s", F.lit(1).alias("n"))
     return linked.where("alike").select("h", "b", "s", "n").unionByName(kept.where("whole").select("h", "b", "s", "n")).unionByName(parts)
