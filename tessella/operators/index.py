@@ -1,60 +1,125 @@
-"""An inverted index for keyword search: built once, read by term."""
+"""A positional inverted index for keyword search, built as its own step and read by term, and ranks by cover density.
+
+Postings (term, key, n_words, positions) lie in folders by the term's hash, sorted by term in files by the key's hash, so that a lookup reads one folder for
+each term and in it the row groups whose range of terms fits. The numbers of folders and of files in each follow the square root of the input, so
+that neither a folder nor the file of a frequent term grows with the corpus.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.functions import columns as C
-from tessella.operators.search import terms_of
+from tessella.operators.search import cover_ranks, terms_of
 from tessella.sources.tables import load, shared_dir, spread
 
-PARTS = 16
+_WORD = re.compile(r"\w+")
+PART_BYTES, LEAST_PARTS, MOST_PARTS, UNKNOWN = 64 << 20, 16, 8192, 1 << 60
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, n_words), one row for each term of a document."""
-    w = docs.select(key, C.words(F.col(text)).alias("w"))
-    return w.select(key, F.size("w").alias("n_words"), F.explode("w").alias("term")).groupBy("term", key, "n_words").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """Postings and the number of folders they lie in."""
+
+    rows: DataFrame
+    parts: int
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings written in order of terms, dealt by the term's hash, so that a lookup reads a folder for each term and in it only the row groups
-    whose range of terms fits. A term of a third of all documents is split among files by its documents."""
-    rows = postings(docs, key, text).withColumn("part", F.pmod(F.hash("term"), F.lit(PARTS)))
-    rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+def parts_for(docs: DataFrame) -> int:
+    """Folders for a table: the square root of its size in pieces of 64 MB, so that each folder has as many files of that size. Rows that Spark holds no
+    size of (not read from files) count as few."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_PARTS, max(LEAST_PARTS, math.isqrt(size // PART_BYTES))) if size < UNKNOWN else LEAST_PARTS
 
 
-def lookup(index: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """Documents that hold all terms: (key, score), the score being the terms' frequency among all words. No terms, no rows."""
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, key, n_words, positions), one row for each term of a document; positions count words from 0. Made within each row, without an exchange."""
+    kind = docs.schema[key].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField(key, kind), T.StructField("n_words", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, at, sizes, offsets, positions = [], [], [], [0], []
+            for row, t in enumerate(b.column(1)):
+                found: dict[str, list[int]] = {}
+                words = _WORD.findall(t.as_py() or "")
+                for i, w in enumerate(words):
+                    if w in found:
+                        found[w].append(i)
+                    else:
+                        found[w] = [i]
+                for w, places in found.items():
+                    terms.append(w)
+                    positions += places
+                    offsets.append(len(positions))
+                at += [row] * len(found)
+                sizes += [len(words)] * len(found)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(positions, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int64()), lists], ["term", key, "n_words", "positions"])
+
+    return docs.select(key, F.lower(F.col(text)).alias("text")).mapInArrow(work, schema)
+
+
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parts: int | None = None) -> Index:
+    """The index of a table, written under `path`."""
+    parts = parts or parts_for(docs)
+    rows = postings(docs, key, text).withColumn("part", F.pmod(F.hash("term"), F.lit(parts)))
+    files = max(1, parts // LEAST_PARTS)
+    rows.repartition(parts * files, "part", F.pmod(F.xxhash64(key), F.lit(files))).sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(path)
+    return Index(docs.sparkSession.read.parquet(path), parts)
+
+
+def lookup(index: Index, query: str, key: str = "doc_id") -> DataFrame:
+    """Documents that hold all terms: (key, score), by cover density. No terms, no rows."""
     terms = terms_of(query)
     if not terms:
-        return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    spark = index.sparkSession
-    parts = _parts(spark, terms)
-    hits = index.where(reduce(or_, ((F.col("part") == parts[t]) & (F.col("term") == t) for t in terms)))
-    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("tf"), F.first("n_words").alias("n_words")).where(F.col("n") == len(terms))
-    return found.select(key, F.round(F.col("tf") / F.col("n_words"), 6).alias("score"))
+        return index.rows.select(key, F.lit(0.0).alias("score")).limit(0)
+    parts = _parts(index.rows.sparkSession, terms, index.parts)
+    hits = index.rows.where(reduce(or_, ((F.col("part") == parts[t]) & (F.col("term") == t) for t in terms)))
+    held = hits.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("p")).where(F.size("p") == len(terms))
+    places = held.select(key, F.explode("p").alias("p")).select(key, "p.term", F.explode("p.positions").alias("pos"))
+    return cover_ranks(places, terms, key)
+
+
+def most_used(index: Index, most: int, key: str = "doc_id") -> DataFrame:
+    """(term, docs, occurrences) of the terms that most documents hold."""
+    return index.rows.groupBy("term").agg(F.count(key).alias("docs"), F.sum(F.size("positions")).cast("long").alias("occurrences")).orderBy(F.desc("docs"), "term").limit(most)
 
 
-def _parts(spark: SparkSession, terms: list[str]) -> dict[str, int]:
-    return dict(zip(terms, spark.range(1).select(*(F.pmod(F.hash(F.lit(t)), F.lit(PARTS)).alias(f"_{i}") for i, t in enumerate(terms))).first(), strict=True))
+def _parts(spark: SparkSession, terms: list[str], parts: int) -> dict[str, int]:
+    return dict(zip(terms, spark.range(1).select(*(F.pmod(F.hash(F.lit(t)), F.lit(parts)).alias(f"_{i}") for i, t in enumerate(terms))).first(), strict=True))
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+def _state_of(docs: DataFrame) -> str:
+    """A name for the files of a table as they are now, from their paths, sizes and times."""
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    found = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr(tuple(found)).encode()).hexdigest()[:16]
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of the documents of a folder, built at its first use in an application."""
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents of a folder. It is built where the shared folder has none for the files as they are, under a name of its own that is
+    then changed, so that a broken build is never read and two applications use one index."""
     docs = load(spark, sf_dir, "documents")
-    at = (spark.sparkContext.applicationId, hashlib.sha256("\n".join([sf_dir, *sorted(docs.inputFiles())]).encode()).hexdigest()[:16])
-    if at not in _BUILT:
-        path = f"{shared_dir(spark)}/keyword-index-{at[0]}-{at[1]}"
-        build(spread(docs.select("doc_id", "text")), path)
-        _BUILT[at] = path
-    return spark.read.parquet(_BUILT[at])
+    root, parts = shared_dir(spark), parts_for(docs)
+    path = f"{root}/keyword-index-{_state_of(docs)}-{parts}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        made = f"{root}/building-{uuid.uuid4().hex}"
+        build(spread(docs.select("doc_id", "text")), made, parts=parts)
+        if not fs.rename(hadoop.Path(made), at) and not fs.exists(at):
+            raise RuntimeError(f"the index can't be moved to {path}")
+    return Index(spark.read.parquet(path), parts)

@@ -34,18 +34,32 @@ def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", re.sub(r"[^\w\s\-]", "", query).lower())))
 
 
+def cover_ranks(places: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, score) of the documents that hold all terms, by cover density: each smallest stretch with all of them adds 0.1 / (1 + the number of other
+    words in it). places: (key, term, pos), one row for each occurrence. One sweep along the occurrences of a document finds the stretches: at
+    each, the latest occurrence of every term is known, and a new stretch ends where the earliest of these moves on."""
+    along = Window.partitionBy(key).orderBy("pos")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = places.withColumn("n", F.row_number().over(along))
+    latest = [F.last(F.when(F.col("term") == t, F.struct("pos", "n")), ignorenulls=True).over(so_far) for t in terms]
+    rows = rows.select(key, "pos", "n", *(c.alias(f"_{i}") for i, c in enumerate(latest)))
+    have_all = reduce(and_, (F.col(f"_{i}").isNotNull() for i in range(len(terms))))
+    start = F.least(*(F.col(f"_{i}") for i in range(len(terms)))) if len(terms) > 1 else F.col("_0")
+    rows = rows.withColumn("start", F.when(have_all, start)).withColumn("before", F.lag("start.pos").over(along))
+    covers = rows.where(F.col("start").isNotNull() & (F.col("before").isNull() | (F.col("start.pos") > F.col("before"))))
+    others = (F.col("pos") - F.col("start.pos")) - (F.col("n") - F.col("start.n"))
+    return covers.groupBy(key).agg(F.round(F.sum(0.1 / (1 + others)), 6).alias("score"))
+
+
 def keyword_matches(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that hold all terms: (key, score), the score being the terms' frequency among all words. No terms, no rows. One scan; texts
-    that lack a term as a plain substring are passed over before words are counted."""
+    """Documents that hold all terms: (key, score), by cover density. No terms, no rows. One scan; texts that lack a term as a plain substring are passed
+    over before words are counted."""
     terms = terms_of(query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    low = docs.select(key, F.lower(F.col(text)).alias("w"))
-    d = low.where(reduce(and_, (F.contains("w", F.lit(t)) for t in terms)))
-    d = d.select(key, F.concat(F.lit(" "), F.trim(F.regexp_replace("w", r"[^\p{L}\p{N}_]+", " ")), F.lit(" ")).alias("w"))
-    held = d.where(reduce(and_, (F.contains("w", F.lit(f" {t} ")) for t in terms)))
-    hits = F.regexp_count("w", F.lit(f"(?<= )({'|'.join(terms)})(?= )"))
-    return held.select(key, F.round(hits / (F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) - 1), 6).alias("score"))
+    low = docs.where(reduce(and_, (F.contains(F.lower(F.col(text)), F.lit(t)) for t in terms)))
+    words = low.select(key, F.posexplode(C.words(F.col(text))).alias("pos", "term"))
+    return cover_ranks(words.where(F.col("term").isin(terms)), terms, key)
 
 
 def positions(run: DataFrame, by: str, order: list) -> DataFrame:

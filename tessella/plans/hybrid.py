@@ -14,7 +14,7 @@ def candidates(k: int) -> int:
     return min(2 * S.top_k(k), S.MOST)
 
 
-def fused(index: DataFrame, vectors: DataFrame, query: DataFrame, terms: str, k: int = 10) -> DataFrame:
+def fused(index: X.Index, vectors: DataFrame, query: DataFrame, terms: str, k: int = 10) -> DataFrame:
     """(doc_id, semantic_rank, keyword_rank, certainty, rrf); vec_id is the document's id."""
     near = S.vector_topk(vectors, query, candidates(k)).select(F.col("vec_id").alias("doc_id"), "certainty")
     words = X.lookup(index, terms).orderBy(F.desc("score"), "doc_id").limit(candidates(k))
@@ -23,7 +23,7 @@ def fused(index: DataFrame, vectors: DataFrame, query: DataFrame, terms: str, k:
     return S.rrf(s.select("doc_id", "rank"), w.select("doc_id", "rank"), "doc_id").join(near, "doc_id", "left").withColumn("rrf", F.round("rrf", 9))
 
 
-def search(index: DataFrame, vectors: DataFrame, query: DataFrame, terms: str, k: int = 10) -> DataFrame:
+def search(index: X.Index, vectors: DataFrame, query: DataFrame, terms: str, k: int = 10) -> DataFrame:
     """Reranked hits. The tables have no document times: a document's age in days is taken to be doc_id modulo 30, and unknown for
     hits that only the keyword side has."""
     hits = fused(index, vectors, query, terms, k)

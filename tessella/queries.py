@@ -26,8 +26,11 @@ AS_OF = "2024-02-01"
 
 _VECTOR = "SELECT e.vec_id, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 6) AS certainty FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY certainty DESC, vec_id LIMIT {k}"
 _WORDS = r"SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents"
-_KEYWORD = f"SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('the', 'and', 'with')))::DOUBLE / len(w), 6) AS score FROM ({_WORDS}) WHERE list_has_all(w, ['the', 'and', 'with'])"
-_FUSED = f"""near AS ({_VECTOR.format(k=20)}), kw AS ({_KEYWORD} ORDER BY score DESC, doc_id LIMIT 20),
+_COVERS = """p AS (SELECT doc_id, i AS pos, w[i] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {words} WHERE list_has_all(w, {terms})) WHERE w[i] IN (SELECT unnest({terms}))),
+ l AS (SELECT doc_id, term, list(pos) AS at FROM p GROUP BY ALL), e AS (SELECT p.doc_id, p.pos, min(list_max(list_filter(l.at, lambda x: x <= p.pos))) AS start, count(list_max(list_filter(l.at, lambda x: x <= p.pos))) AS n FROM p JOIN l ON p.doc_id = l.doc_id GROUP BY p.doc_id, p.pos),
+ c AS (SELECT doc_id, start, min(pos) AS stop FROM e WHERE n = len({terms}) GROUP BY doc_id, start), o AS (SELECT c.doc_id, start, stop, count(*) AS inside FROM c JOIN p ON p.doc_id = c.doc_id AND p.pos BETWEEN start AND stop GROUP BY ALL)"""
+_KEYWORD = f"WITH {_COVERS.format(words='(' + _WORDS + ')', terms="['the', 'and', 'with']")} SELECT doc_id, round(sum(0.1::DOUBLE / (1 + (stop - start + 1 - inside))), 6) AS score FROM o GROUP BY doc_id"
+_FUSED = f"""near AS ({_VECTOR.format(k=20)}), kw AS (SELECT * FROM ({_KEYWORD}) ORDER BY score DESC, doc_id LIMIT 20),
  s AS (SELECT vec_id AS doc_id, certainty, row_number() OVER (ORDER BY certainty DESC, vec_id) AS semantic_rank FROM near),
  k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS keyword_rank FROM kw),
  fused AS (SELECT doc_id, semantic_rank, keyword_rank, certainty, round(coalesce(0.75 / (60 + semantic_rank), 0) + coalesce(0.25 / (60 + keyword_rank), 0), 9) AS rrf FROM s FULL JOIN k USING (doc_id))"""
@@ -44,6 +47,12 @@ def vector_topk(spark, d):
     return S.vector_topk(e, e.where("vec_id = 0"))
 
 
+@query(f"SELECT term, count(*) AS docs, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM ({_WORDS})) GROUP BY ALL) GROUP BY term ORDER BY docs DESC, term LIMIT 100")
+def index_terms(spark, d):
+    """The index built, where there is none yet, and the 100 terms that most documents hold."""
+    return X.most_used(X.index_of(spark, d), 100)
+
+
 @query(_KEYWORD)
 def keyword_and_match(spark, d):
     return X.lookup(X.index_of(spark, d), TERMS)

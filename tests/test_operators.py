@@ -102,7 +102,7 @@ def test_index_equals_scan(spark, tmp_path):
     index = X.build(docs, str(tmp_path / "index"))
     for q in ("the AND", "für été", "x_1", "nothing", "", "b2 the with"):
         assert rows(X.lookup(index, q)) == rows(S.keyword_matches(docs, q))
-    plan = index.where("part = 3 AND term = 'the'")._jdf.queryExecution().executedPlan().toString()
+    plan = index.rows.where("part = 3 AND term = 'the'")._jdf.queryExecution().executedPlan().toString()
     assert "(part" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "EqualTo(term,the)" in plan
 
 
