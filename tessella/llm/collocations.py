@@ -1,13 +1,14 @@
 """Phrase collocation mining with counts from HAT-tries.
 
-Phrases are counted level by level: words first, then phrases of two to five words. A phrase can only be frequent if both phrases that are one
-word shorter are, so a level passes over the words of the corpus, written once as word ids, and counts what a Bloom filter (16 MB) of the frequent
-phrases before lets through; what it lets through in error is counted and found rare.
+Which phrases may be frequent is found level by level, over the corpus written once as ids of frequent words: a phrase can only be frequent if both
+phrases that are one word shorter are. A level adds up marks of 40 bits of the phrases that a Bloom filter (16 MB) of the level before lets through. Marks
+travel as sorted runs of differences, some 3 bytes each, so that rare phrases, which are most, cost little; those of enough occurrences
+are the next filter. What a mark or filter lets through in error is counted exactly below and found rare.
 
-A task counts in a HAT-trie: inner nodes by word id, at most two deep, and below them hash containers of the remaining ids, which burst into a node
-when they grow. When the trie is full, its largest subtrees are given out whole, each in the order of its keys, and freed. These sorted runs are
-dealt by prefix (all words of a phrase but the last), so that a frequent first word alone is no hot partition, and equal phrases are
-added up within their partition. Each language has word ids of its own.
+Then phrases of all lengths are counted in one pass. A task counts in HAT-tries: inner nodes by word id, at most two deep, and below them hash
+containers of the remaining ids, which burst into a node when they grow. When a trie is full, its largest subtrees are given out whole, each in the
+order of its keys, and freed. These sorted runs are dealt by prefix (all words of a phrase but the last), so that a frequent first word alone is
+no hot partition, and equal phrases are added up within their partition. Each language has word ids of its own.
 
 Ids are 64-bit hashes of language and word. Scores are whole numbers from decimals of 38 digits, which hold 1000 a n up to 10^38. A null text is empty, a null language
 `und`; punctuation alone has no words, texts of any length are read in segments, within which no phrase is lost or counted twice. Repeated rows
@@ -19,22 +20,26 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ASCII_LOWER, drop_table, map_rows, read, table
 from tessella.llm.membership import filter_of, held
-from tessella.llm.seedextend import Prefixes
+from tessella.llm.seedextend import Prefixes, mixed
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SEGMENT, CACHED = 1 << 20, 500_000
 #: Entries of a task's trie, and of a container before it bursts.
 FULL, BURST = 400_000, 20_000
 SALTS = 64
+#: Bits of a phrase's mark, and marks that are added up at a time.
+MARK_BITS, RUN = 40, 4_000_000
 _BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 _END = re.compile(rb"[.,;:!?\x09-\x0D\x20]")
 BREAK = b"."
@@ -198,61 +203,151 @@ def encoded(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     return map_rows(texts, ["lang", "text"], work, "skip int, ids array<long>", arrow=True)
 
 
-def _occurrences(v: np.ndarray, k: int, fresh: np.ndarray | None, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the phrases of k ids that may be frequent, and their hashes."""
+def _starts(v: np.ndarray, k: int, shorter: np.ndarray | None) -> tuple[Prefixes, np.ndarray]:
+    """Hashes, and places of k ids without a gap of which both parts that are one shorter may be frequent."""
     p = Prefixes(v)
     good = v != 0
     ok = good[: len(v) - k + 1].copy()
     for i in range(1, k):
         ok &= good[i : len(v) - k + 1 + i]
-    if fresh is not None:
-        ok &= fresh[k - 1 :]
     if shorter is not None:
-        at = np.flatnonzero(ok)
-        ok[at] = held(shorter, p.of(at, at + k - 1))
-        at = np.flatnonzero(ok)
-        ok[at] = held(shorter, p.of(at + 1, at + k))
-    at = np.flatnonzero(ok)
-    return at, p.of(at, at + k)
+        for i in (0, 1):
+            at = np.flatnonzero(ok)
+            ok[at] = held(shorter, _marks(p, at + i, k - 1))
+    return p, np.flatnonzero(ok)
 
 
-def phrase_counts(corpus: DataFrame, k: int, shorter: np.ndarray | None, least: int) -> DataFrame:
-    """(ids, a, g) of the phrases of k words with a >= least; g is the phrase's hash."""
-    sent = corpus.sparkSession.sparkContext.broadcast(shorter)
+def _marks(p: Prefixes, at: np.ndarray, k: int) -> np.ndarray:
+    """What the filters know a phrase by: its mark of 40 bits, mixed."""
+    return mixed(p.of(at, at + k) >> np.uint64(64 - MARK_BITS))
 
-    def work(batches: Iterator[list]):
-        trie = HatTrie(k)
-        for skips, parts in batches:
-            v = parts.flatten().to_numpy().view(np.uint64)
-            if len(v) < k:
-                continue
-            fresh, skip = None, skips.to_numpy(zero_copy_only=False)
+
+def _parts(batches: Iterator[list], shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The ids of a batch, and which of them are not repeated from the part before."""
+    for skips, parts in batches:
+        v = parts.flatten().to_numpy().view(np.uint64)
+        if len(v) >= shortest:
+            skip, fresh = skips.to_numpy(zero_copy_only=False), None
             if skip.any():
                 sizes = parts.value_lengths().to_numpy(zero_copy_only=False)
                 fresh = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= np.repeat(skip, sizes)
-            at, g = _occurrences(v, k, fresh, sent.value)
-            _, first, counts = np.unique(g, return_index=True, return_counts=True)
-            for some in range(0, len(first), FULL // 2):
-                starts = at[first[some : some + FULL // 2]]
-                trie.add(np.stack([v[starts + i] for i in range(k)], 1), counts[some : some + FULL // 2])
-                if sum(trie.sizes.values()) > trie.full:
-                    yield from trie.spilled(trie.full // 2)
-        yield from trie.spilled(0)
-
-    words = [f"w{i}" for i in range(k)]
-    runs = map_rows(corpus, ["skip", "ids"], work, ", ".join(f"{w} long" for w in words) + ", c long", arrow=True)
-    sums = runs.repartition(*words[:-1]).groupBy(*words).agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-    return with_hash(sums.select(F.array(*words).alias("ids"), "a"), k)
-
-
-def with_hash(phrases: DataFrame, k: int) -> DataFrame:
-    def work(batches: Iterator[list]):
-        for ids, a in batches:
-            v = ids.flatten().to_numpy().view(np.uint64)
-            at = np.arange(0, len(v), k)
-            yield [ids, a, Prefixes(v).of(at, at + k).view(np.int64)]
+            yield v, fresh
+
+
+def _fresh(at: np.ndarray, k: int, fresh: np.ndarray | None) -> np.ndarray:
+    return at if fresh is None else at[fresh[at + k - 1]]
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
 
-    return map_rows(phrases, ["ids", "a"], work, "ids array<long>, a long, g long", arrow=True)
+def _values(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pieces_for(corpus: DataFrame) -> int:
+    """Ranges of marks: a power of two that follows the size of the corpus in pieces of 16 MB."""
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 24
+    return min(1 << 14, max(1 << 8, 1 << size.bit_length())) if size < 1 << 36 else 1 << 8
+
+
+def frequent_marks(corpus: DataFrame, k: int, shorter: np.ndarray | None, least: int, pieces: int) -> DataFrame:
+    """(u): mixed marks of all phrases of k words that may be frequent. Only marks travel: sorted, as differences, in one run for each task and range."""
+    sent = corpus.sparkSession.sparkContext.broadcast(shorter)
+    low = MARK_BITS - (pieces.bit_length() - 1)
+
+    def runs(batches: Iterator[list]):
+        squeeze = zstandard.ZstdCompressor(1).compress
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def given():
+            marks, n = _summed(keys, counts)
+            ends = np.searchsorted(marks, np.arange(1, pieces + 1, dtype=np.uint64) << np.uint64(low))
+            out: list[list] = [[], [], [], []]
+            for i, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                if a < z:
+                    rest = (marks[a:z] & np.uint64((1 << low) - 1)).astype(np.uint32)
+                    for c, x in zip(out, (i, z - a, squeeze(_planes(np.diff(rest, prepend=np.uint32(0)))), squeeze(_planes(np.minimum(n[a:z], least)))), strict=True):
+                        c.append(x)
+            keys.clear(), counts.clear()
+            return out
+
+        for v, fresh in _parts(batches, k):
+            p, at = _starts(v, k, sent.value)
+            at = _fresh(at, k, fresh)
+            for some in range(0, len(at), RUN):
+                marks, n = np.unique(p.of(at[some : some + RUN], at[some : some + RUN] + k) >> np.uint64(64 - MARK_BITS), return_counts=True)
+                keys.append(marks)
+                counts.append(n)
+                if sum(map(len, keys)) > RUN:
+                    yield given()
+        if keys:
+            yield given()
+
+    def merge(batches: Iterator[list[list]]):
+        rows = ((i, n, rest, c) for cols in batches for i, n, rest, c in zip(*cols, strict=True))
+        for i, group in groupby(rows, key=lambda r: r[0]):
+            blobs = list(group)
+            slices = -(-sum(n for _, n, _, _ in blobs) // RUN)
+            expand = zstandard.ZstdDecompressor().decompress
+            for x in range(slices):  # a range that is too large is added up in slices
+                keys, counts = [], []
+                for _, _, rest, c in blobs:
+                    marks = np.cumsum(_values(expand(rest)), dtype=np.uint64)
+                    a, z = (int(y) for y in np.searchsorted(marks, [np.uint64((x << low) // slices), np.uint64(((x + 1) << low) // slices)]))
+                    keys.append(marks[a:z])
+                    counts.append(_values(expand(c))[a:z].astype(np.int64))
+                marks, n = _summed(keys, counts)
+                yield [mixed(marks[n >= least] | np.uint64(i << low)).view(np.int64)]
+
+    sent_runs = map_rows(corpus, ["skip", "ids"], runs, "i int, n int, marks binary, counts binary", arrow=True)
+    return map_rows(sent_runs.repartition(pieces, "i").sortWithinPartitions("i"), ["i", "n", "marks", "counts"], merge, "u long")
+
+
+def phrase_counts(corpus: DataFrame, frequent: list[np.ndarray], least: int) -> DataFrame:
+    """(ids, a) of all phrases of two words or more with a >= least. frequent: the filter of each length, from two on."""
+    sent = corpus.sparkSession.sparkContext.broadcast(frequent)
+    words = [f"w{i}" for i in range(LONGEST)]
+
+    def work(batches: Iterator[list]):
+        tries = {k: HatTrie(k, FULL // len(sent.value)) for k in range(2, len(sent.value) + 2)}
+
+        def given(k: int, to: int):
+            for *ids, c in tries[k].spilled(to):
+                prefix = np.zeros(len(c), np.uint64)
+                for w in ids[:-1]:
+                    prefix = mixed(prefix ^ w.view(np.uint64))
+                yield [prefix.view(np.int64), *ids, *(np.zeros(len(c), np.int64) for _ in range(LONGEST - k)), c]
+
+        for v, fresh in _parts(batches, 2):
+            p, at = _starts(v, 2, None)
+            for k, found in enumerate(sent.value, 2):
+                if k > 2:  # a phrase starts where one that is a word shorter does, and another at its second word
+                    at = at[:-1][np.diff(at) == 1]
+                at = at[held(found, _marks(p, at, k))]
+                new = _fresh(at, k, fresh)
+                _, first, counts = np.unique(p.of(new, new + k), return_index=True, return_counts=True)
+                for some in range(0, len(first), FULL // 4):
+                    starts = new[first[some : some + FULL // 4]]
+                    tries[k].add(np.stack([v[starts + i] for i in range(k)], 1), counts[some : some + FULL // 4])
+                    if sum(tries[k].sizes.values()) > tries[k].full:
+                        yield from given(k, tries[k].full // 2)
+        for k in tries:
+            yield from given(k, 0)
+
+    runs = map_rows(corpus, ["skip", "ids"], work, "prefix long, " + ", ".join(f"{w} long" for w in words) + ", c long", arrow=True)
+    sums = runs.repartition("prefix").groupBy("prefix", *words).agg(F.sum("c").alias("a")).where(F.col("a") >= least)
+    return sums.select(F.filter(F.array(*words), lambda w: w != 0).alias("ids"), "a")
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
@@ -292,16 +387,12 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     texts = _by_language(df, text, lang)
     words = table(word_counts(texts, least), "collocation-words")
     corpus = table(encoded(texts, filter_of(words.where("id IS NOT NULL"), "id")), "collocation-corpus")
-    phrases, shorter = [], None
+    frequent: list[np.ndarray] = []
     for k in range(2, longest + 1):
-        phrases.append(table(phrase_counts(corpus, k, shorter, least), f"collocation-{k}"))
-        if k < longest:
-            shorter = filter_of(phrases[-1], "g")
+        frequent.append(filter_of(frequent_marks(corpus, k, frequent[-1] if frequent else None, least, pieces_for(corpus)), "u"))
+    phrases = table(phrase_counts(corpus, frequent, least), "collocation-phrases")
     drop_table(corpus)
-    all_phrases = phrases[0]
-    for more in phrases[1:]:
-        all_phrases = all_phrases.unionByName(more)
-    return best_by_language(without_parts(scored(all_phrases, words)), words, top)
+    return best_by_language(without_parts(scored(phrases, words)), words, top)
 
 
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

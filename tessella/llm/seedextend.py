@@ -72,7 +72,7 @@ def blocks(text: bytes, hashes: WordHashes, length: int) -> Iterator[tuple[int,
         rest = w
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -96,7 +96,7 @@ class Prefixes:
         np.cumsum(words * up[: len(words)], out=self.sums[1:])
 
     def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[: len(self.sums)][start])
+        return mixed((self.sums[end] - self.sums[start]) * self.down[: len(self.sums)][start])
 
     def grams(self, k: int) -> np.ndarray:
         return self.of(slice(0, len(self.sums) - k), slice(k, None))
