@@ -6,6 +6,8 @@ in orders (contexts); events are usage and requests; labels are judgements. The
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
@@ -15,9 +17,10 @@ from tessella.operators import graph as G
 from tessella.operators import index as X
 from tessella.operators import ingest as I
 from tessella.operators import search as S
+from tessella.operators import vectors as V
 from tessella.plans import hybrid
 from tessella.registry import ORACLES, QUERIES, query
-from tessella.sources.tables import load, spread
+from tessella.sources.tables import load, shared_dir, spread
 from tessella.streaming import rates
 
 TERMS = "The and: with"
@@ -47,6 +50,32 @@ def vector_topk(spark, d):
     return S.vector_topk(e, e.where("vec_id = 0"))
 
 
+_NEAR = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id, round((1 + list_cosine_similarity(e.v, q.v)) / 2, 6) AS certainty FROM e, e q WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY certainty DESC, vec_id)::INT AS rank FROM s)"""
+
+
+@query(f"{_NEAR} SELECT query, vec_id, rank, certainty FROM r WHERE rank <= 10")
+def vector_neighbours(spark, d):
+    """The ten nearest of all vectors for each whose id is divisible by 50, by one scan."""
+    e = load(spark, d, "embeddings")
+    return V.in_blocks(e.where("vec_id % 50 = 0"), lambda asked: V.neighbours(e, asked))
+
+
+def _vector_index(spark, d):
+    e = load(spark, d, "embeddings")
+    return e, V.build(e, f"{shared_dir(spark)}/vector-cells-{uuid.uuid4().hex}")
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, d):
+    """Whether an index of all vectors, with as many cells read as at most 200 other queries were found to need, gives 0.9 or more of what the scan gives
+    for each id divisible by 50."""
+    e, index = _vector_index(spark, d)
+    probes = V.calibrated(index, e, e.where("vec_id % 50 = 25").orderBy("vec_id").limit(200))
+    got = V.recall(V.in_blocks(e.where("vec_id % 50 = 0"), lambda asked: V.search(index, asked, probes=probes)), vector_neighbours(spark, d))
+    return got.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").cast("long").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough"))
+
+
 @query(f"SELECT term, count(*) AS docs, sum(n)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM ({_WORDS})) GROUP BY ALL) GROUP BY term ORDER BY docs DESC, term LIMIT 100")
 def index_terms(spark, d):
     """The index built, where there is none yet, and the 100 terms that most documents hold."""

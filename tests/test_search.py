@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 from tessella.operators import index as X
 from tessella.operators import search as S
+from tessella.operators import vectors as V
 
 
 def rows(df):
@@ -44,3 +47,26 @@ def test_index_parts_follow_the_input_and_broken_builds_are_not_read(spark, tmp_
     assert rows(X.lookup(first, "b")) == [(1, 0.1), (2, 0.1)] and rows(X.most_used(first, 1)) == [("b", 2, 2)]
     docs.where("doc_id = 2").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert rows(X.lookup(X.index_of(spark, str(tmp_path)), "b")) == [(2, 0.1)]
+
+
+def test_nearest_vectors_by_scan_and_by_index(spark, tmp_path):
+    rnd = np.random.default_rng(3)
+    middles = rnd.normal(size=(12, 16))
+    data = np.concatenate([middles[rnd.integers(0, 12, 600)] + 0.4 * rnd.normal(size=(600, 16)), np.zeros((1, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(data)] + [(5000, None, "x"), (5001, [1.0], "y")], "vec_id long, embedding array<double>, extra string")
+    asked = df.where("vec_id % 40 = 0 AND size(embedding) = 16")
+    unit = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-300)
+    want = [(q, int(i), r + 1, round((1 + float(unit[q] @ unit[i])) / 2, 6)) for q in range(0, 601, 40) for r, i in enumerate(np.lexsort((np.arange(601), -np.round((1 + unit @ unit[q]) / 2, 6)))[:5])]
+    scan = V.in_blocks(asked, lambda a: V.neighbours(df, a, 5))
+    got = {(r.query, r.rank): (r.vec_id, round(r.certainty, 6)) for r in scan.collect()}
+    assert got == {(q, r): (i, s) for q, i, r, s in want}
+    index = V.build(df.where("size(embedding) = 16"), str(tmp_path / "cells"))
+    probes = V.calibrated(index, df, df.where("vec_id % 7 = 3 AND size(embedding) = 16"), 5, 0.98)
+    assert 1 <= probes < len(index.centres) == 24
+    found = V.search(index, asked, 5, probes)
+    assert V.recall(found, scan).agg({"recall": "avg"}).first()[0] >= 0.9
+    assert V.recall(V.search(index, asked, 5, len(index.centres)), scan).where("recall < 1").count() == 0
+    plan = index.rows.where("cell = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "cell" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    empty = df.where("vec_id < 0")
+    assert V.neighbours(df, empty).count() == 0 and V.search(V.build(empty, str(tmp_path / "none")), asked).count() == 0
