@@ -153,11 +153,11 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "emb
 
 
 def search(index: Cells, queries: DataFrame, k: int = 10, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, rank, certainty) from the `probes` nearest cells of each query (at most 1000 of them): OVERFETCH times k by codes, then k by vectors."""
+    """(query, key, rank, certainty) from the `probes` nearest cells of each query (at most 1000 of them): OVERFETCH times k by codes, then k by
+    vectors. Queries of another dimension have none."""
     ids, asked = _asked(queries, key, vector)
-    spark = index.rows.sparkSession
-    if not ids:
-        return spark.createDataFrame([], f"query long, `{key}` long, rank int, certainty double")
+    if not ids or asked.shape[1] != index.centres.shape[1]:
+        return index.rows.sparkSession.createDataFrame([], f"query long, `{key}` long, rank int, certainty double")
     units, centres = _unit(asked), index.centres
     near = np.argsort(-(units @ centres.T), 1, kind="stable")[:, :probes]
     asking = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
