@@ -1,16 +1,22 @@
-"""Names of one entity brought together: normalised, compared by matching blocks, and found without comparing all pairs.
+"""Names of one entity brought together: normalised, found by an index of their rarest parts, compared by matching blocks.
 
 The ratio of two names is 2 M / (length a + length b), M being the characters in matching blocks: the longest common block, then the same on
-its left and right. Names of a ratio r differ by at most (1 - r)(length a + length b) insertions and deletions, as blocks are in order. A name cut into one
-part more than that has a part that stands unchanged in any name as near, at most so many places further. Names meet by such parts; the ratio decides.
+its left and right. So M is at most the longest common subsequence, and a ratio r leaves at most length - r (length a + length b) / 2 characters of a
+name unmatched. Each of these breaks two of its pairs of neighbouring characters, and each unmatched one of the other name one more; all other pairs are
+shared. Names of which T pairs at least are shared have one in common among the first n - T + 1 of each in any order of all pairs: the rarest
+come first. Where a low ratio leaves no pair for sure, single characters serve instead. Names meet once, at the first part they have in
+common; lengths, then the longest common subsequence, rule most out, and the ratio decides.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,37 +53,85 @@ def longest_partner(n: int, near: float) -> int:
     return math.floor(n * (2 - near) / near + 1e-9)
 
 
-def parts_of(length: int, near: float) -> list[tuple[int, int]]:
-    """Start and length of the parts of a stored name; so many that one stays whole in any name as near."""
-    count = min(length, math.floor((1 - near) * (length + longest_partner(length, near)) + 1e-9) + 1)
-    return [(i * length // count, (i + 1) * length // count - i * length // count) for i in range(count)]
-
-
-def stored_keys(name: str, near: float = NEAR) -> list[str]:
-    return [f"{len(name)}:{i}:{name[a : a + n]}" for i, (a, n) in enumerate(parts_of(len(name), near))]
-
-
-def asked_keys(name: str, near: float = NEAR) -> list[str]:
-    """All keys under which a stored name that is near enough can have been put."""
-    out = set()
-    for length in range(math.ceil(len(name) * near / (2 - near) - 1e-9), longest_partner(len(name), near) + 1):
-        moved = math.floor((1 - near) * (length + len(name)) + 1e-9)
-        for i, (at, n) in enumerate(parts_of(length, near)):
-            for a in range(max(0, at - moved), min(len(name) - n, at + moved) + 1):
-                out.add(f"{length}:{i}:{name[a : a + n]}")
-    return sorted(out)
+@cache
+def shared_parts(n: int, near: float, q: int) -> int:
+    """How many parts of q characters (1 or 2) of a name of n characters any name as near has too."""
+    least = n
+    for m in range(math.ceil(n * near / (2 - near) - 1e-9), longest_partner(n, near) + 1):
+        both = math.ceil(near * (n + m) / 2 - 1e-9)
+        least = min(least, n - q + 1 - q * (n - both) - (q - 1) * (m - both))
+    return least
+
+
+def part_size(near: float) -> int:
+    """Pairs of characters, where names of every length share one for sure, else single ones."""
+    return 2 if all(shared_parts(n, near, 2) > 0 for n in range(2, 300)) else 1
+
+
+def parts_of(name: str, q: int) -> list[str]:
+    """Parts of q characters, equal ones numbered."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(name) - q + 1):
+        part = name[i : i + q]
+        out.append(f"{seen[part]}{part}")
+        seen[part] += 1
+    return out
+
+
+def common_subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each two strings of at most 62 characters: one bit a character of `a`, all pairs at a time."""
+    width, n = -(-max(map(len, a), default=1) // 8) * 8, max(map(len, b), default=0)
+    left = np.frombuffer("".join(x.ljust(width, "\0") for x in a).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(a), width)
+    right = np.frombuffer("".join(x.ljust(n, "\1") for x in b).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(b), n).T.copy()
+    v, mask = np.full(len(a), (1 << 64) - 1, np.uint64), np.zeros((len(a), 8), np.uint8)
+    for c in right:
+        mask[:, : width // 8] = np.packbits(left == c[:, None], axis=1, bitorder="little")
+        met = v & mask.view(np.uint64).ravel()
+        v = (v + met) | (v - met)
+    return 64 - np.bitwise_count(v).astype(np.int64)
+
+
+def near_ratios(a: list[str], b: list[str], near: float) -> list[float | None]:
+    """Ratios of at least `near`; the longest common subsequence rules out most pairs of names of up to 62 characters."""
+    out: list[float | None] = [None] * len(a)
+    short = [i for i in range(len(a)) if len(a[i]) <= 62 and len(b[i]) <= 62]
+    tried = [i for i in range(len(a)) if len(a[i]) > 62 or len(b[i]) > 62]
+    if short:
+        common = common_subsequences([a[i] for i in short], [b[i] for i in short])
+        sizes = np.array([len(a[i]) + len(b[i]) for i in short])
+        tried += [short[i] for i in np.flatnonzero(2 * common >= near * sizes - 1e-9)]
+    for i in tried:
+        r = name_ratio(a[i], b[i])
+        if r >= near:
+            out[i] = r
+    return out
+
+
+def _rare_first(names: DataFrame, block: list[str], column: str, counts: DataFrame, near: float, q: int) -> DataFrame:
+    """(block..., column, part, before): the first parts of each name in the order of rarity, and those before each."""
+    parts = F.pandas_udf(lambda x: x.map(lambda n: parts_of(n, q)), "array<string>")
+    enough = F.pandas_udf(lambda x: x.map(lambda n: len(n) - q + 2 - shared_parts(len(n), near, q)), "int")
+    each = names.select(*block, column, F.explode(parts(column)).alias("p")).join(counts, "p", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p")))
+    first = each.groupBy(*block, column).agg(order.alias("o")).select(*block, column, F.transform(F.slice("o", F.lit(1), enough(column)), lambda x: F.xxhash64(x["p"])).alias("o"))
+    return first.select(*block, column, F.posexplode("o").alias("i", "part"), "o").select(*block, column, "part", F.expr("slice(o, 1, i)").alias("before"))
 
 
 def near_names(asked: DataFrame, stored: DataFrame, block: list[str], near: float = NEAR) -> DataFrame:
     """(block..., name, match, score): for each asked name without an equal stored one in its block the nearest stored name, if near enough; of
     equally near ones the least. Both have the columns of `block` and `name`; names are compared as they are."""
-    keys = lambda f: F.pandas_udf(lambda names: names.map(lambda x: f(x, near) if x else []), "array<string>")
+    q = part_size(near)
     known = stored.select(*block, "name").where(F.col("name") != "").distinct()
     new = asked.select(*block, "name").where(F.col("name") != "").distinct().join(known, [*block, "name"], "left_anti")
-    a = new.select(*block, "name", F.explode(keys(asked_keys)("name")).alias("_k"))
-    b = known.select(*block, F.col("name").alias("match"), F.explode(keys(stored_keys)("name")).alias("_k"))
-    pairs = a.join(b, [*block, "_k"]).select(*block, "name", "match").distinct()
-    scored = pairs.withColumn("score", ratio("name", "match")).where(F.col("score") >= near)
+    parts = F.pandas_udf(lambda x: x.map(lambda n: parts_of(n, q)), "array<string>")
+    counts = known.select(F.explode(parts("name")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    a = _rare_first(new, block, "name", counts, near, q).withColumnRenamed("before", "_a")
+    b = _rare_first(known.withColumnRenamed("name", "match"), block, "match", counts, near, q).withColumnRenamed("before", "_b")
+    n, m = F.length("name"), F.length("match")
+    pairs = a.join(b, [*block, "part"]).where(~F.arrays_overlap("_a", "_b") & (2 * F.least(n, m) >= near * (n + m) - 1e-9)).select(*block, "name", "match")
+    score = F.pandas_udf(lambda x, y: pd.Series(near_ratios(x.tolist(), y.tolist(), near), dtype="float64"), "double")
+    scored = pairs.withColumn("score", score("name", "match")).where(F.col("score") >= near)
     best = scored.groupBy(*block, "name").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
     return best.select(*block, "name", F.col("b.match").alias("match"), F.round(-F.col("b.s"), 6).alias("score"))
 
@@ -101,13 +155,9 @@ def _title_scores(titles: list[str], least: float):
     @F.pandas_udf("array<struct<t:string,score:double>>")
     def scores(documents: pd.Series) -> pd.Series:
         def one(x: str) -> list[dict]:
-            got = []
-            for t in titles:
-                if t in x or x in t:
-                    got.append({"t": t, "score": 0.9})
-                elif 2 * min(len(t), len(x)) >= least * (len(t) + len(x)) and (s := name_ratio(t, x)) >= least:
-                    got.append({"t": t, "score": s})
-            return got
+            got = [{"t": t, "score": 0.9} for t in titles if t in x or x in t]
+            rest = [t for t in titles if t not in x and x not in t and 2 * min(len(t), len(x)) >= least * (len(t) + len(x))]
+            return got + [{"t": t, "score": s} for t, s in zip(rest, near_ratios(rest, [x] * len(rest), least), strict=True) if s is not None]
 
         return documents.map(one)
 

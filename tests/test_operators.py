@@ -76,6 +76,27 @@ def test_near_names_equal_all_pairs(spark):
             if -best[0] >= 0.85:
                 want.add((o, n, best[1], round(-best[0], 6)))
     assert set(rows(R.near_names(frame(asked), frame(stored), ["owner"]))) == want and len(want) > 20
+    assert (R.part_size(0.85), R.part_size(0.6)) == (2, 1)
+    low = {(min((-SequenceMatcher(None, n, k).ratio(), k) for k in {k for i, k in enumerate(stored) if i % 2 == o}), o, n) for o, n, *_ in want}
+    got = {(o, n): (m, s) for o, n, m, s in rows(R.near_names(frame(asked), frame(stored), ["owner"], 0.6))}
+    assert len(got) >= len(want) and all(got[o, n] == (k, round(-s, 6)) for (s, k), o, n in low)
+
+
+def test_common_subsequences_bound_the_ratio():
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 62)))
+    a, b = [word() for _ in range(200)], [word() for _ in range(200)]
+
+    def longest(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = row[:]
+            for j, d in enumerate(y):
+                row[j + 1] = before[j] + 1 if c == d else max(row[j], before[j + 1])
+        return row[-1]
+
+    assert R.common_subsequences(a, b).tolist() == [longest(x, y) for x, y in zip(a, b, strict=True)]
+    assert R.near_ratios(a + ["x" * 100], b + ["x" * 99 + "y"], 0.5) == [r if (r := R.name_ratio(x, y)) >= 0.5 else None for x, y in zip(a + ["x" * 100], b + ["x" * 99 + "y"], strict=True)]
 
 
 def test_names_and_titles(spark):
