@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -95,6 +97,28 @@ def map_rows(df: DataFrame, columns: list[str], work: Callable[[Iterator[list]],
     return df.select(*columns).mapInArrow(run, fields)
 
 
+_LONG_REFERENCE = re.compile(r"&#0*([0-9]+)")
+
+
+class LenientParser(HTMLParser):
+    """The standard parser, which reads on where that one gives up: a marked section of an unknown kind is a comment up to the next `>`, and a
+    character reference of many digits is what any number beyond the last character is."""
+
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except (AssertionError, ValueError):
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+
+    def read(self, html: str) -> None:
+        """A whole page."""
+        if "&#" in html:
+            html = _LONG_REFERENCE.sub(lambda m: "&#" + (m[1] if len(m[1]) < 8 else "9999999"), html)
+        self.feed(html)
+        self.close()
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus` (the fixed folds of the contracts). A null id falls into bucket of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import map_rows, read
+from tessella.llm.common import LenientParser, map_rows, read
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source audio video".split())
@@ -56,32 +56,34 @@ def _named(value: str, inside: bool) -> bool:
     return False
 
 
-class LineParser(HTMLParser):
-    """Lines as (text, tags, regions, containers): `regions` are the open article and main elements, `containers` these and all other
-    containers, outermost first."""
+class LineParser(LenientParser):
+    """Lines as (text, tags, container): the innermost open container. Containers are numbered as they open, 0 being the page; `parents` holds the container
+    around each, `regions` whether it is an article or main element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, str]] = []  # element and what it does: "" nothing, "x" drop, "r" region, "c" other container
-        self.off, self.regions, self.containers, self.container_count = 0, (), (), 0
+        self.open: Counter = Counter()
+        self.off, self.container, self.open_regions = 0, 0, 0
+        self.parents, self.regions = [0], [False]
         self.parts: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.regions, self.containers))
+            self.lines.append((text, self.tags, self.container))
         self.parts, self.tags = [], 0
 
     def kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if tag in DROPPED or tag in BOILERPLATE:
             return "x"
-        if tag == "header" and not self.regions:
+        if tag == "header" and not self.open_regions:
             return "x"
         if tag not in ("body", "html"):
             for k, v in attrs:
-                if v and (k == "role" and v.lower() in ROLES or k in ("class", "id") and tag in NAMED and _named(v, bool(self.regions)) or k == "hidden" or k == "aria-hidden" and v == "true"):
+                if k == "hidden" or v and (k == "role" and v.lower() in ROLES or k in ("class", "id") and tag in NAMED and _named(v, self.open_regions > 0) or k == "aria-hidden" and v == "true"):
                     return "x"
                 if v and tag in REGIONS and k in ("class", "id") and any(n in ("comment", "comments", "related", "ad", "advert", "sponsored", "promo", "teaser", "reply") for n in _SPLIT.split(v.lower())):
                     return "x"
@@ -107,11 +109,12 @@ class LineParser(HTMLParser):
                 self.parts.append(" ")
             self.off += 1
         elif what:
-            self.container_count += 1
-            self.containers += (self.container_count,)
-            if what == "r":
-                self.regions += (self.container_count,)
+            self.parents.append(self.container)
+            self.regions.append(what == "r")
+            self.container = len(self.parents) - 1
+            self.open_regions += what == "r"
         self.stack.append((tag, what))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -120,30 +123,35 @@ class LineParser(HTMLParser):
 
     def close_to(self, tag: str, within: frozenset[str] = frozenset()) -> None:
         """Close the innermost open `tag`, if it is open; with `within`, only through elements that aren't in it."""
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 break
             if self.stack[i][0] in within:
                 return
-        else:
-            return
         self.flush()
-        for _, what in self.stack[i:]:
+        self.drop(i)
+
+    def drop(self, i: int) -> None:
+        """Close the elements from the i-th open one on."""
+        for tag, what in reversed(self.stack[i:]):
+            self.open[tag] -= 1
             self.off -= what == "x"
             if what in ("r", "c"):
-                self.containers = self.containers[:-1]
-            if what == "r":
-                self.regions = self.regions[:-1]
+                self.container = self.parents[self.container]
+            self.open_regions -= what == "r"
         del self.stack[i:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
             self.tags += not self.off
+            if not self.open[tag]:
+                return
             for i in range(len(self.stack) - 1, -1, -1):  # an inline element closes only what it opened inside the same block
                 if self.stack[i][0] == tag:
                     if all(t in INLINE for t, _ in self.stack[i:]):
-                        self.off -= sum(w == "x" for _, w in self.stack[i:])
-                        del self.stack[i:]
+                        self.drop(i)
                     return
                 if self.stack[i][0] not in INLINE:
                     return
@@ -175,37 +183,32 @@ def main_lines(html: str, sigma: float = 1.0, share: float = 0.6, nearly_all: fl
     """The content lines of a page. `share`: how much of the content cluster an article or main element must hold to be chosen over what is
     around it; `nearly_all`: the same of other containers, which may be parts of the content as well as its whole."""
     parser = LineParser()
-    parser.feed(html)
-    parser.close()
-    lines = parser.lines
+    parser.read(html)
+    lines, parents = parser.lines, parser.parents
     if not lines:
         return []
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], sigma)
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
     mean = sum(ratios) / len(ratios)
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     threshold = min(spread, max(ratios))
     cluster = [r >= threshold for r in ratios]
-    held: dict[int, int] = {}
-    own: set[int] = set()
-    total = 0
-    for (text, _, regions, containers), content in zip(lines, cluster, strict=True):
-        if content:
-            total += len(text)
-            own.update(regions)
-            for c in containers:
-                held[c] = held.get(c, 0) + len(text)
-    inner = [r for r in own if held[r] >= share * total]
-    if inner:
-        region = max(inner)  # numbered as they open: the innermost of those that hold most of the cluster
-        return [text for text, _, regions, _ in lines if region in regions]
-    region = max((c for c, n in held.items() if n >= nearly_all * total), default=0)
-    places: dict[tuple[int, ...], int] = {}
-    for (text, _, _, containers), content in zip(lines, cluster, strict=True):
-        places[containers[-1:]] = places.get(containers[-1:], 0) + (len(text) if content else -len(text))
+    held, own = [0] * len(parents), [0] * len(parents)
+    for (text, _, place), content in zip(lines, cluster, strict=True):
+        held[place] += len(text) if content else 0
+        own[place] += len(text) if content else -len(text)
+    for c in range(len(parents) - 1, 0, -1):  # what is inside has greater numbers
+        held[parents[c]] += held[c]
+    total = held[0]
+    region = max((c for c, r in enumerate(parser.regions) if r and 0 < held[c] >= share * total), default=0)  # the innermost of those that hold most of the cluster
+    chosen = region or max((c for c in range(1, len(parents)) if 0 < held[c] >= nearly_all * total), default=0)
+    inside = [not chosen] * len(parents)
+    for c in range(1, len(parents)):
+        inside[c] = c == chosen or inside[parents[c]]
+    if region:
+        return [text for text, _, place in lines if inside[place]]
     out = []
-    for (text, tags, _, containers), content in zip(lines, cluster, strict=True):
-        alone = content and len(text) / max(1, tags) >= threshold
-        if (not region or region in containers) and (alone or places[containers[-1:]] >= 0):
+    for (text, tags, place), content in zip(lines, cluster, strict=True):
+        if inside[place] and (content and len(text) / max(1, tags) >= threshold or own[place] >= 0):
             out.append(text)
     return out
 

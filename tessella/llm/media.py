@@ -5,7 +5,7 @@ references with digest and caption. Payloads are stored once per digest in a med
 samples a row, and references are resolved by a join on the digest. What is computed from a payload is computed once
 per stored payload from the bytes read back, before the join, so a payload with many references is neither copied nor decoded again.
 
-Null text or html: empty. An empty payload is padded to 64 zero bytes. A reference without stored payload keeps its place with null media columns.
+Null text or html: empty. Broken markup is read as far as the parser gets; a size that is no whole number of at most 18 digits is null. An empty payload is padded to 64 zero bytes. A reference without stored payload keeps its place with null media columns.
 Equal payloads share one stored form. A text of any length is one payload, stored and described whole. Repeated rows stay; extra columns
 are ignored; empty tables give no rows.
 """
@@ -16,13 +16,12 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, read, table
+from tessella.llm.common import LenientParser, map_rows, read, table
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -80,7 +79,7 @@ def feature(samples: bytes) -> str:
     return f"{WIDTH}x{len(a) // WIDTH};mean={mean:.4f};sd={max(0.0, squares / len(a) - mean * mean) ** 0.5:.4f};levels={'.'.join(map(str, levels.tolist()))};columns={bits:016x}"
 
 
-class SequenceParser(HTMLParser):
+class SequenceParser(LenientParser):
     """Items (kind, text, digest, caption, n_bytes) in page order."""
 
     def __init__(self) -> None:
@@ -106,7 +105,7 @@ class SequenceParser(HTMLParser):
         elif tag in MEDIA_TAGS and a.get("src"):
             self.flush()
             src, n = a["src"], a.get("data-bytes") or ""
-            self.items.append(["media", None, src.removeprefix("sha256:"), a.get("alt"), int(n) if n.isdigit() else None])
+            self.items.append(["media", None, src.removeprefix("sha256:"), a.get("alt"), int(n) if n.isascii() and n.isdecimal() and len(n) < 19 else None])
         elif tag == "figcaption":
             self.flush()
             self.in_caption = True
@@ -133,8 +132,7 @@ class SequenceParser(HTMLParser):
 
 def sequence(html: str | None) -> list[list]:
     p = SequenceParser()
-    p.feed(html or "")
-    p.close()
+    p.read(html or "")
     p.flush()
     return p.items
 
