@@ -8,7 +8,7 @@ are the next filter. What a mark or filter lets through in error is counted exac
 Then phrases of all lengths are counted in one pass. A task counts in HAT-tries: inner nodes by word id, at most two deep, and below them hash
 containers of the remaining ids, which burst into a node when they grow. When a trie is full, its largest subtrees are given out whole, each in the
 order of its keys, and freed. These sorted runs are dealt by prefix (all words of a phrase but the last), so that a frequent first word alone is
-no hot partition, and equal phrases are added up within their partition. Each language has word ids of its own.
+no hot partition, and those of a prefix partition are merged, some at a time. Each language has word ids of its own.
 
 Ids are 64-bit hashes of language and word. Scores are whole numbers from decimals of 38 digits, which hold 1000 a n up to 10^38. A null text is empty, a null language
 `und`; punctuation alone has no words, texts of any length are read in segments, within which no phrase is lost or counted twice. Repeated rows
@@ -314,20 +314,30 @@ def frequent_marks(corpus: DataFrame, k: int, shorter: np.ndarray | None, least:
     return map_rows(sent_runs.repartition(pieces, "i").sortWithinPartitions("i"), ["i", "n", "marks", "counts"], merge, "u long")
 
 
-def phrase_counts(corpus: DataFrame, frequent: list[np.ndarray], least: int) -> DataFrame:
+def _distinct(keys: list[bytes], counts: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases, as big-endian ids, each once and in order, with the sums of their counts."""
+    rows, where = np.unique(np.frombuffer(b"".join(keys), f"S{8 * k}"), return_inverse=True)
+    return rows, np.bincount(where, np.concatenate(counts), len(rows)).astype(np.int64)
+
+
+def phrase_counts(corpus: DataFrame, frequent: list[np.ndarray], least: int, pieces: int) -> DataFrame:
     """(ids, a) of all phrases of two words or more with a >= least. frequent: the filter of each length, from two on."""
     sent = corpus.sparkSession.sparkContext.broadcast(frequent)
-    words = [f"w{i}" for i in range(LONGEST)]
 
     def work(batches: Iterator[list]):
         tries = {k: HatTrie(k, FULL // len(sent.value)) for k in range(2, len(sent.value) + 2)}
+        squeeze = zstandard.ZstdCompressor(1).compress
 
         def given(k: int, to: int):
             for *ids, c in tries[k].spilled(to):
-                prefix = np.zeros(len(c), np.uint64)
+                prefix, keys = np.zeros(len(c), np.uint64), np.stack(ids, 1).astype(">u8")
                 for w in ids[:-1]:
                     prefix = mixed(prefix ^ w.view(np.uint64))
-                yield [prefix.view(np.int64), *ids, *(np.zeros(len(c), np.int64) for _ in range(LONGEST - k)), c]
+                piece = (prefix % np.uint64(pieces)).astype(np.int64)
+                order = np.argsort(piece, kind="stable")
+                cuts = np.flatnonzero(np.diff(piece[order], prepend=-1, append=pieces))
+                runs = [(int(piece[order[a]]), order[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield [[p for p, _ in runs], [k] * len(runs), [squeeze(keys[at].tobytes()) for _, at in runs], [squeeze(c[at].astype("<i8").tobytes()) for _, at in runs]]
 
         for v, fresh in _parts(batches, 2):
             p, at = _starts(v, 2, None)
@@ -345,9 +355,25 @@ def phrase_counts(corpus: DataFrame, frequent: list[np.ndarray], least: int) ->
         for k in tries:
             yield from given(k, 0)
 
-    runs = map_rows(corpus, ["skip", "ids"], work, "prefix long, " + ", ".join(f"{w} long" for w in words) + ", c long", arrow=True)
-    sums = runs.repartition("prefix").groupBy("prefix", *words).agg(F.sum("c").alias("a")).where(F.col("a") >= least)
-    return sums.select(F.filter(F.array(*words), lambda w: w != 0).alias("ids"), "a")
+    def merge(batches: Iterator[list[list]]):
+        expand = zstandard.ZstdDecompressor().decompress
+        rows = (r for cols in batches for r in zip(*cols, strict=True))
+        for (_, k), group in groupby(rows, key=lambda r: (r[0], r[1])):
+            keys, counts, size = [], [], 0
+            for _, _, some, c in group:
+                keys.append(expand(some))
+                counts.append(np.frombuffer(expand(c), "<i8"))
+                size += len(counts[-1])
+                if size > RUN:  # what is there is added up before more runs are taken
+                    ids, sums = _distinct(keys, counts, k)
+                    keys, counts, size = [ids.tobytes()], [sums], 0
+            ids, sums = _distinct(keys, counts, k)
+            good = np.frombuffer(ids.tobytes(), ">u8").reshape(-1, k)[sums >= least].astype(np.uint64).view(np.int64)
+            offsets = np.arange(len(good) + 1, dtype=np.int32) * k
+            yield [pa.ListArray.from_arrays(pa.array(offsets), pa.array(good.ravel())), sums[sums >= least]]
+
+    runs = map_rows(corpus, ["skip", "ids"], work, "piece int, k int, ids binary, counts binary", arrow=True)
+    return map_rows(runs.repartition(pieces, "piece").sortWithinPartitions("piece", "k"), ["piece", "k", "ids", "counts"], merge, "ids array<long>, a long")
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
@@ -387,10 +413,10 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     texts = _by_language(df, text, lang)
     words = table(word_counts(texts, least), "collocation-words")
     corpus = table(encoded(texts, filter_of(words.where("id IS NOT NULL"), "id")), "collocation-corpus")
-    frequent: list[np.ndarray] = []
+    frequent, pieces = [], pieces_for(corpus)
     for k in range(2, longest + 1):
-        frequent.append(filter_of(frequent_marks(corpus, k, frequent[-1] if frequent else None, least, pieces_for(corpus)), "u"))
-    phrases = table(phrase_counts(corpus, frequent, least), "collocation-phrases")
+        frequent.append(filter_of(frequent_marks(corpus, k, frequent[-1] if frequent else None, least, pieces), "u"))
+    phrases = table(phrase_counts(corpus, frequent, least, pieces), "collocation-phrases")
     drop_table(corpus)
     return best_by_language(without_parts(scored(phrases, words)), words, top)
 
