@@ -50,8 +50,8 @@ def clashing(df):
     return df
 
 
-def test_queries_name_all_ten():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+def test_queries_name_all_thirteen():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_media(spark, docs):
@@ -571,7 +571,7 @@ def test_html_of_given_pages(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_on_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == (name == "op9_chat_formatting")
 
@@ -726,7 +726,7 @@ def test_shared_folder_must_be_named_on_a_cluster():
         shared_dir(cluster)
 
 
-@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_sharding", "op6_benchmark_decontamination", "op9_chat_formatting"])
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_sharding", "op6_benchmark_decontamination", "op9_chat_formatting", "op12_substring_dedup", "op13_phrase_collocations"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
