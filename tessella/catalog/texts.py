@@ -54,6 +54,22 @@ def paragraph_packs(spark, d):
     return _chunked(docs, "paragraph")
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query()
+def token_chunks(spark, d, vocabulary=None):
+    """Sentences packed up to 256 subword tokens, with an overlap of 32; tests compare the counts with encoding each chunk again."""
+    out = G.chunks(spread(load(spark, d, "documents")), "doc_id", "text", bounds=G.file_bounds(vocabulary or default_vocabulary(), 256, 32, 16))
+    return out.select("doc_id", "chunk_index", "content", "token_count")
+
+
 @query()
 def coherence_chunks(spark, d):
     """Sentences of each conversation turn grouped by coherence, with hashed words for an embedding; tests compare it with a version by hand."""

@@ -75,11 +75,13 @@ def page_links(links: Column) -> Column:
 
 
 def mentions(df: DataFrame, key: str, text: str, extra: list[Column] = ()) -> DataFrame:
-    """(key, position, rule, kind, name, normalized, confidence) in the order of rules; a deadline that is among the dates already is left out."""
+    """(key, position, rule, kind, name, normalized, confidence) in the order of rules; a date that the text names twice counts once. Each text is read
+    once by each rule, and nothing is exchanged."""
     found = F.concat(*(_names(F.col(text), r) for r in RULES), *extra)
-    rows = df.select(key, F.posexplode(found).alias("position", "m")).select(key, "position", "m.*").withColumn("normalized", squeezed(F.col("name")))
-    dates = rows.where("kind = 'date_ref'").groupBy(key, "normalized").agg(F.min("position").alias("position"))
-    return rows.where("kind != 'date_ref'").unionByName(rows.where("kind = 'date_ref'").join(dates, [key, "normalized", "position"], "left_semi").select(rows.columns))
+    rows = df.select(key, F.transform(found, lambda x: x.withField("normalized", squeezed(x["name"]))).alias("_m"))
+    rows = rows.withColumn("_dates", F.transform("_m", lambda x: F.when(x["kind"] == "date_ref", x["normalized"])))
+    once = F.filter("_m", lambda x, i: (x["kind"] != "date_ref") | (F.array_position("_dates", x["normalized"]) == i + 1))
+    return rows.select(key, F.posexplode(once).alias("position", "m")).select(key, "position", "m.rule", "m.kind", "m.name", "m.normalized", "m.confidence")
 
 
 def entities(mentions: DataFrame, key: str) -> DataFrame:

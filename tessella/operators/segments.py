@@ -10,6 +10,7 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +48,33 @@ class Bounds:
         return len(self.encode(text))
 
 
+class FileTokenizer:
+    """A tokenizer of the tokenizers library by its file, which every machine that runs tasks must have; each worker opens it once."""
+
+    _open: dict[str, object] = {}
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def _tokenizer(self):
+        if self.path not in self._open:
+            from tokenizers import Tokenizer
+
+            self._open[self.path] = Tokenizer.from_file(self.path)
+        return self._open[self.path]
+
+    def encode(self, text: str) -> list[int]:
+        return self._tokenizer().encode(text, add_special_tokens=False).ids
+
+    def decode(self, ids: list[int]) -> str:
+        return self._tokenizer().decode(ids)
+
+
+def file_bounds(path: str, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, least: int = MIN_TOKENS) -> Bounds:
+    t = FileTokenizer(path)
+    return Bounds(most, overlap, least, t.encode, t.decode)
+
+
 def windows(text: str, b: Bounds, step: int | None = None) -> list[tuple[str, int]]:
     """Windows of `most` tokens, each `step` further, until one reaches the end."""
     tokens = b.encode(text)
@@ -59,18 +87,23 @@ def windows(text: str, b: Bounds, step: int | None = None) -> list[tuple[str, in
 
 def packed(segments: list[str], joiner: str, b: Bounds) -> list[tuple[str, int]]:
     """Runs of segments that fit, each begun with the last segments of the run before that fit into the overlap. A segment that alone is too
-    long is cut into windows."""
-    sizes, out, at = [b.count(s) for s in segments], [], 0
+    long is cut into windows. Each segment is encoded alone and once with the next, which tells what joining two adds or saves; sums of
+    both give the tokens of any run, so that neither packing nor overlaps encode again."""
+    sizes = [b.count(s) for s in segments]
+    joins = [b.count(x + joiner + y) - n - m for x, y, n, m in zip(segments, segments[1:], sizes, sizes[1:])]
+    until = list(accumulate(sizes, initial=0))
+    joined = list(accumulate(joins, initial=0))
+    tokens = lambda a, z: until[z] - until[a] + joined[z - 1] - joined[a]
+    out, at = [], 0
     while at < len(segments):
         end = at + 1
-        while end < len(segments) and b.count(joiner.join(segments[at : end + 1])) <= b.most:
+        while end < len(segments) and tokens(at, end + 1) <= b.most:
             end += 1
         if end == at + 1 and sizes[at] > b.most:
             out += windows(segments[at], b)
             at = end
             continue
-        whole = joiner.join(segments[at:end])
-        out.append((whole, b.count(whole)))
+        out.append((joiner.join(segments[at:end]), tokens(at, end)))
         if end == len(segments):
             break
         back, held = end, 0

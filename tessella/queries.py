@@ -480,4 +480,4 @@ def weekly_load(spark, d):
     return seen.groupBy("event_type").agg(F.round(F.count(F.lit(1)) / (30 / 7.0), 1).alias("per_week"))
 
 
-from tessella.catalog import contexts, entities, feeds, knowledge, operations, retrieval, texts  # noqa: E402, F401  they register their queries
+from tessella.catalog import answers, contexts, entities, feeds, knowledge, operations, retrieval, texts  # noqa: E402, F401  they register their queries
