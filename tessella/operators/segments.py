@@ -36,13 +36,15 @@ def join_tokens(tokens: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Bounds:
-    """Token bounds, and how tokens are made and joined. A subword tokenizer is given by its two functions."""
+    """Token bounds, and how tokens are made and joined. A subword tokenizer is given by its functions; with `places`, the characters from and to
+    which each token stands for, windows are cut from the text itself instead of being decoded."""
 
     most: int = MAX_TOKENS
     overlap: int = OVERLAP_TOKENS
     least: int = MIN_TOKENS
     encode: Encode = blank_tokens
     decode: Decode = join_tokens
+    places: Callable[[str], list[tuple[int, int]]] | None = None
 
     def count(self, text: str) -> int:
         return len(self.encode(text))
@@ -69,10 +71,13 @@ class FileTokenizer:
     def decode(self, ids: list[int]) -> str:
         return self._tokenizer().decode(ids)
 
+    def places(self, text: str) -> list[tuple[int, int]]:
+        return self._tokenizer().encode(text, add_special_tokens=False).offsets
+
 
 def file_bounds(path: str, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, least: int = MIN_TOKENS) -> Bounds:
     t = FileTokenizer(path)
-    return Bounds(most, overlap, least, t.encode, t.decode)
+    return Bounds(most, overlap, least, t.encode, t.decode, t.places)
 
 
 def windows(text: str, b: Bounds, step: int | None = None) -> list[tuple[str, int]]:
@@ -82,6 +87,9 @@ def windows(text: str, b: Bounds, step: int | None = None) -> list[tuple[str, in
         return [(text, len(tokens))]
     step = max(1, step or b.most - b.overlap)
     starts = range(0, max(1, math.ceil((len(tokens) - b.most) / step) + 1) * step, step)
+    if b.places:
+        at = b.places(text)
+        return [(text[at[s][0] : at[min(s + b.most, len(at)) - 1][1]], min(b.most, len(at) - s)) for s in starts]
     return [(b.decode(tokens[s : s + b.most]), len(tokens[s : s + b.most])) for s in starts]
 
 

@@ -16,13 +16,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse; on one machine without the former a folder of its
-    own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local["):
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a session on one machine may lack it (tests): it gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="spark-shared-")
         _OWN[spark.sparkContext.applicationId] = root
-    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    return root.rstrip("/")
 
 
 def spread(df: DataFrame) -> DataFrame:
