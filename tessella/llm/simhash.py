@@ -24,6 +24,7 @@ Texts of any length are hashed in parts. Repeated rows stay. Extra columns are i
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
@@ -39,6 +40,8 @@ DISTANCE, SHINGLE, CELL_LIMIT = 3, 3, 4096
 CROWD, NEIGHBOURS, SAMPLE, SHARE, COMMON, BROADCAST_IDS = 4, (1, 4, 64, None), 5_000, 8, 500_000, 1_000_000
 FIRST_ID = -(1 << 63)
 BLOCKS = (5, 5, 5, 5, 4, 4, 4)
+SEGMENT = 1 << 20
+_BLANK = re.compile(rb"[\x09-\x0D\x20]")
 
 
 def _signed(x: int) -> int:
@@ -46,17 +49,25 @@ def _signed(x: int) -> int:
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
-    """XXH64 of every shingle, repeats included, in parts of 65 536."""
-    words = (text or b"").translate(ASCII_LOWER).split()
-    if not words:
-        return
-    k, data = min(shingle, len(words)), b" ".join(words)
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    """XXH64 of every shingle, repeats included, in parts of some SEGMENT bytes of text, of which each takes up the last words of the one before."""
+    data, at, words, short = text or b"", 0, [], True
+    while at < len(data):
+        blank = _BLANK.search(data, at + SEGMENT) if at + SEGMENT < len(data) else None
+        end = blank.start() if blank else len(data)
+        words += data[at:end].translate(ASCII_LOWER).split()
+        at = end
+        if len(words) >= shingle:
+            yield _hashed(words, shingle)
+            words, short = words[len(words) - shingle + 1 :], False
+    if words and short:
+        yield _hashed(words, len(words))
+
+
+def _hashed(words: list[bytes], k: int) -> np.ndarray:
+    data, ends = b" ".join(words), [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    spans = list(zip(starts[: len(words) - k + 1], ends[k - 1 :], strict=True))
-    for at in range(0, len(spans), 1 << 16):
-        yield np.array([digest(data[a:z], 42) for a, z in spans[at : at + (1 << 16)]], "<u8")
+    return np.array([digest(data[a:z], 42) for a, z in zip(starts[: len(words) - k + 1], ends[k - 1 :], strict=True)], "<u8")
 
 
 def _majority(parts: Iterable[np.ndarray]) -> int:

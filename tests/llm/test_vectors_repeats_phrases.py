@@ -206,3 +206,24 @@ def test_without_article_the_ratio_finds_the_same_text(spark):
         for tag in ("article", "main"):
             other = other.replace(f"<{tag}", "<div").replace(f"</{tag}", "</div")
         assert main_text(other) == main_text(page)
+
+
+def test_shingles_of_long_texts_take_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    from tessella.llm import simhash as H
+
+    long = b" ".join(b"w%d" % (i % 5000) for i in range(1_500_000))
+    tracemalloc.start()
+    whole = H.fingerprint(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000
+    monkeypatch.setattr(H, "SEGMENT", 70_000)
+    assert H.fingerprint(long) == whole
+    words = b"A b C d e f g".split()
+    for k in (1, 3, 7, 9):
+        monkeypatch.setattr(H, "SEGMENT", 3)
+        few = np.concatenate(list(H.shingle_hashes(b" ".join(words), k)))
+        monkeypatch.setattr(H, "SEGMENT", 1 << 20)
+        assert (few == np.concatenate(list(H.shingle_hashes(b" ".join(words), k)))).all() and len(few) == max(1, len(words) - k + 1)
