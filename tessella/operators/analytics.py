@@ -54,6 +54,20 @@ def budget_prefix(df: DataFrame, by: str, order: str, tokens: str, budget: int,
     return near.withColumn("running_tokens", running).where(F.col("running_tokens") <= budget).drop("_r", "_before")
 
 
+def ranked_by_range(df: DataFrame, by: str, order: str, out: str, range_rows: int = 4096) -> DataFrame:
+    """0-based place `out` of each row in its group, in order of a number (nulls first), without a task that reads a whole group: rows are counted by ranges of
+    the order, sums over these few counts say where a range begins, and rows are numbered within ranges only."""
+    least, most, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    width = max(1, math.ceil(((most or 0) - (least or 0) + 1) * range_rows / max(1, n)))
+    ranged = df.withColumn("_r", F.coalesce(F.floor((F.col(order) - F.lit(least or 0)) / width), F.lit(-1)))
+    counts = ranged.groupBy(by, "_r").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(by).alias("_by"), F.col("_r").alias("_range"), before.alias("_before"))
+    near = ranged.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_range")))
+    inside = F.row_number().over(Window.partitionBy(by, "_r").orderBy(order)) - 1
+    return near.withColumn(out, (F.col("_before") + inside).cast("long")).drop("_r", "_before", "_by", "_range")
+
+
 def within_seconds(df: DataFrame, by: str, at: str, seconds: int) -> Column:
     """Rows of the group in the last `seconds` up to each row, itself included."""
     return F.count(F.lit(1)).over(Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
+from tessella.operators.analytics import ranked_by_range
+
 
 def fixed_windows(df: DataFrame, key: str, text: str, most: int = 512, overlap: int = 64) -> DataFrame:
     """Windows of `most` blank-separated tokens that slide by `most - overlap` until one reaches the end: (key, chunk_index, n_tokens, chunk)."""
@@ -22,13 +24,21 @@ def sentences(df: DataFrame, key: str, text: str, least: int = 10) -> DataFrame:
     return df.select(key, F.posexplode(parts).alias("position", "sentence"))
 
 
-def coherence_breaks(df: DataFrame, by: str, order: str, vector: str, sensitivity: float = 1.0) -> DataFrame:
-    """Positions where the similarity to the vector before is below both its neighbours and below mean - sensitivity x deviation."""
-    w, whole = Window.partitionBy(by).orderBy(order), Window.partitionBy(by)
-    sims = df.withColumn("_before", F.lag(vector).over(w)).where(F.col("_before").isNotNull()).select(by, order, F.round(C.cosine(F.col(vector), F.col("_before")), 6).alias("similarity"))
-    low = F.avg("similarity").over(whole) - sensitivity * F.coalesce(F.stddev_samp("similarity").over(whole), F.lit(0.0))
-    marked = sims.withColumn("_l", F.lag("similarity").over(w)).withColumn("_r", F.lead("similarity").over(w)).withColumn("_t", low)
-    return marked.where((F.col("similarity") < F.col("_l")) & (F.col("similarity") < F.col("_r")) & (F.col("similarity") < F.col("_t"))).select(by, order, "similarity")
+def coherence_breaks(df: DataFrame, by: str, order: str, vector: str, sensitivity: float = 1.0, part: int = 4096) -> DataFrame:
+    """Positions where the similarity to the vector before is below both its neighbours and below mean - sensitivity x deviation. A group is read in parts of
+    `part` rows in order of a number; each part also has the two rows before it and the one after it."""
+    ranked = ranked_by_range(df.select(by, order, vector), by, order, "_n")
+    own, at = F.floor(F.col("_n") / part), F.pmod("_n", F.lit(part))
+    parts = F.array(F.struct(own.alias("part"), F.lit(True).alias("own")), F.struct((own + 1).alias("part"), F.lit(False).alias("own")), F.struct((own - 1).alias("part"), F.lit(False).alias("own")))
+    lent = F.filter(F.transform(parts, lambda p, i: F.when((i == 0) | ((i == 1) & (at >= part - 2)) | ((i == 2) & (at == 0)), p)), lambda p: p.isNotNull())
+    rows = ranked.withColumn("_p", F.explode(lent)).select(by, order, vector, "_n", "_p.part", "_p.own")
+    w = Window.partitionBy(by, "part").orderBy("_n")
+    sims = rows.withColumn("_before", F.lag(vector).over(w)).where(F.col("_before").isNotNull())
+    sims = sims.select(by, order, "part", "own", "_n", F.round(C.cosine(F.col(vector), F.col("_before")), 6).alias("similarity"))
+    low = F.avg("similarity") - sensitivity * F.coalesce(F.stddev_samp("similarity"), F.lit(0.0))
+    limits = sims.where("own").groupBy(F.col(by).alias("_by")).agg(low.alias("_t"))
+    marked = sims.withColumn("_l", F.lag("similarity").over(w)).withColumn("_r", F.lead("similarity").over(w)).join(limits, F.col(by).eqNullSafe(F.col("_by")))
+    return marked.where(F.col("own") & (F.col("similarity") < F.col("_l")) & (F.col("similarity") < F.col("_r")) & (F.col("similarity") < F.col("_t"))).select(by, order, "similarity")
 
 
 def theme_shifts(df: DataFrame, theme: str, at: str, middle: Column) -> DataFrame:

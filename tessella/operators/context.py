@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.analytics import ranked_by_range
+
 
 def placed(df: DataFrame, owner: str, order: str) -> DataFrame:
-    """0-based position of each row among its owner's."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(owner).orderBy(order)) - 1)
+    """0-based position of each row among its owner's, in order of a number."""
+    return ranked_by_range(df, owner, order, "position").withColumn("position", F.col("position").cast("int"))
 
 
 def first_items(items: DataFrame, owner: str, most: int | None) -> DataFrame:

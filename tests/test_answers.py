@@ -94,3 +94,16 @@ def test_shared_folder_must_be_named_on_a_cluster():
     cluster = N_(conf=N_(get=lambda *_: None), sparkContext=N_(getCheckpointDir=lambda: None, master="spark://host:7077", applicationId="a"))
     with pytest.raises(RuntimeError):
         tables.shared_dir(cluster)
+
+
+def test_breaks_are_the_same_whatever_the_parts(spark):
+    from tessella.operators import analytics as Y
+    from tessella.operators import chunking as K
+
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(i % 2 if i % 9 else None, i * i, [rnd.random() + 0.1, rnd.random()]) for i in range(120)], "g int, o long, v array<double>")
+    whole = rows(K.coherence_breaks(df, "g", "o", "v", 0.3))
+    assert len(whole) > 5 and all(rows(K.coherence_breaks(df, "g", "o", "v", 0.3, part)) == whole for part in (2, 3, 7))
+    places = Y.ranked_by_range(df, "g", "o", "n", 3)
+    for g in (0, 1, None):
+        assert [r.n for r in places.where(F.col("g").eqNullSafe(g)).orderBy("o").collect()] == list(range(df.where(F.col("g").eqNullSafe(g)).count()))
