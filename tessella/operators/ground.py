@@ -15,15 +15,35 @@ def statements(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) == "", F.array(F.lit(""))).when(whole(x), F.array(x)).otherwise(cut(x))))
 
 
+def _grams(text: Column, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
+
+
+def containing(parts: DataFrame, wholes: DataFrame, by: str) -> DataFrame:
+    """(by, t, w): each part (by, t) with the wholes (by, w) of its group that contain it. They meet by the part's rarest three characters (all of it, if it has fewer)
+    among those of the group's wholes, so that common ones pair nothing. Empty parts meet nothing."""
+    w = wholes.select(by, "w").where("w != ''").distinct()
+    sizes = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.length("w"))
+    held = w.select(by, "w", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: _grams(F.col("w"), n))))).alias("g"))
+    counts = held.groupBy(by, "g").agg(F.count(F.lit(1)).alias("n"))
+    own = parts.select(by, "t").where("t != ''").distinct().select(by, "t", F.explode(F.array_distinct(_grams(F.col("t"), F.least(F.length("t"), F.lit(3))))).alias("g"))
+    rarest = own.join(counts, [by, "g"], "left").groupBy(by, "t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).select(by, "t", F.col("r.g").alias("g"))
+    return rarest.join(held, [by, "g"]).where(F.contains("w", F.col("t"))).select(by, "t", "w")
+
+
 def grounded(texts: DataFrame, key: str, text: str, titles: DataFrame, owner: str, remove_invalid: bool = True, mark: str = "") -> DataFrame:
     """(key, position, statement, n_valid, n_invalid, confidence, cleaned): a reference is valid if its title equals, contains or is contained in a known title
     of the owner (titles: owner, title); an owner without titles has all valid. High with a valid reference or for structure, medium with
-    invalid ones only, else low. Titles are joined to the references of their owner, not to texts."""
+    invalid ones only, else low. Titles meet the references of their owner, not texts, by equality or by their rarest characters."""
     s = texts.select(key, owner, F.posexplode(statements(F.col(text))).alias("position", "statement")).withColumn("refs", C.citations(F.col("statement")))
     refs = s.select(owner, F.explode("refs").alias("r")).select(owner, F.lower(F.col("r.title")).alias("t")).distinct()
-    known = titles.select(F.col(owner).alias("_o"), F.trim(F.lower("title")).alias("_t")).distinct()
-    alike = (F.col("t") == F.col("_t")) | F.contains("_t", F.col("t")) | F.contains("t", F.col("_t"))
-    good = refs.join(known, (F.col(owner) == F.col("_o")) & alike, "left_semi")
+    known = titles.select(owner, F.trim(F.lower("title")).alias("t")).distinct()
+    equal = refs.join(known, [owner, "t"], "left_semi")
+    within = containing(refs, known.withColumnRenamed("t", "w"), owner).select(owner, "t")
+    around = containing(known, refs.withColumnRenamed("t", "w"), owner).select(owner, F.col("w").alias("t"))
+    empty = refs.where("t = ''").join(known, owner, "left_semi").unionByName(refs.join(known.where("t = ''"), owner, "left_semi"))
+    good = equal.unionByName(within).unionByName(around).unionByName(empty)
+    known = known.withColumnRenamed(owner, "_o")
     free = refs.join(known.select(F.col("_o").alias(owner)).distinct(), owner, "left_anti")
     valid = good.unionByName(free).groupBy(owner).agg(F.collect_set("t").alias("valid"))
     j = s.join(valid, owner, "left").withColumn("valid", F.coalesce("valid", F.array().cast("array<string>")))

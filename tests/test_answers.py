@@ -107,3 +107,17 @@ def test_breaks_are_the_same_whatever_the_parts(spark):
     places = Y.ranked_by_range(df, "g", "o", "n", 3)
     for g in (0, 1, None):
         assert [r.n for r in places.where(F.col("g").eqNullSafe(g)).orderBy("o").collect()] == list(range(df.where(F.col("g").eqNullSafe(g)).count()))
+
+
+def test_parts_meet_what_contains_them(spark):
+    from tessella.operators import ground as D
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abc ü") for _ in range(rnd.randint(0, n)))
+    parts, wholes = [(i % 2, word(5)) for i in range(60)], [(i % 2, word(12)) for i in range(60)]
+    want = sorted({(o, t, w) for o, t in parts for p, w in wholes if o == p and t and t in w})
+    got = D.containing(spark.createDataFrame(parts, "o int, t string"), spark.createDataFrame(wholes, "o int, w string"), "o")
+    assert rows(got) == sorted(want, key=repr) and len(want) > 50
+    titles = spark.createDataFrame([("x", " Plan A"), ("y", "")], "owner string, title string")
+    texts = spark.createDataFrame([(i, o, f"It is so [Quelle: {t}, 1.1.2024].") for i, (o, t) in enumerate([("x", "plan"), ("x", "The plan A now"), ("x", "other"), ("y", "zzz"), ("z", "any")])], "k int, owner string, t string")
+    assert [r.n_valid for r in D.grounded(texts, "k", "t", titles, "owner").orderBy("k").collect()] == [1, 1, 0, 1, 1]
