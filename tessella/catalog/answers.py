@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import answers as A
+from tessella.operators import enrich as E
 from tessella.operators import search as S
 from tessella.registry import query
 from tessella.sources.tables import load, spread
@@ -76,6 +77,40 @@ def _chunk_sql() -> str:
  SELECT chunk_id % 1000000 AS chunk_index, d.doc_id, substr(d.text, 1, 40) AS title, d.lang, score FROM s JOIN documents d ON d.doc_id = chunk_id // 1000000 ORDER BY score DESC, d.doc_id, chunk_index LIMIT 50"""
 
 
+_ASKED = {"q1": "the and", "q2": "with", "q3": "and with"}
+
+
+def _evaluated_sql() -> str:
+    from tessella.queries import _COVERS, _WORDS
+
+    def run(qid: str, terms: list[str]) -> str:
+        covers = _COVERS.format(words=f"({_WORDS})", terms=terms)
+        return f"(SELECT '{qid}' AS qid, doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM (SELECT * FROM (WITH {covers} SELECT doc_id, round(sum(0.1::DOUBLE / (1 + (stop - start + 1 - inside))), 6) AS score FROM o GROUP BY doc_id) ORDER BY score DESC, doc_id LIMIT 50))"
+
+    runs = " UNION ALL ".join(run(q, t.split()) for q, t in _ASKED.items())
+    return f"""WITH run AS (SELECT * FROM ({runs})), rel AS (SELECT q.qid, doc_id, quality + 1 AS grade FROM labels, (SELECT unnest(['q1', 'q2', 'q3']) AS qid) q WHERE quality = 1),
+ hit AS (SELECT run.qid, run.pos, (rel.doc_id IS NOT NULL)::INT AS r FROM run LEFT JOIN rel USING (qid, doc_id)), n AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid)
+ SELECT qid, round(coalesce(sum(r) FILTER (WHERE pos <= 10), 0) / 10.0::DOUBLE, 6) AS "precision", round(coalesce(1.0::DOUBLE / min(pos) FILTER (WHERE r = 1), 0), 6) AS rr, round(coalesce(sum(r) FILTER (WHERE pos <= 10), 0)::DOUBLE / any_value(n.n), 6) AS recall FROM hit JOIN n USING (qid) GROUP BY qid"""
+
+
+@query(_evaluated_sql())
+def evaluated_search(spark, d):
+    """Keyword search measured over three queries, with documents of good quality as what is relevant to each."""
+    docs = spread(load(spark, d, "documents"))
+    qrels = load(spark, d, "labels").where("quality = 1").select("doc_id", (F.col("quality") + 1).alias("grade"), F.explode(F.array(*map(F.lit, _ASKED))).alias("qid"))
+    return S.evaluated(lambda text: S.keyword_matches(docs, text), _ASKED, qrels).select("qid", "precision", "rr", "recall")
+
+
+@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN ['project', 'risk'] WHEN 'MACHINERY' THEN ['topic'] ELSE ['person', 'project'] END AS priorities,
+ CASE c_mktsegment WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN 1.2 ELSE 1.0 END::DOUBLE AS boost FROM customer""")
+def customer_profiles(spark, d):
+    """Customers with the priorities and boost of their segment's profile; segments without one have the general profile."""
+    table = [("general", ["person", "project"], 1.0), ("Building", ["project", "risk"], 1.5), ("machinery", ["topic"], 1.2)]
+    profiles = spark.createDataFrame(table, "profile string, priorities array<string>, boost double")
+    customers = load(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("profile"))
+    return E.profiled(customers, "profile", profiles, "general").select("c_custkey", "priorities", "boost")
+
+
 @query(_chunk_sql())
 def keyword_chunks(spark, d):
     """The 50 best chunks of one owner (a source) by cover density over chunk and title, joined to their documents."""
