@@ -99,3 +99,16 @@ def test_recordings_come_once_over_late_and_repeated_pages(spark, tmp_path):
         q.awaitTermination(90)
         got.append([r.uuid for r in spark.read.parquet(str(tmp_path / "out")).orderBy("uuid").collect()])
     assert got == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
+
+
+def test_files_that_come_again_are_no_new_rows(spark, tmp_path):
+    from tessella.streaming import rates
+
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    os.makedirs(folder)
+    for n, ids in enumerate(([1, 2], [2, 3, 3], [1, 4])):
+        with open(f"{folder}/{n}.json", "w") as f:
+            f.writelines(json.dumps({"id": i, "at": f"2024-01-01T00:0{n}:00"}) + "\n" for i in ids)
+        stream = rates.ingest_stream(spark, folder, "id long, at timestamp", ["id"], "at")
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination(60)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
