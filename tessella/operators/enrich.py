@@ -89,3 +89,11 @@ def cached(asked: DataFrame, stored: DataFrame, scope: list[str], similar: float
     near = rest.join(last.select(*scope, "answer_id", "_n", F.col("vector").alias("_v")), scope).withColumn("similarity", F.round(C.cosine(F.col("vector"), F.col("_v")), 6)).where(F.col("similarity") >= similar)
     slow = near.groupBy("ask_id").agg(F.min_by(F.struct("answer_id", "similarity"), "_n").alias("b")).select("ask_id", "b.answer_id", "b.similarity")
     return asked.select("ask_id").join(hit.unionByName(slow), "ask_id", "left")
+
+
+def profiled(df: DataFrame, profile: str, profiles: DataFrame, default: str) -> DataFrame:
+    """Rows with the columns of their profile (profiles: profile, ...), whatever its case; unknown or missing ones have those of the default profile."""
+    known = profiles.select(F.lower(profile).alias("_known"), *(c for c in profiles.columns if c != profile))
+    wanted = df.withColumn("_wanted", F.lower(F.col(profile))).join(known.select(F.col("_known").alias("_wanted"), F.lit(True).alias("_is")), "_wanted", "left")
+    named = wanted.withColumn("_known", F.when(F.col("_is"), F.col("_wanted")).otherwise(F.lit(default.lower())))
+    return named.join(known, "_known", "left").drop("_known", "_wanted", "_is")

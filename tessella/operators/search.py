@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -115,3 +116,10 @@ def eval_report(metrics: DataFrame, config: str | None = None) -> DataFrame:
     names = [c for c in metrics.columns if c not in ("qid", *keys)]
     long = metrics.select("qid", *keys, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names))).alias("m")).select(*keys, "m.*")
     return long.groupBy(*keys, "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("sd"))
+
+
+def evaluated(search: Callable[[str], DataFrame], queries: dict[str, str], qrels: DataFrame, key: str = "doc_id", k: int = 10) -> DataFrame:
+    """Measures of any search, a function from a query's text to (key, score), over a stated set of queries (qid: text): each query's best 50 hits against its judgements
+    (qid, key, grade)."""
+    runs = [ranked(search(text).orderBy(F.desc("score"), key).limit(MOST), "score", key, "pos").select(F.lit(qid).alias("qid"), F.col(key).alias("doc_id"), "pos") for qid, text in queries.items()]
+    return eval_metrics(reduce(DataFrame.unionByName, runs), qrels.select("qid", F.col(key).alias("doc_id"), "grade"), k)
