@@ -63,7 +63,7 @@ def test_fusion_and_measures(spark):
     assert {(r.config, r.mean) for r in S.eval_report(both, "config").where("metric = 'recall'").collect()} == {("a", 0.5), ("b", 0.0)}
     assert S.terms_of("Für: co-op, the THE") == ["für", "co", "op", "the"]
     docs = spark.createDataFrame([(1, "Ein Café für alle"), (2, "cafe fur"), (3, None), (4, "für das Café, für uns")], "doc_id long, text string")
-    assert {r.doc_id: r.score for r in S.keyword_matches(docs, "café FÜR").collect()} == {1: 0.5, 4: 0.6}
+    assert {r.doc_id: r.score for r in S.keyword_matches(docs, "café FÜR").collect()} == {1: 0.1, 4: 0.15}
     assert S.keyword_matches(docs, "?!").count() == 0 and S.top_k(0) == 10 and S.top_k(99) == 50
 
 
