@@ -21,7 +21,7 @@ The number of buckets follows the bytes of the input, so that one holds about BU
 each has 16 MB, of 100 TB 400 MB).
 
 Null text: no bytes. Documents under 50 bytes are never touched. A null id comes before all others; rows with equal ids don't count as
-each other's copies. Texts of any length are read in segments. Extra columns are ignored; an empty table gives no rows.
+each other's copies. Texts of any length are searched for anchors in segments; the entries of their shared anchors are in memory at once. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
