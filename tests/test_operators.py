@@ -289,3 +289,30 @@ def test_a_title_that_a_document_holds_goes_before_a_nearer_ratio(spark):
     refs = spark.createDataFrame([("Red rod 31",), ("blue sly",), ("red rod 13",), ("nothing like it",)], "title string")
     got = {r.title: (r.doc, r.score) for r in R.match_titles(refs, docs, most=2).collect()}
     assert got == {"red rod 31": (2, 0.9), "blue sly": (4, 0.875), "red rod 13": (1, 1.0)}
+
+
+def test_a_snapshot_has_each_mentioned_part_once(spark, tmp_path):
+    from tessella.queries import QUERIES
+
+    line = [(0, 1), (0, 2), (3, 1), (3, 2), (3, 7), (1, 9)]
+    spark.createDataFrame(line, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "n", "t") for k in (1, 1, 2, 70)], "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    assert rows(QUERIES["snapshot_capture"](spark, str(tmp_path))) == [(3, 3, [1, 2, 7], ["1:2=2", "1:7=1", "2:7=1"], [2, 2, 1])]
+    assert rows(QUERIES["snapshot_comparison"](spark, str(tmp_path)).select("entities_added", "relationships_added")) == [(1, 2)]
+
+
+def test_lists_of_a_snapshot_without_pairs_are_null_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tessella.queries import ORACLES, QUERIES
+
+    spark.createDataFrame([(3 * k, k) for k in range(12)], "l_orderkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"n{k}", "t") for k in range(12)], "p_partkey long, p_name string, p_type string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("snapshot_capture", "snapshot_comparison"):
+        want = con.execute(ORACLES[name])
+        names = [x[0] for x in want.description]
+        assert rows(QUERIES[name](spark, str(tmp_path)).select(*names)) == want.fetchall()
+    assert rows(QUERIES["snapshot_capture"](spark, str(tmp_path)).select("relationships")) == [(None,)]
