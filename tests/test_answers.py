@@ -121,3 +121,32 @@ def test_parts_meet_what_contains_them(spark):
     titles = spark.createDataFrame([("x", " Plan A"), ("y", "")], "owner string, title string")
     texts = spark.createDataFrame([(i, o, f"It is so [Quelle: {t}, 1.1.2024].") for i, (o, t) in enumerate([("x", "plan"), ("x", "The plan A now"), ("x", "other"), ("y", "zzz"), ("z", "any")])], "k int, owner string, t string")
     assert [r.n_valid for r in D.grounded(texts, "k", "t", titles, "owner").orderBy("k").collect()] == [1, 1, 0, 1, 1]
+
+
+def test_counts_by_pieces_between_blanks_equal_encoding():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    word, byte = (G.FileTokenizer(public_tokenizers.path(v)) for v in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert word.blanks_part() and not byte.blanks_part()
+    controls = list(word._tokenizer().get_added_tokens_decoder().values())[:3]
+    texts = ["", " ", "It's  a\u00a0caf\u0065\u0301,\n\n 12\x1f3\u2028x \u0301y \U0001f600'll", *(f"a{c.content} b {c.content}c" for c in controls)]
+    for t in (word, byte):
+        assert [t.count(x) for x in texts] == [len(t.encode(x)) for x in texts]
+    encoded = [0]
+    b = G.Bounds(60, 12, 8, lambda t: encoded.__setitem__(0, encoded[0] + 1) or t.split(), " ".join, blanks_part=lambda: True)
+    segments = [f"s{i} t u." for i in range(200)]
+    assert G.packed(segments, " ", b)[0][1] == 60 and encoded[0] == len(segments)
+
+
+def test_chunks_of_many_long_texts_are_sent_on_in_bounded_batches(spark, monkeypatch):
+    sizes, bound = [], G.map_rows
+
+    def small(rows, columns, work, schema):
+        texts = [["a b. " * 400, None, "", "x"] * 3]
+        sizes.extend(len(out[0]) for out in work(iter([[list(range(12)), *texts, ["semantic"] * 12]])))
+        return bound(rows, columns, work, schema)
+
+    monkeypatch.setattr(G, "map_rows", small)
+    monkeypatch.setattr(G, "HELD", 100)
+    df = spark.createDataFrame([(1, "a b. c d."), (2, None), (3, "")], "k int, t string")
+    assert rows(G.chunks(df, "k", "t", bounds=G.Bounds(2, 0, 1))) == [(1, 0, "a b.", 2), (1, 1, "c d.", 2), (3, 0, "", 0)]
+    assert len(sizes) >= 3
