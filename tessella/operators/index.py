@@ -1,8 +1,8 @@
 """A positional inverted index for keyword search, built as its own step and read by term, and ranks by cover density.
 
 Postings (term, key, n_words, positions) lie in folders by the term's hash, sorted by term in files by the key's hash, so that a lookup reads one folder for
-each term and in it the row groups whose range of terms fits. The numbers of folders and of files in each follow the square root of the input, so
-that neither a folder nor the file of a frequent term grows with the corpus.
+each term and in it the row groups whose range of terms fits. The number of folders follows the square root of the input, and there are so many files
+in each that one stands for some FILE_BYTES of the input: neither a task that writes a file nor one that reads it grows with the corpus, however frequent a term is.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tessella.operators.search import cover_ranks, terms_of
 from tessella.sources.tables import load, shared_dir, spread
 
 _WORD = re.compile(r"\w+")
-PART_BYTES, LEAST_PARTS, MOST_PARTS, UNKNOWN = 64 << 20, 16, 8192, 1 << 60
+PART_BYTES, FILE_BYTES, LEAST_PARTS, MOST_PARTS, UNKNOWN = 64 << 20, 16 << 20, 16, 8192, 1 << 60
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,20 @@ class Index:
     parts: int
 
 
+def _size_of(docs: DataFrame) -> int:
+    return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def files_for(docs: DataFrame, parts: int) -> int:
+    """Files of each folder: all of them stand for FILE_BYTES of the table each."""
+    size = _size_of(docs)
+    return max(1, parts // LEAST_PARTS, -(-size // (FILE_BYTES * parts)) if size < UNKNOWN else 1)
+
+
 def parts_for(docs: DataFrame) -> int:
     """Folders for a table: the square root of its size in pieces of 64 MB, so that each folder has as many files of that size. Rows that Spark holds no
     size of (not read from files) count as few."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = _size_of(docs)
     return min(MOST_PARTS, max(LEAST_PARTS, math.isqrt(size // PART_BYTES))) if size < UNKNOWN else LEAST_PARTS
 
 
@@ -71,12 +81,13 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.lower(F.col(text)).alias("text")).mapInArrow(work, schema)
 
 
-def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parts: int | None = None) -> Index:
-    """The index of a table, written under `path`."""
+def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parts: int | None = None, files: int | None = None) -> Index:
+    """The index of a table, written under `path`, by one task for each file."""
     parts = parts or parts_for(docs)
+    files = files or files_for(docs, parts)
     rows = postings(docs, key, text).withColumn("part", F.pmod(F.hash("term"), F.lit(parts)))
-    files = max(1, parts // LEAST_PARTS)
-    rows.repartition(parts * files, "part", F.pmod(F.xxhash64(key), F.lit(files))).sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(path)
+    number = F.col("part") * files + F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+    rows.repartitionById(parts * files, number).sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(path)
     return Index(docs.sparkSession.read.parquet(path), parts)
 
 
@@ -119,7 +130,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
         made = f"{root}/building-{uuid.uuid4().hex}"
-        build(spread(docs.select("doc_id", "text")), made, parts=parts)
+        build(spread(docs.select("doc_id", "text")), made, parts=parts, files=files_for(docs, parts))
         if not fs.rename(hadoop.Path(made), at) and not fs.exists(at):
             raise RuntimeError(f"the index can't be moved to {path}")
     return Index(spark.read.parquet(path), parts)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessella.operators import index as X
 from tessella.operators import search as S
@@ -70,3 +71,22 @@ def test_nearest_vectors_by_scan_and_by_index(spark, tmp_path):
     assert "cell" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     empty = df.where("vec_id < 0")
     assert V.neighbours(df, empty).count() == 0 and V.search(V.build(empty, str(tmp_path / "none")), asked).count() == 0
+
+
+def test_files_of_an_index_follow_its_size_and_split_a_frequent_term(spark, tmp_path):
+    df = spark.range(400).selectExpr("id AS doc_id", "'the ' || id AS text")
+    index = X.build(df, str(tmp_path / "i"), parts=4, files=8)
+    files = [f for f in index.rows.inputFiles()]
+    the = spark.read.parquet(str(tmp_path / "i")).where("term = 'the'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) <= 32 and len(the) == 8 and max(r[1] for r in the) < 100
+    assert X.lookup(index, "the 7").count() == 1
+
+    class Plan:
+        def __init__(self, n):
+            self.n = n
+
+        def __getattr__(self, name):
+            return (lambda: self.n) if name == "sizeInBytes" else lambda: self
+
+    sized = lambda n: type("D", (), {"_jdf": Plan(n)})()
+    assert [X.files_for(sized(n), 16) for n in (10, 1 << 30, 6 << 30)] == [1, 4, 24]
