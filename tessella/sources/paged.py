@@ -1,6 +1,7 @@
 """Incremental sources: pages of JSON items behind a cursor, read as a table or as a stream whose offset is the cursor.
 
-A client lists the pages after a cursor and reads one; the source plans a task for each page, so that pages are read by executors. Reading again from the same
+A client lists the pages after a cursor and reads one; the source plans tasks for runs of pages, TASKS of them or so until a run has MOST_PAGES, so that pages are
+read by executors and many small ones don't cost a task each. Reading again from the same
 cursor gives the same items. An item that is no JSON object is a row with an error and no item, not a failure of the page. A stream that restarts from its
 checkpoint goes on after the last page it has committed: no item is lost or repeated.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+TASKS, MOST_PAGES = 128, 1000
 SCHEMA = "cursor string, position int, item string, error string"
 
 
@@ -58,24 +60,32 @@ class FolderClient:
 
 
 @dataclass
-class Page(InputPartition):
-    cursor: str
+class Pages(InputPartition):
+    """Pages in a row, by their cursors."""
 
+    cursors: list[str]
 
-def _read(client: FolderClient, page: Page) -> Iterator[tuple]:
-    for at, item in enumerate(client.items(page.cursor)):
-        good = isinstance(item, dict)
-        yield page.cursor, at, json.dumps(item, ensure_ascii=False) if good else None, None if good else f"no object: {str(item)[:200]}"
+
+def _runs(cursors: list[str]) -> list[Pages]:
+    size = min(MOST_PAGES, max(1, -(-len(cursors) // TASKS)))
+    return [Pages(cursors[i : i + size]) for i in range(0, len(cursors), size)]
+
+
+def _read(client: FolderClient, pages: Pages) -> Iterator[tuple]:
+    for cursor in pages.cursors:
+        for at, item in enumerate(client.items(cursor)):
+            good = isinstance(item, dict)
+            yield cursor, at, json.dumps(item, ensure_ascii=False) if good else None, None if good else f"no object: {str(item)[:200]}"
 
 
 class _Table(DataSourceReader):
     def __init__(self, client: FolderClient, cursor: str) -> None:
         self.client, self.cursor = client, cursor
 
-    def partitions(self) -> list[Page]:
-        return [Page(c) for c in self.client.after(self.cursor)]
+    def partitions(self) -> list[Pages]:
+        return _runs(self.client.after(self.cursor))
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         yield from _read(self.client, partition) if partition else ()
 
 
@@ -89,10 +99,10 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"cursor": max(self.client.after(self.cursor), default=self.cursor)}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(c) for c in self.client.after(start["cursor"]) if c <= end["cursor"]]
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        return _runs([c for c in self.client.after(start["cursor"]) if c <= end["cursor"]])
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         yield from _read(self.client, partition)
 
     def commit(self, end: dict) -> None:

@@ -112,3 +112,13 @@ def test_files_that_come_again_are_no_new_rows(spark, tmp_path):
         stream = rates.ingest_stream(spark, folder, "id long, at timestamp", ["id"], "at")
         stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_many_pages_are_read_by_few_tasks(spark, tmp_path):
+    folder = str(tmp_path / "pages")
+    for n in range(300):
+        page(folder, f"{n:04d}", {"id": n})
+    df = P.pages(spark, folder)
+    assert df.rdd.getNumPartitions() == 100
+    assert [r.item for r in df.orderBy("cursor").select("item").collect()] == [f'{{"id": {n}}}' for n in range(300)]
+    assert [len(r.cursors) for r in P._runs([str(i) for i in range(200_001)])] == [1000] * 200 + [1] and P._runs([]) == []
