@@ -33,10 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of five-word shingle sets with a similarity of 0.8 or more: that of the smallest id (null first), then of the
-    least text hash, then of the least other columns. Fingerprints decide nothing: of the links within 3 of 64 bits only those hold whose sets are similar, and
-    the search by sets finds these itself. Components are of texts, so rows that share an id, or have none, stay apart unless their texts
+    least text hash, then of the least other columns. Fingerprints within 3 of 64 bits, found by the grid of segment popcounts, and prefixes of
+    sets, which find what differs in more bits, give the pairs to try; whole sets decide each, so that no chance link of bits holds. Components are of texts, so rows that share an id, or have none, stay apart unless their texts
     are similar. Texts without words are similar to each other."""
-    rows = table(set_rows(docs, "doc_id", "text", 5), "set-rows")
+    rows = table(set_rows(docs, "doc_id", "text", 5, bits=True), "set-rows")
     roots = similar_roots(docs, rows, "text", 5, 0.8)
     named = rows.join(roots, rows.set_hash == roots.node, "left").select("id", "text_hash", F.coalesce("root", "set_hash").alias("component"))
     stay = named.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("s")).select("s.id", "s.text_hash")

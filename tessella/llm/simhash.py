@@ -525,10 +525,12 @@ def _similar(df: DataFrame, possible: DataFrame, text: str, shingle: int, simila
 
 
 def similar_roots(df: DataFrame, rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(node, root): components of set hashes of `rows` linked by the similarity; a node that is its own root is left out."""
+    """(node, root): components of set hashes of `rows` linked by the similarity; a node that is its own root is left out. Where `rows` have fp, pairs within
+    3 bits are tried too, from the grid of fingerprints; whole sets decide either kind."""
     classes = table(rows.where("n > 0").groupBy("set_hash").agg(F.min("text_hash").alias("text_hash"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets-of-texts")
     found = table(_first_pairs(_prefix_rows(df, text, shingle, similarity, _common_shingles(df, text, shingle, similarity, classes)), similarity), "cells")
-    pairs = table(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs")
+    by_sets = found.where(F.col("a").isNotNull()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = table((by_sets.unionByName(_pairs_by_fingerprint(rows)) if "fp" in rows.columns else by_sets).distinct(), "pairs")
     possible = _possible(pairs, classes, similarity)
     more = _similar(df, possible, text, shingle, similarity, classes)
     roots = component_roots(more)
@@ -561,7 +563,7 @@ def near_duplicate_components(
         return _by_fingerprint(table(fingerprints(df, key, text, shingle), "fingerprints"), cell_limit)
     rows = table(set_rows(df, key, text, shingle, bits=True), "fingerprints")
     near = table(_by_fingerprint(rows.select("id", "fp"), cell_limit), "near")
-    sets = similar_roots(df, rows, text, shingle, similarity)
+    sets = similar_roots(df, rows.drop("fp"), text, shingle, similarity)
     named = rows.join(sets, rows.set_hash == sets.node, "left").select("fp", F.coalesce("root", "set_hash").alias("label"))
     both = named.join(near.select("fp", "component").distinct(), "fp").select("label", "component").distinct()
     least = both.groupBy("label").agg(F.min("component").alias("v"))
@@ -569,15 +571,28 @@ def near_duplicate_components(
     return near.join(roots, near.component == roots.node, "left").select("id", "fp", F.coalesce("root", "component").alias("component"))
 
 
+def _links_of(fps: DataFrame, cell_limit: int) -> DataFrame:
+    """(u, v): links that connect all distinct fingerprints within distance 3, by cells and, for crowded ones, by values at which they meet."""
+    found = table(_cell_links(fps, cell_limit), "links")
+    links = found.where(F.col("v").isNotNull())
+    crowded = found.where(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct()
+    return links if crowded.isEmpty() else links.unionByName(meeting_links(crowded))
+
+
+def _pairs_by_fingerprint(rows: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked; a fingerprint's least set stands for it in links."""
+    sets = rows.where("n > 0").select("fp", "set_hash").distinct()
+    least = sets.groupBy("fp").agg(F.min("set_hash").alias("rep"))
+    equal = sets.join(least, "fp").where("set_hash != rep").select(F.col("rep").alias("a"), F.col("set_hash").alias("b"))
+    ends = [least.select(F.col("fp").alias(e), F.col("rep").alias(n)) for e, n in (("u", "a"), ("v", "b"))]
+    linked = _links_of(least.select("fp"), CELL_LIMIT).distinct().join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    return equal.unionByName(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _by_fingerprint(rows: DataFrame, cell_limit: int) -> DataFrame:
     """The components by fingerprints alone."""
     classes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    found = table(_cell_links(classes.select("fp"), cell_limit), "links")
-    links = found.where(F.col("v").isNotNull())
-    crowded = found.where(F.col("v").isNull()).select(F.col("u").alias("fp")).distinct()
-    if not crowded.isEmpty():
-        links = links.unionByName(meeting_links(crowded))
-    roots = component_roots(links)
+    roots = component_roots(_links_of(classes.select("fp"), cell_limit))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     return rows.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")

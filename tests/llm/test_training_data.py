@@ -784,3 +784,17 @@ def test_sequences_of_real_pages_with_pictures(spark):
         assert [(r.caption, media.decode_png(bytes(r.media)).rstrip(b"\0")) for r in shown] == [(f"Caption {n}", f"picture {n} of {page}".encode()) for n in (1, 2)]
         first, second = (rows.index(r) for r in shown)
         assert all(r.text and r.media is None for r in rows if r.kind == "text") and any(r.kind == "text" for r in rows[first + 1 : second])
+
+
+def test_near_dedup_tries_pairs_of_near_fingerprints(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    data = [(1, 10, 5), (1, 11, 5), (2, 20, 5 ^ 7), (3, 30, 5 ^ (0b1111 << 20)), (4, 40, -1), (5, 50, 5)]
+    df = spark.createDataFrame([(i, s, fp, 0 if s == 50 else 3) for i, s, fp in data], "id long, set_hash long, fp long, n int")
+    assert {tuple(r) for r in simhash._pairs_by_fingerprint(df).select("a", "b").collect()} == {(10, 11), (10, 20)}
+    tried = []
+    find = simhash._pairs_by_fingerprint
+    monkeypatch.setattr(simhash, "_pairs_by_fingerprint", lambda rows: tried.append(rows.columns) or find(rows))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other words " * 9)], "doc_id long, text string")
+    assert {r.doc_id for r in P.near_dedup(spark, docs, "").collect()} == {1, 3} and "fp" in tried[0]
