@@ -62,6 +62,16 @@ def test_paths_of_blocks_equal_recursion(spark, seed):
     assert got == {p: "\n".join(t) for p in ("p1", "p2") if (t := list(read(p, 0, [p])))}
 
 
+def test_blocks_are_merged_not_broadcast(spark, tmp_path):
+    made = spark.createDataFrame([("b1", "p1", 0, 0), ("b2", "b1", 0, 0)], "block string, parent string, page_no int, position int")
+    made.write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    paths = A.block_paths(blocks, blocks.where("parent LIKE 'p%'").select(F.col("parent").alias("page")))
+    paths.collect()
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_counts_of_subword_chunks_equal_encoding_again(spark, vocabulary):
     public_tokenizers = pytest.importorskip("public_tokenizers")
