@@ -9,7 +9,7 @@ from tessella.functions import columns as C
 from tessella.operators import ground as D
 from tessella.operators import resolve as R
 from tessella.registry import query
-from tessella.sources.tables import load
+from tessella.sources.tables import load, pieces
 
 
 @query("SELECT doc_id, trim(regexp_replace(strip_accents(replace(replace(replace(replace(lower(trim(left(text, 60))), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '\\s+', ' ', 'g')) AS name FROM documents WHERE text IS NOT NULL")
@@ -51,7 +51,7 @@ def resolved_mentions(spark, d):
 def _resolved(spark, d):
     line, cut = load(spark, d, "lineitem").withColumn("owner", F.col("l_suppkey") % 50), F.lit("1997-01-01").cast("timestamp")
     name = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
-    old = line.where(F.col("l_shipdate") < cut).groupBy("owner", F.lit("topic").alias("kind"), name.alias("name")).agg(F.count(F.lit(1)).alias("mentions"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
+    old = line.where(F.col("l_shipdate") < cut).repartition(pieces(line), "owner", "l_partkey").groupBy("owner", "l_partkey", F.lit("topic").alias("kind")).agg(F.count(F.lit(1)).alias("mentions"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen")).withColumn("name", name)
     said = F.concat(F.lit(" PART   "), F.col("l_partkey").cast("string"))
     new = line.where(F.col("l_shipdate") >= cut).select("owner", F.col("l_orderkey").alias("chunk"), F.lit("topic").alias("kind"), said.alias("name"), F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.85).alias("confidence"), F.lit("rule").alias("rule"), F.col("l_shipdate").alias("at"))
     return R.resolve(new, old, "owner")

@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import re
 import uuid
 import zipfile
 from difflib import SequenceMatcher
@@ -22,6 +23,7 @@ from tessella.operators import segments as G
 from tessella.operators import sinks as K
 from tessella.operators import state as W
 from tessella.sources import structured as T
+from tessella.sources import tables
 from tessella.streaming import stateful
 
 
@@ -128,6 +130,26 @@ def test_entities_are_resolved(spark):
     assert rows(links) == [(1, "person", "maria nordstrom", 7, 1.0, "email"), (1, "topic", "maria nordstron", 8, 1.0, "at")]
 
 
+def test_entities_are_grouped_by_tasks_of_one_size(spark, tmp_path, monkeypatch):
+    known = [(o, f"part {i}", 2, i, i + 1) for o in range(3) for i in range(0, 40, 2)]
+    said = [(i % 3, i, f" PART  {i % 40}", 0.8 + i % 2 / 10, "rule", i) for i in range(400)] + [(0, i, "often", 0.9, "rule", i) for i in range(300)]
+    spark.createDataFrame(known, "owner int, name string, mentions long, first_seen int, last_seen int").write.parquet(str(tmp_path / "stored"))
+    spark.createDataFrame(said, "owner int, chunk int, name string, confidence double, rule string, at int").write.parquet(str(tmp_path / "found"))
+    stored, found = (spark.read.parquet(str(tmp_path / n)).withColumn("kind", F.lit("topic")) for n in ("stored", "found"))
+    want = {(o, n): (m, a, b, False) for o, n, m, a, b in known}
+    for o, _, n, _, _, at in said:
+        m, a, b, new = want.get((o, n := R.normal_name(n)), (0, at, at, True))
+        want[o, n] = (m + 1, min(a, at), max(b, at), new)
+    for piece, least in ((1 << 30, 4), (1 << 10, 9)):
+        monkeypatch.setattr(tables, "PIECE_BYTES", piece)
+        merged, links = R.resolve(found, stored, "owner")
+        parts = tables.pieces(found, stored)
+        assert parts >= least and merged.rdd.getNumPartitions() == links.rdd.getNumPartitions() == parts
+        assert {(r.owner, r.name): (r.mentions, r.first_seen, r.last_seen, r.is_new) for r in merged.collect()} == want and links.count() == 700
+        dealt = re.findall(r"hashpartitioning\([^\n]*_salt[^\n]*?, (\d+)\), (\w+)", merged._jdf.queryExecution().executedPlan().toString())
+        assert set(dealt) == {(str(parts), "REPARTITION_BY_NUM")}
+
+
 def test_index_equals_scan(spark, tmp_path):
     rnd = random.Random(1)
     words = ["für", "the", "and", "with", "été", "x_1", "b2"]
