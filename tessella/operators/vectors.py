@@ -10,6 +10,7 @@ the cells nearest to each query, ranks their codes, and ranks the best of these
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, MOST_CELLS, BLOCK, SALTS = 50_000, 4096, 1000, 64
+SAMPLE, MOST_CELLS, BLOCK, SALTS = 50_000, 4096, 4000, 64
+#: So many scores are made at a time.
+SCORES = 1 << 22
 #: How many times k are ranked by codes before they are ranked by vectors.
 OVERFETCH = 8
 
@@ -61,7 +64,7 @@ class _Best:
     """The k best (score, then least id) for each query, of what is added batch by batch."""
 
     def __init__(self, queries: int, k: int) -> None:
-        self.k, self.scores, self.ids = k, [np.empty(0)] * queries, [np.empty(0, np.int64)] * queries
+        self.k, self.scores, self.ids, self.least = k, [np.empty(0)] * queries, [np.empty(0, np.int64)] * queries, np.full(queries, -np.inf)
 
     def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
@@ -70,6 +73,19 @@ class _Best:
             s, i = s[near], i[near]
         best = np.lexsort((i, -s))[: self.k]
         self.scores[q], self.ids[q] = s[best], i[best]
+        if len(best) == self.k:
+            self.least[q] = s[best[-1]]
+
+    def add_all(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """A row of scores for each of these queries; what is worse than the k-th so far is left out at once."""
+        good = scores >= self.least[queries, None]
+        for j in np.flatnonzero(good.any(1)):
+            self.add(queries[j], scores[j, good[j]], ids[good[j]])
+
+
+def _parts(rows: int, queries: int) -> Iterator[slice]:
+    step = max(1, SCORES // max(1, queries))
+    return (slice(i, i + step) for i in range(0, rows, step))
 
 
 def _found(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -80,22 +96,21 @@ def _found(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, rank, certainty): the k nearest vectors of each query (at most 1000 of them), by one scan; certainty is (1 + cosine) / 2 to six
+    """(query, key, rank, certainty): the k nearest vectors of each query (at most BLOCK of them), by one scan; certainty is (1 + cosine) / 2 to six
     places, and ties go to the least id. Ids are whole numbers. Rows without vector, or of another dimension than the queries, are no neighbours."""
     ids, asked = _asked(queries, key, vector)
     schema = f"query long, `{key}` long, score double"
     if not ids:
         return vectors.sparkSession.createDataFrame([], f"query long, `{key}` long, rank int, certainty double")
-    units, dimension = _unit(asked), asked.shape[1]
+    units, dimension, every = _unit(asked), asked.shape[1], np.arange(len(ids))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(ids), k)
         for b in batches:
             if b.num_rows:
-                scores = np.round((1 + _unit(_matrix(b.column(1), dimension)) @ units.T) / 2, 6)
-                own = b.column(0).to_numpy()
-                for q in range(len(ids)):
-                    best.add(q, scores[:, q], own)
+                sent, own = _unit(_matrix(b.column(1), dimension)), b.column(0).to_numpy()
+                for at in _parts(len(sent), len(ids)):
+                    best.add_all(every, np.round((1 + units @ sent[at].T) / 2, 6), own[at])
         yield from _rows(best, ids, key)
 
     sent = vectors.select(F.col(key).cast("long"), F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dimension)
@@ -152,14 +167,18 @@ def build(vectors: DataFrame, path: str, key: str = "vec_id", vector: str = "emb
     return Cells(spark.read.schema(T.StructType([*schema.fields[1:], schema.fields[0]])).parquet(path), centres)
 
 
+def _nearest_cells(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argsort(-(units @ centres.T), 1, kind="stable")
+
+
 def search(index: Cells, queries: DataFrame, k: int = 10, probes: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, rank, certainty) from the `probes` nearest cells of each query (at most 1000 of them): OVERFETCH times k by codes, then k by
-    vectors. Queries of another dimension have none."""
+    """(query, key, rank, certainty) from the `probes` nearest cells of each query (at most BLOCK of them): OVERFETCH times k by codes, then k by
+    vectors. Queries of another dimension have none. The ids found by codes, at most BLOCK times OVERFETCH times k, go to where the vectors are."""
     ids, asked = _asked(queries, key, vector)
     if not ids or asked.shape[1] != index.centres.shape[1]:
         return index.rows.sparkSession.createDataFrame([], f"query long, `{key}` long, rank int, certainty double")
     units, centres = _unit(asked), index.centres
-    near = np.argsort(-(units @ centres.T), 1, kind="stable")[:, :probes]
+    near = _nearest_cells(units, centres)[:, :probes]
     asking = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
     at_centres = units @ centres.T
 
@@ -171,8 +190,9 @@ def search(index: Cells, queries: DataFrame, k: int = 10, probes: int = 8, key:
                 at = np.flatnonzero(cell == c)
                 codes = np.frombuffer(b"".join(x.as_py() for x in b.column(3).take(pa.array(at))), np.int8).reshape(len(at), -1)
                 rest = codes * b.column(2).to_numpy()[at, None].astype(np.float64)
-                for q in asking[int(c)]:
-                    best.add(q, at_centres[q, c] + rest @ units[q], own[at])
+                near = asking[int(c)]
+                for part in _parts(len(at), len(near)):
+                    best.add_all(near, at_centres[near, c, None] + units[near] @ rest[part].T, own[at[part]])
         yield from _rows(best, list(range(len(ids))), "id")
 
     chosen = index.rows.where(F.col("cell").isin(sorted(asking)))
@@ -185,7 +205,7 @@ def search(index: Cells, queries: DataFrame, k: int = 10, probes: int = 8, key:
                 scores = np.round((1 + (_unit(_matrix(b.column(2), units.shape[1])) * units[q]).sum(1)) / 2, 6)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q]), b.column(1), pa.array(scores)], ["query", key, "score"])
 
-    exact = chosen.select("id", "vector").join(some, "id").select("q", "id", "vector").mapInArrow(by_vectors, f"query long, `{key}` long, score double")
+    exact = chosen.select("id", "vector").join(F.broadcast(some), "id").select("q", "id", "vector").mapInArrow(by_vectors, f"query long, `{key}` long, score double")
     return _found(exact, k, ["query", key]).select("query", key, "rank", F.col("score").alias("certainty"))
 
 
@@ -196,13 +216,29 @@ def recall(found: DataFrame, wanted: DataFrame, key: str = "vec_id") -> DataFram
 
 
 def calibrated(index: Cells, vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> int:
-    """The least number of cells, doubled from one, at which the mean recall of these queries against the exact answer reaches `least`; all cells at the end."""
-    wanted = neighbours(vectors, queries, k, key, vector).cache()
-    probes = 1
-    while probes < len(index.centres):
-        mean = recall(search(index, queries, k, probes, key, vector), wanted, key).agg(F.avg("recall")).first()[0]
-        if mean is None or mean >= least:
-            break
-        probes = min(2 * probes, len(index.centres))
-    wanted.unpersist()
+    """The least number of cells, doubled from one, at which the mean recall of these queries (at most BLOCK of them) against the exact answer reaches `least`; all
+    cells at the end. A search finds only what lies in the cells it reads, so that a number of cells that hold too few of the wanted ones is not tried."""
+    wanted = [(r[0], r[1]) for r in neighbours(vectors, queries, k, key, vector).collect()]
+    if not wanted:
+        return 1
+    probes, most, n = 1, len(index.centres), Counter(q for q, _ in wanted)
+    ids, asked = _asked(queries, key, vector)
+    if asked.shape[1] != index.centres.shape[1]:
+        return most
+
+    def mean(found: Counter) -> float:
+        return sum(round(found[q] / n[q], 6) for q in n) / len(n)
+
+    held = index.rows.sparkSession.createDataFrame([(i,) for i in {i for _, i in wanted}], "id long")
+    cells: dict[int, list[int]] = {}
+    for i, c in index.rows.select("id", "cell").join(F.broadcast(held), "id").collect():
+        cells.setdefault(i, []).append(c)
+    rank = dict(zip(ids, np.argsort(_nearest_cells(_unit(asked), index.centres), 1), strict=True))
+    places = [(q, min((rank[q][c] for c in cells.get(i, ())), default=most)) for q, i in wanted]
+    while probes < most:
+        if mean(Counter(q for q, at in places if at < probes)) >= least - 1e-9:
+            found = {(r[0], r[1]) for r in search(index, queries, k, probes, key, vector).collect()}
+            if mean(Counter(q for q, i in wanted if (q, i) in found)) >= least:
+                break
+        probes = min(2 * probes, most)
     return probes

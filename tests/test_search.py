@@ -73,6 +73,29 @@ def test_nearest_vectors_by_scan_and_by_index(spark, tmp_path):
     assert V.neighbours(df, empty).count() == 0 and V.search(V.build(empty, str(tmp_path / "none")), asked).count() == 0
 
 
+def test_cells_that_hold_too_little_are_not_searched(spark, tmp_path, monkeypatch):
+    rnd = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(400, 16)))], "vec_id long, embedding array<double>")
+    asked, index, tried, search = df.where("vec_id % 20 = 5"), V.build(df, str(tmp_path / "cells")), [], V.search
+    monkeypatch.setattr(V, "search", lambda i, a, k, probes, *more: tried.append(probes) or search(i, a, k, probes, *more))
+    probes = V.calibrated(index, df, asked, 5, 0.9)
+    assert tried[0] > 1 and (probes == tried[-1] or probes == len(index.centres))
+    wanted = V.neighbours(df, asked, 5)
+    assert V.recall(search(index, asked, 5, tried[0] // 2), wanted).agg({"recall": "avg"}).first()[0] < 0.9
+    assert V.recall(search(index, asked, 5, probes), wanted).agg({"recall": "avg"}).first()[0] >= 0.9
+
+
+def test_the_best_of_many_scores_are_those_of_all():
+    rnd = np.random.default_rng(6)
+    best, scores = V._Best(7, 4), np.round(rnd.random((7, 300)), 2)
+    order = rnd.permutation(300)
+    for at in np.array_split(order, 11):
+        best.add_all(np.arange(7), scores[:, at], at)
+    for q in range(7):
+        first = np.lexsort((np.arange(300), -scores[q]))[:4]
+        assert best.ids[q].tolist() == first.tolist() and best.scores[q].tolist() == scores[q, first].tolist()
+
+
 def test_files_of_an_index_follow_its_size_and_split_a_frequent_term(spark, tmp_path):
     df = spark.range(400).selectExpr("id AS doc_id", "'the ' || id AS text")
     index = X.build(df, str(tmp_path / "i"), parts=4, files=8)
