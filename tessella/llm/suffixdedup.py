@@ -18,10 +18,11 @@ A string of k bytes in more than HOT documents could bring as many contexts toge
 its left; they are dealt by these longer strings instead, to other buckets, so that no task gets all.
 
 The number of buckets follows the bytes of the input, so that one holds about BUCKET_BYTES of text, up to MOST_BUCKETS of them (of 1 TB
-each has 16 MB, of 100 TB 400 MB).
+each has 16 MB, of 100 TB 400 MB). An anchor's hash is the least of 31, so that most are small: they are multiplied before their high bits name a
+bucket, else the first one has 16 times its share. Sorting makes keys for one bucket of a batch at a time; merging decodes runs as it reads them.
 
 Null text: no bytes. Documents under 50 bytes are never touched. A null id comes before all others; rows with equal ids don't count as
-each other's copies. Texts of any length are searched for anchors in segments; the entries of their shared anchors are in memory at once. Extra columns are ignored; an empty table gives no rows.
+each other's copies. Texts of any length are searched for anchors in segments; the places of their shared anchors are in memory at once. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ WINDOW, ANCHOR, LONGER, HOT, SEGMENT = 50, 20, 15, 100_000, 2_000_000
 BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 18, 16_000_000
 FIRST_ID = -(1 << 63)
 _LAST = np.uint64(1)
-_MUL, _MIX1, _MIX2 = 0xD6E8FEB86659FD93, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MUL, _MIX1, _MIX2, _EVEN = 0xD6E8FEB86659FD93, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Bits of an anchor's hash that travel; equal ones are candidates only, whole strings decide.
+_SENT = np.uint64((1 << 64) - (1 << 16))
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -65,7 +68,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first, last window start owned) of each anchor of a text, segment by segment."""
+    """(hash, evened out, 48 bits; position, first, last window start owned) of each anchor of a text, segment by segment."""
     parts = []
     for at in range(0, max(1, len(data) - window + 1), SEGMENT):
         seg = data[at : at + SEGMENT + window - 1]
@@ -82,7 +85,7 @@ def anchors(data: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np
         first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
         x = pos[first]
         last = np.concatenate([first[1:], [len(pos)]]) - 1
-        parts.append((h[x], x.astype(np.int64) + at, first + at, last + at))
+        parts.append((h[x] * _EVEN & _SENT, x.astype(np.int64) + at, first + at, last + at))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
 
 
@@ -90,7 +93,8 @@ def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     head = np.array([len(a) for a in arrays], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = (a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)  # all first bytes, all second ones, ...
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
 
 
 def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -99,8 +103,10 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     lens, at, out = np.frombuffer(raw, "<u4", len(kinds)), 4 * len(kinds), []
     for n, kind in zip(lens.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at)
+        out.append(planes if size == 1 else planes.reshape(size, n).T.copy().view(kind).ravel())
+        at += n * size
     return out
 
 
@@ -223,7 +229,7 @@ class Run:
 
     __slots__ = ("key", "shared", "value", "_next")
 
-    def __init__(self, lcps: list[int], lens: list[int], rest: bytes, values: Iterable) -> None:
+    def __init__(self, lcps: Iterable[int], lens: Iterable[int], rest: bytes | memoryview, values: Iterable) -> None:
         self._next = self._read(lcps, lens, rest, values)
         self.key: bytes | None = b""
         self.shared = 0
@@ -348,8 +354,8 @@ def _key(data: bytes, x: int, first: int, last: int, k: int, window: int) -> byt
     return bytes((k,)) + data[x : x + k] + bytes((end - x, x - first)) + data[x + k : end] + data[first:x]
 
 
-def _entries(t: bytes, shared: np.ndarray, bits: int, d: int, row: int) -> list[tuple[int, bytes, int, int, int]]:
-    """(bucket, key, id, row, position) of a text's shared anchors, a hot one by the longer strings of its windows."""
+def _entries(t: bytes, shared: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of (bucket, position, first, last window start, k) of a text's shared anchors, a hot one by the longer strings of its windows."""
     h, x, first, last = anchors(np.frombuffer(t, np.uint8))
     plain, hot = h & ~_LAST, shared[(shared & _LAST) > 0]
     found = np.isin(plain, shared & ~_LAST if len(hot) else shared)
@@ -362,14 +368,13 @@ def _entries(t: bytes, shared: np.ndarray, bits: int, d: int, row: int) -> list[
         for a, f, z in zip(x[is_hot].tolist(), first[is_hot].tolist(), last[is_hot].tolist(), strict=True):
             middle = max(f, a - LONGER)
             if middle <= z:  # windows with so many bytes on the anchor's right
-                out.append((longer(a), _key(t, a, middle, z, k, WINDOW), d, row, a))
+                out.append((longer(a), a, middle, z, k))
             if f < middle:  # on its left
                 at = a - LONGER
-                out.append((longer(at), _key(t, at, f, min(z, middle - 1), k, WINDOW), d, row, at))
+                out.append((longer(at), at, f, min(z, middle - 1), k))
     cold = np.flatnonzero(found)
-    places = zip((h[cold] >> np.uint64(bits)).tolist(), x[cold].tolist(), first[cold].tolist(), last[cold].tolist(), strict=True)
-    out += [(b, _key(t, a, f, z, ANCHOR, WINDOW), d, row, a) for b, a, f, z in places]
-    return out
+    places = np.stack([(h[cold] >> np.uint64(bits)).astype(np.int32), x[cold], first[cold], last[cold], np.full(len(cold), ANCHOR)], axis=1, dtype=np.int32, casting="unsafe")
+    return np.concatenate([places, np.array(out, np.int32)]) if out else places
 
 
 def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -379,14 +384,17 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
 
     def runs(batches: Iterator[list]):
         for ids, row_ids, texts, hashes in _gathered(batches, 2, min(buckets, 16_000)):
-            entries: list[tuple[int, bytes, int, int, int]] = []
-            for d, row, t, hs in zip(ids.to_pylist(), row_ids.to_pylist(), texts.cast("binary").to_pylist(), hashes, strict=True):
-                if t and len(t) >= WINDOW:
-                    entries += _entries(t, hs.values.to_numpy().view(np.uint64), bits, d, row)
-            entries.sort()
+            ids, row_ids, texts = ids.to_pylist(), row_ids.to_pylist(), texts.cast("binary").to_pylist()
+            found = [(i, _entries(t, hs.values.to_numpy().view(np.uint64), bits)) for i, (t, hs) in enumerate(zip(texts, hashes, strict=True)) if t and len(t) >= WINDOW]
+            if not found:
+                continue
+            places, at = np.concatenate([e for _, e in found]), np.repeat(np.array([i for i, _ in found], np.int32), [len(e) for _, e in found])
+            order = np.argsort(places[:, 0], kind="stable")
+            places, at = places[order], at[order]
+            cuts = np.flatnonzero(np.diff(places[:, 0], prepend=-1, append=-1)).tolist()
             out: list[list] = [[], []]
             done: list[tuple[int, int, int, int]] = []
-            keys, values, bucket, before, smallest = [], [], None, None, 0
+            keys, values = [], []
 
             def close(bucket: int) -> None:
                 lcps, lens, rest = front_code(keys)
@@ -394,32 +402,31 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
                 out[1].append(_pack(np.array(lcps, "u1"), np.array(lens, "u1"), np.frombuffer(rest, "u1"), *(np.array([v[i] for v in values], "<i8") for i in range(3)), *_marks(done)))
                 done.clear(), keys.clear(), values.clear()
 
-            for b, key, d, row, x in entries:
-                if b != bucket:
-                    if keys:
-                        close(bucket)
-                    bucket = b
-                if key != before:
-                    before, smallest = key, d
-                if d > smallest:  # a repeat within this batch
-                    start = x - key[key[0] + 2]
-                    done.append((d, row, start, start + len(key) - 3))
-                else:
-                    keys.append(key)
-                    values.append((d, row, x))
-            if keys:
-                close(bucket)
+            for a, z in zip(cuts, cuts[1:]):
+                entries = sorted((_key(texts[i], x, f, e, k, WINDOW), ids[i], row_ids[i], x) for i, (_, x, f, e, k) in zip(at[a:z].tolist(), places[a:z].tolist(), strict=True))
+                before, smallest = None, 0
+                for key, d, row, x in entries:
+                    if key != before:
+                        before, smallest = key, d
+                    if d > smallest:  # a repeat within this batch
+                        start = x - key[key[0] + 2]
+                        done.append((d, row, start, start + len(key) - 3))
+                    else:
+                        keys.append(key)
+                        values.append((d, row, x))
+                close(int(places[a, 0]))
             if out[0]:
                 yield out
 
     def merge(batches: Iterator[list[list]]):
         for _, rows in _by_bucket(batches):
-            read_runs, found = [], []
-            for _, blob in rows:
+            read_runs = []
+            for i, (_, blob) in enumerate(rows):
                 lcps, lens, rest, d, r, x, *marks = _unpack(blob, "u1", "u1", "u1", *["<i8"] * 7)
-                read_runs.append(Run(lcps.tolist(), lens.tolist(), rest.tobytes(), zip(d.tolist(), r.tolist(), x.tolist(), strict=True)))
+                rows[i] = blob = None
+                read_runs.append(Run(lcps.tobytes(), lens.tobytes(), memoryview(rest), _few(d, r, x)))
                 if len(marks[0]):
-                    found.append(marks)
+                    yield marks
             group: list[tuple[bytes, int, int, int]] = []
             out: list[tuple[int, int, int, int]] = []
             k = 0
@@ -427,17 +434,26 @@ def repeats(docs: DataFrame, shared: DataFrame, buckets: int = BUCKETS) -> DataF
                 if agree <= k and group:
                     if len(group) > 1:
                         out += repeated_windows(group, k, WINDOW)
+                    if len(out) >= 50_000:
+                        yield _marks(out)
+                        out = []
                     group = []
                 k = key[0]
                 group.append((key, *value))
             if len(group) > 1:
                 out += repeated_windows(group, k, WINDOW)
-            for cols in [*found, *([_marks(out)] if out else [])]:
-                yield list(cols)
+            if out:
+                yield _marks(out)
 
     with_hashes = docs.join(shared.groupBy("id").agg(F.collect_list("h").alias("hs")), "id")
     sent = map_rows(with_hashes, ["id", "row", "text", "hs"], runs, "b int, blob binary", arrow=True)
-    return map_rows(_dealt(sent, buckets), ["b", "blob"], merge, "id long, row long, start long, end long")
+    return map_rows(_dealt(sent, buckets), ["b", "blob"], merge, "id long, row long, start int, end int")
+
+
+def _few(*columns: np.ndarray, step: int = 64) -> Iterator[tuple]:
+    """Rows of the columns, of which only a few are Python's numbers at a time."""
+    for at in range(0, len(columns[0]), step):
+        yield from zip(*(c[at : at + step].tolist() for c in columns), strict=True)
 
 
 def _marks(rows: list[tuple[int, int, int, int]]) -> list[np.ndarray]:

@@ -798,3 +798,13 @@ def test_near_dedup_tries_pairs_of_near_fingerprints(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other words " * 9)], "doc_id long, text string")
     assert {r.doc_id for r in P.near_dedup(spark, docs, "").collect()} == {1, 3} and "fp" in tried[0]
+
+
+def test_suffix_buckets_have_equal_shares():
+    """Anchors are least hashes; the first bucket still gets no more than the others, and the merge holds few of a run's numbers as Python's."""
+    h = suffixdedup.anchors(np.frombuffer(random.Random(8).randbytes(400_000), np.uint8))[0]
+    counts = np.bincount((h >> np.uint64(58)).astype(int), minlength=64)
+    assert counts.max() < 1.3 * counts.mean()
+    packed = [h, np.zeros(0, "<i8"), np.arange(5, dtype="u1"), np.array([-1], "<i8")]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(packed, suffixdedup._unpack(suffixdedup._pack(*packed), "<u8", "<i8", "u1", "<i8"), strict=True))
+    assert list(suffixdedup._few(np.arange(150), np.arange(150) + 1)) == [(i, i + 1) for i in range(150)]
