@@ -1,8 +1,10 @@
 """Search against versions by brute force: cover density over all intervals, nearest vectors by index, all pairs."""
 
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.operators import index as X
@@ -113,3 +115,20 @@ def test_files_of_an_index_follow_its_size_and_split_a_frequent_term(spark, tmp_
 
     sized = lambda n: type("D", (), {"_jdf": Plan(n)})()
     assert [X.files_for(sized(n), 16) for n in (10, 1 << 30, 6 << 30)] == [1, 4, 24]
+
+
+def test_postings_travel_in_packs_smaller_than_the_texts(monkeypatch, spark):
+    rnd = random.Random(6)
+    words = [f"word{i}" for i in range(3000)]
+    docs = [(f"k{i}" if i else None, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 200)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "k string, t string")
+    monkeypatch.setattr(X, "HELD", 5000)
+    got = X.postings(df, 3, 2, "k", "t")
+    want = {(w, k, len(t.split()), tuple(i for i, x in enumerate(t.split()) if x == w), X.part_of(w, 3)) for k, t in docs for w in t.split()}
+    found = [(r.term, r.k, r.n_words, tuple(r.positions), r.part) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"REPARTITION_BY_NUM|Exchange", plan) and re.search(r"MapInArrow .*number#\d+, pack#", plan)
+    vocabulary = {}
+    held = [X._read(pa.RecordBatch.from_arrays([pa.array([k for k, _ in docs]), pa.array([0] * 300, pa.int32()), pa.array([t for _, t in docs])], ["k", "file", "text"]), vocabulary, pa.string())]
+    assert sum(len(x) for _, x in X._packs(held, vocabulary, 3, 1)) < 0.8 * sum(len(t) for _, t in docs)
