@@ -132,3 +132,20 @@ def test_postings_travel_in_packs_smaller_than_the_texts(monkeypatch, spark):
     vocabulary = {}
     held = [X._read(pa.RecordBatch.from_arrays([pa.array([k for k, _ in docs]), pa.array([0] * 300, pa.int32()), pa.array([t for _, t in docs])], ["k", "file", "text"]), vocabulary, pa.string())]
     assert sum(len(x) for _, x in X._packs(held, vocabulary, 3, 1)) < 0.8 * sum(len(t) for _, t in docs)
+
+
+def test_building_an_index_shuffles_less_than_twice_its_texts(spark, tmp_path):
+    rnd = random.Random(7)
+    words = [f"word{i}" for i in range(3000)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(200))) for i in range(1000)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    index = X.index_of(spark, str(tmp_path))
+    assert 0 < written() - before < 2 * sum(len(t) for _, t in docs)
+    assert index.rows.count() == sum(len(set(t.split())) for _, t in docs)
